@@ -36,6 +36,11 @@ def word_value(word: Column, values: Mapping[str, int]) -> Column:
     return F.try_element_at(F.get(word_table(values), (F.crc32(word) % n_slots).cast("int")), word)
 
 
+def number_list(values: Iterable[int]) -> Column:
+    """A literal array, parsed once by the optimizer."""
+    return F.from_json(F.lit(json.dumps(list(values))), "array<int>")
+
+
 def is_listed(word: Column, listed: Iterable[str]) -> Column:
     """Membership in a bounded word list (a hash set inside the plan)."""
     options = list(listed)

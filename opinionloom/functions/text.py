@@ -14,7 +14,6 @@ SPACES = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 _WS = f"[{SPACES}]"
-_NOT_WS = f"[^{SPACES}]"
 
 # A word is a run of letters or digits with inner apostrophes; any other visible
 # character is a token of its own.
@@ -42,8 +41,10 @@ def strip_trailing_punct(c: Column | str) -> Column:
     return strip(F.rtrim(strip(c), F.lit(".,!?;:")))
 
 
-def has_two_words(c: Column | str) -> Column:
-    return _col(c).rlike(f"{_NOT_WS}{_WS}+{_NOT_WS}")
+def has_two_words(stripped: Column | str) -> Column:
+    """For stripped text: any white space left lies between two words. The plain blank is tried first."""
+    c = _col(stripped)
+    return c.contains(" ") | c.rlike(_WS)
 
 
 def _not_empty(x: Column) -> Column:
@@ -85,6 +86,11 @@ def scoring_units(text: Column | str) -> Column:
     return bind(kept, lambda u: F.when(F.size(u) > 0, u).otherwise(whole))
 
 
+def joined(toks: Column, start: Column, n: Column) -> Column:
+    """n tokens from `start` (0-based) with blanks between; costs n, not the length of `toks`."""
+    return F.array_join(F.transform(F.sequence(start, start + n - 1), lambda j: F.get(toks, j)), " ")
+
+
 def normalized(text: Column | str) -> Column:
     """Sentences joined again by one blank."""
     return F.array_join(sentences(text), " ")
@@ -114,7 +120,8 @@ def contrast_clauses(text: Column | str) -> Column:
 def context_windows(toks: Column, aspect: Column, window: int) -> Column:
     """Text around every token that contains `aspect`, without punctuation.
 
-    `toks` must be a plain column: it is read once per occurrence.
+    `toks` must be a plain column: it is read once per occurrence. Tokens are taken
+    one by one because slice() copies the whole array for each occurrence.
     """
     needle = F.lower(aspect)
     marks = F.transform(toks, lambda t, i: F.when(F.lower(t).contains(needle), i).otherwise(F.lit(-1)))
@@ -123,8 +130,8 @@ def context_windows(toks: Column, aspect: Column, window: int) -> Column:
     def around(hit: Column) -> Column:
         start = F.greatest(hit - window, F.lit(0))
         stop = F.least(hit + (window + 1), F.size(toks))
-        kept = F.filter(F.slice(toks, start + 1, stop - start), lambda t: ~is_punct(t))
-        return F.array_join(kept, " ")
+        near = F.transform(F.sequence(start, stop - 1), lambda j: F.get(toks, j))
+        return F.array_join(F.filter(near, lambda t: ~is_punct(t)), " ")
 
     found = F.array_join(F.filter(F.transform(hits, around), _not_empty), " ")
     return F.when((aspect == "") | (F.size(toks) == 0), F.lit("")).otherwise(F.coalesce(found, F.lit("")))

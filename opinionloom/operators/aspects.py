@@ -13,7 +13,7 @@ from ..functions.cues import mentions_any
 from ..functions.joins import lookup_join
 from ..functions.lookup import MAX_INLINE, inline_or_none, is_listed
 from ..functions.ranking import first_best
-from .shaping import _pos_codes, phrase_spans
+from .shaping import phrase_spans, pos_codes
 
 _NO_STRINGS = "array<string>"
 
@@ -27,15 +27,15 @@ def _candidates(longest: int, pos: Mapping[str, int] | None) -> Column:
     """
 
     def runs(toks: Column) -> Column:
-        if longest == 1:
-            return toks
-        starts = F.when(F.size(toks) > 0, F.sequence(F.lit(1), F.size(toks))).otherwise(F.array().cast("array<int>"))
-        each = [F.transform(starts, lambda i, n=n: F.array_join(F.slice(toks, i, n), " ")) for n in range(1, longest + 1)]
-        return F.flatten(F.array(*each))
+        def of_length(n: int) -> Column:
+            # concat_ws skips the NULLs beyond the end: shorter runs again, which do no harm.
+            return F.transform(toks, lambda t, i: F.concat_ws(" ", t, *[F.get(toks, i + d) for d in range(1, n)]))
+
+        return toks if longest == 1 else F.flatten(F.array(toks, *[of_length(n) for n in range(2, longest + 1)]))
 
     def tagged(toks: Column) -> Column:
-        spans = text.bind(_pos_codes(toks, pos or {}), lambda codes: phrase_spans(toks, codes, longest))
-        return F.transform(spans, lambda s: F.array_join(F.slice(toks, s["start"] + 1, s["n_words"]), " "))
+        spans = text.bind(pos_codes(toks, pos or {}), lambda codes: phrase_spans(toks, codes, longest))
+        return F.transform(spans, lambda s: s["phrase"])
 
     in_sentence = runs if pos is None else tagged
     per_sentence = F.transform(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import resources
 from ..functions import cues, labels, text
 from ..functions.joins import lookup_join
-from ..functions.lookup import MAX_INLINE, inline_or_none, is_listed, word_value
+from ..functions.lookup import MAX_INLINE, inline_or_none, is_listed, number_list, word_value
 from ..resources import Lexicon
 
 # Named constants of the published compound score.
@@ -27,13 +27,15 @@ def _modifiers(words: Column, i: Column, lexicon: Lexicon) -> tuple[Column, Colu
     boost = F.lit(0)
     for distance, weight in BOOSTER_DECAY.items():
         boost = boost + F.coalesce(word_value(F.get(words, i - distance), lexicon.boosters), F.lit(0)) * weight
-    preceding = F.slice(words, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)))
-    negated = F.exists(preceding, lambda w: is_listed(w, lexicon.negators) | w.endswith("n't"))
+    negated = F.lit(False)
+    for distance in BOOSTER_DECAY:
+        before = F.get(words, i - distance)
+        negated = negated | F.coalesce(is_listed(before, lexicon.negators) | before.endswith("n't"), F.lit(False))
     return boost, F.when(negated, NEGATION_PERCENT).otherwise(100)
 
 
 def _raw(valence: Column, boost: Column, factor: Column) -> Column:
-    towards = F.when(valence > 0, 1).otherwise(-1)
+    towards = F.when(valence > 0, 1).when(valence < 0, -1).otherwise(0)
     return ((valence * 100 + towards * boost) * factor).cast("bigint")
 
 
@@ -44,52 +46,54 @@ def _compound(raw: Column, exclamations: Column) -> Column:
     return s / F.sqrt(s * s + F.lit(ALPHA))
 
 
-def unit_valence(unit: Column, lexicon: Lexicon) -> Column:
-    """Compound score of one text unit in [-1, 1], inside the row."""
+def unit_score(unit: Column, lexicon: Lexicon) -> Column:
+    """struct(valence, polarity) of one text unit, inside the row.
 
-    def total(words: Column) -> Column:
-        scored = F.transform(words, lambda w, i: F.struct(i.alias("i"), word_value(w, lexicon.valence).alias("v")))
+    valence is the compound score in [-1, 1], polarity the mean of the matched
+    words (0 without a match). The words are looked up once; what follows only
+    touches the few that were found.
+    """
+    entries = list(dict.fromkeys([*lexicon.valence, *lexicon.polarity]))
+    number = {word: i for i, word in enumerate(entries)}
+    valences = number_list(lexicon.valence.get(w, 0) for w in entries)
+    polarities = number_list(lexicon.polarity.get(w, 0) for w in entries)
+    rated = number_list(int(w in lexicon.polarity) for w in entries)
+
+    def totals(words: Column) -> Column:
+        numbered = F.transform(words, lambda w, i: F.struct(i.alias("i"), word_value(w, number).alias("e")))
+        hits = F.filter(numbered, lambda hit: hit["e"].isNotNull())
 
         def add(acc: Column, hit: Column) -> Column:
             boost, factor = _modifiers(words, hit["i"], lexicon)
-            return acc + _raw(hit["v"], boost, factor)
-
-        hits = F.filter(scored, lambda hit: hit["v"].isNotNull())
-        return F.aggregate(hits, F.lit(0).cast("bigint"), add)
+            return F.struct(
+                (acc["raw"] + _raw(F.get(valences, hit["e"]), boost, factor)).alias("raw"),
+                (acc["total"] + F.get(polarities, hit["e"])).alias("total"),
+                (acc["n"] + F.get(rated, hit["e"])).alias("n"),
+            )
 
-    raw = text.bind(text.words(unit), total)
-    return text.bind(raw, lambda r: _compound(r, cues.count_char(unit, "!")))
+        zero = F.lit(0).cast("bigint")
+        start = F.struct(zero.alias("raw"), zero.alias("total"), F.lit(0).alias("n"))
+        return F.aggregate(hits, start, add)
 
+    def finish(t: Column) -> Column:
+        polarity = F.when(t["n"] > 0, t["total"] / (t["n"] * 1000.0)).otherwise(0.0)
+        return F.struct(_compound(t["raw"], cues.count_char(unit, "!")).alias("valence"), polarity.alias("polarity"))
 
-def unit_polarity(unit: Column, lexicon: Lexicon) -> Column:
-    """Mean polarity of the matched words of one unit; 0 without a match."""
-    values = F.filter(
-        F.transform(text.words(unit), lambda w: word_value(w, lexicon.polarity)), lambda v: v.isNotNull()
-    )
+    return text.bind(text.bind(text.words(unit), totals), finish)
 
-    def mean(found: Column) -> Column:
-        total = F.aggregate(found, F.lit(0).cast("bigint"), lambda acc, v: acc + v)
-        return F.when(F.size(found) > 0, total / (F.size(found) * 1000.0)).otherwise(0.0)
 
-    return text.bind(values, mean)
+def unit_scores(units: DataFrame, lexicon: Lexicon = resources.DEFAULT_LEXICON) -> DataFrame:
+    """units(review_id, unit_idx, unit) -> (review_id, unit_idx, valence, polarity)"""
+    scored = units.select("review_id", "unit_idx", unit_score(F.col("unit"), lexicon).alias("s"))
+    return scored.select("review_id", "unit_idx", "s.valence", "s.polarity")
 
 
 def valence_score(units: DataFrame, lexicon: Lexicon = resources.DEFAULT_LEXICON) -> DataFrame:
-    return units.select("review_id", "unit_idx", unit_valence(F.col("unit"), lexicon).alias("valence"))
+    return unit_scores(units, lexicon).drop("polarity")
 
 
 def polarity_score(units: DataFrame, lexicon: Lexicon = resources.DEFAULT_LEXICON) -> DataFrame:
-    return units.select("review_id", "unit_idx", unit_polarity(F.col("unit"), lexicon).alias("polarity"))
-
-
-def unit_scores(units: DataFrame, lexicon: Lexicon = resources.DEFAULT_LEXICON) -> DataFrame:
-    unit = F.col("unit")
-    return units.select(
-        "review_id",
-        "unit_idx",
-        unit_valence(unit, lexicon).alias("valence"),
-        unit_polarity(unit, lexicon).alias("polarity"),
-    )
+    return unit_scores(units, lexicon).drop("valence")
 
 
 def unit_scores_joined(units: DataFrame, entries: DataFrame, modifiers: Lexicon) -> DataFrame:
@@ -168,12 +172,7 @@ def rule_sentiment(reviews: DataFrame, lexicon: Lexicon | DataFrame = resources.
         )
     scored = reviews.select(
         "review_id",
-        F.transform(
-            text.scoring_units("text"),
-            lambda u: F.struct(
-                unit_valence(u, lexicon).alias("valence"), unit_polarity(u, lexicon).alias("polarity")
-            ),
-        ).alias("units"),
+        F.transform(text.scoring_units("text"), lambda u: unit_score(u, lexicon)).alias("units"),
     )
 
     def mean(pick) -> Column:

@@ -46,7 +46,7 @@ def annotate_tokens(tokens: DataFrame, pos_lexicon: DataFrame) -> DataFrame:
 ADJECTIVE, NOUN = 1, 2
 
 
-def _pos_codes(toks: Column, pos: Mapping[str, int]) -> Column:
+def pos_codes(toks: Column, pos: Mapping[str, int]) -> Column:
     """One letter per token: J adjective, N noun, x anything else."""
 
     def letter(token: Column) -> Column:
@@ -57,34 +57,35 @@ def _pos_codes(toks: Column, pos: Mapping[str, int]) -> Column:
 
 
 def phrase_spans(toks: Column, codes: Column, max_words: int | None = None) -> Column:
-    """Every span of ADJ* NOUN+ as struct(start, n_words, maximal).
+    """Every span of ADJ* NOUN+ as struct(start, n_words, maximal, phrase).
 
     For each start the adjectives and the nouns that follow are measured once, so
     only matching spans are produced. `max_words` bounds the span length; pass it
     only when longer phrases are of no use, such as beyond the longest entry of a
     dictionary the spans are looked up in.
     """
+    none = F.array().cast("array<int>")
 
     def from_start(i: Column) -> Column:
-        rest = F.substring(codes, i + 1, F.size(toks))
+        rest = F.substring(codes, i + 1, F.length(codes))
         adjectives = F.length(F.regexp_extract(rest, "^(J*)N", 1))
         nouns = F.length(F.regexp_extract(rest, "^J*(N+)", 1))
         last = adjectives + nouns if max_words is None else F.least(adjectives + nouns, F.lit(max_words))
-        first = adjectives + 1
-        lengths = F.when((nouns > 0) & (last >= first), F.sequence(first, last)).otherwise(
-            F.array().cast("array<int>")
-        )
-        before = F.when(i == 0, "x").otherwise(F.substring(codes, i, F.lit(1)))
-        # A maximal chunk is not preceded by an adjective, nor by a noun when it starts with one.
-        opens = (before == "x") | ((before == "N") & (F.substring(codes, i + 1, F.lit(1)) == "J"))
+        lengths = F.when((nouns > 0) & (last > adjectives), F.sequence(adjectives + 1, last)).otherwise(none)
+        here, before = F.substring(codes, i + 1, F.lit(1)), F.substring(codes, i, F.lit(1))
+        # A maximal chunk does not continue adjectives or nouns to its left; new adjectives after a noun start one.
+        opens = (i == 0) | (before == "x") | ((before == "N") & (here == "J"))
 
         def span(n: Column) -> Column:
             maximal = opens & (n == adjectives + nouns)
-            return F.struct(i.alias("start"), n.alias("n_words"), maximal.alias("maximal"))
+            return F.struct(
+                i.alias("start"), n.alias("n_words"), maximal.alias("maximal"), text.joined(toks, i, n).alias("phrase")
+            )
 
         return F.transform(lengths, span)
 
-    starts = F.when(F.size(toks) > 0, F.sequence(F.lit(0), F.size(toks) - 1)).otherwise(F.array().cast("array<int>"))
+    places = F.when(F.size(toks) > 0, F.sequence(F.lit(0), F.size(toks) - 1)).otherwise(none)
+    starts = F.filter(places, lambda i: F.substring(codes, i + 1, F.lit(1)) != "x")
     return F.flatten(F.transform(starts, from_start))
 
 
@@ -98,21 +99,16 @@ def noun_phrases(
     tagged = (
         split_sentences(reviews)
         .select("review_id", "sent_idx", text.tokens("sentence").alias("toks"))
-        .withColumn("codes", _pos_codes(F.col("toks"), pos))
+        .withColumn("codes", pos_codes(F.col("toks"), pos))
         .where(F.col("codes").contains("N"))
     )
-    spans = tagged.select(
-        "review_id",
-        "sent_idx",
-        "toks",
-        F.explode(phrase_spans(F.col("toks"), F.col("codes"), max_words)).alias("span"),
-    )
-    return spans.select(
+    spans = F.explode(phrase_spans(F.col("toks"), F.col("codes"), max_words)).alias("span")
+    return tagged.select("review_id", "sent_idx", spans).select(
         "review_id",
         "sent_idx",
         F.col("span.start").alias("tok_idx"),
         F.col("span.n_words").alias("n_words"),
-        F.lower(F.array_join(F.slice("toks", F.col("span.start") + 1, F.col("span.n_words")), " ")).alias("phrase"),
+        F.lower("span.phrase").alias("phrase"),
         F.col("span.maximal").alias("is_chunk"),
     )
 

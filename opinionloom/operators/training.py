@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, StringIndexerModel, VectorAssembler
@@ -30,7 +31,7 @@ def clean_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def bad_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """How many values of each column clean_numeric replaces."""
-    bad = [F.count_if(F.coalesce(F.isnan(_number(c)), F.lit(True))).alias(c) for c in columns if c in df.columns]
+    bad = [F.count_if(_number(c).isNull() | F.isnan(_number(c))).alias(c) for c in columns if c in df.columns]
     return df.agg(*bad)
 
 
@@ -114,10 +115,14 @@ def scoring_stages(model: PipelineModel) -> PipelineModel:
 def fit_fusion(df: DataFrame, trees: int = 100, depth: int = 10, seed: int = 42) -> tuple[PipelineModel, list[str]]:
     """Fit on all rows; returns the model for scoring and its classes in probability order."""
     ensure_checkpoints(df.sparkSession)
-    counts = class_counts(df)
+    # The fit reads its input several times; only label and features are kept.
+    rows = df.select("label", *schemas.FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = class_counts(rows)
     classes = sorted(counts)
-    weighted = df.withColumn("weight", _weight_column(_weights(counts)))
-    return scoring_stages(forest(classes, trees, depth, seed).fit(weighted)), classes
+    weighted = rows.withColumn("weight", _weight_column(_weights(counts)))
+    model = scoring_stages(forest(classes, trees, depth, seed).fit(weighted))
+    rows.unpersist()
+    return model, classes
 
 
 def feature_importance(spark: SparkSession, model: PipelineModel) -> DataFrame:
@@ -131,7 +136,8 @@ def cross_validate(df: DataFrame, k: int = 5, trees: int = 100, depth: int = 10,
     """Predictions of every row by the forest that has not seen it: (fold, review_id, label, prediction)."""
     spark = df.sparkSession
     ensure_checkpoints(spark)
-    folds = stratified_folds(df.select(id_col, "label", *schemas.FEATURES), k, seed, id_col).persist()
+    folds = stratified_folds(df.select(id_col, "label", *schemas.FEATURES), k, seed, id_col)
+    folds = folds.persist(StorageLevel.MEMORY_AND_DISK)  # read once per fold and pass of the fit
     rows = folds.groupBy("label", "fold").count().collect()  # classes x folds rows
     classes = sorted({r["label"] for r in rows})
     predicted = None

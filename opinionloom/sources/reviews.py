@@ -13,17 +13,29 @@ def open_table(spark: SparkSession, fmt: str, path: str | None = None, **options
     return reader.load(path) if path else reader.load()
 
 
+def splits(df: DataFrame) -> int:
+    """Number of tasks of the scan, from its plan; nothing runs."""
+    return df._jdf.queryExecution().toRdd().getNumPartitions()
+
+
 def read_reviews(table: DataFrame, id_col: str = "review_id", text_col: str = "text", last_id: int = 0,
-                 limit: int | None = None) -> DataFrame:
+                 limit: int | None = None, min_partitions: int = 0) -> DataFrame:
     """Two renamed columns, ids above last_id when it is positive, the first `limit` ids if given.
 
+    A file of one row group is one task however long its texts take: `min_partitions`
+    spreads such a small table by review_id. Tables with enough splits are left alone.
+
     Without a limit the rows are not sorted: order means nothing to the operators
     and a global sort of all texts would be the most expensive step.
     """
     reviews = table.select(F.col(id_col).alias("review_id"), F.col(text_col).alias("text"))
     if last_id > 0:
         reviews = reviews.where(F.col("review_id") > last_id)
-    return reviews.orderBy("review_id").limit(limit) if limit else reviews
+    if limit:
+        return reviews.orderBy("review_id").limit(limit)
+    if min_partitions and splits(reviews) < min_partitions:
+        return reviews.repartition(min_partitions, "review_id")
+    return reviews
 
 
 def incremental_reviews(reviews: DataFrame, results: DataFrame, full: bool = False) -> DataFrame:

@@ -71,8 +71,8 @@ ROLLUP = """absa AS (
 
 
 @query(f"""WITH {I.ASPECT_SENTIMENT}, {ROLLUP}
-SELECT review_id, num_pos_aspects, num_neg_aspects, round(avg_aspect_score, 6) AS avg_aspect_score,
-       round(avg_aspect_confidence, 6) AS avg_aspect_confidence FROM absa""")
+SELECT review_id, num_pos_aspects, num_neg_aspects, round(avg_aspect_score, 9) AS avg_aspect_score,
+       round(avg_aspect_confidence, 9) AS avg_aspect_confidence FROM absa""")
 def absa_rollup(spark, sf_dir):
     details = absa.aspect_sentiment(I.aspect_scores(spark, sf_dir))
     return rounded(absa.absa_rollup(I.opinions(spark, sf_dir), details))
@@ -145,7 +145,7 @@ def clause_aspect(spark, sf_dir):
   SELECT review_id, aspect, avg(sentiment_score) AS s, avg(confidence) AS c,
          count(*) FILTER (sentiment_label = 'positive') AS pos_mentions, count(*) FILTER (sentiment_label = 'negative') AS neg_mentions
   FROM mentions GROUP BY review_id, aspect)
-SELECT review_id, aspect, round(s, 6) AS sentiment_score, round(c, 6) AS confidence, pos_mentions, neg_mentions,
+SELECT review_id, aspect, round(s, 9) AS sentiment_score, round(c, 9) AS confidence, pos_mentions, neg_mentions,
        CASE WHEN s > 0 THEN 'positive' WHEN s < 0 THEN 'negative' ELSE 'neutral' END AS sentiment_label FROM means""")
 def aggregate_mentions(spark, sf_dir):
     return rounded(absa.aggregate_mentions(_mentions(spark, sf_dir)))

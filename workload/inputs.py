@@ -8,6 +8,8 @@ that both engines get the same table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from opinionloom.functions import text as text_functions
 from opinionloom.operators import aspects as absa
 from opinionloom.operators import shaping
 from opinionloom.resources import Lexicon
+from opinionloom.session import scratch
+from opinionloom.sources.reviews import read_reviews
 
 OPENERS = [
     "The food was amazing, but the waiter was rude.",
@@ -76,11 +80,35 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Write the derived table to the shared folder on first use and read it from there.
+
+    Reviews and classifier scores are stored tables in practice: the queries should
+    scan and prune columns, not derive their input again at every use.
+    """
+
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, str(sf_dir), build.__name__)
+        if key not in _STORED:
+            path = scratch(spark, build.__name__)
+            build(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "review_id").write.parquet(path)
+            _STORED[key] = path
+        return spark.read.parquet(_STORED[key])
+
+    read.__name__ = build.__name__
+    read.__doc__ = build.__doc__
+    return read
+
+
 # --- review sets -----------------------------------------------------------------------------
 
 
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("review_id"), "text")
+    documents = load(spark, sf_dir, "documents")
+    return read_reviews(documents, "doc_id", "text", min_partitions=spark.sparkContext.defaultParallelism)
 
 
 PROSE = "prose AS (SELECT doc_id AS review_id, text FROM documents)"
@@ -104,6 +132,7 @@ def opinion_text(key: Column) -> Column:
     return F.when(key % 97 == 5, F.lit(None)).when(key % 89 == 7, F.lit("  \n ")).otherwise(body)
 
 
+@stored
 def opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One English review per order; some texts are NULL or blank."""
     orders = load(spark, sf_dir, "orders")
@@ -271,6 +300,7 @@ CLASSES: list[tuple[str, int, str | None]] = [
 MODELS = [TWO_WAY, REVERSED, FIVE_WAY, UNLISTED]
 
 
+@stored
 def sentiment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of four models for every order that is not pending (status P has none)."""
     key = F.col("o_orderkey")
@@ -356,6 +386,7 @@ def opinion_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("review_id", "text", F.explode(kept).alias("aspect"))
 
 
+@stored
 def aspect_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, pos = F.col("review_id"), F.col("pos")
     names = F.array(*[F.array(*[F.lit(x) for x in row]) for row in ASPECT_LABELS])
@@ -427,6 +458,7 @@ details AS (SELECT review_id, aspect, sentiment_label, sentiment_score, confiden
 EMOTION_LABELS = ["sadness", "Joy", "love", "ANGER", "fear", "surprise", "disgust"]
 
 
+@stored
 def emotion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of 0.2 and more per clause of every opinion; one label is unknown."""
     clauses = shaping.emotion_clauses(opinions(spark, sf_dir))
@@ -480,6 +512,7 @@ EMOTION_TOTALS = """emotion AS (
 SARCASM_LABELS = [["LABEL_0", "LABEL_1"], [" Sarcastic ", "Not Sarcastic"], ["NOT_SARCASTIC", "sarcastic"], ["ironic", "label_1"]]
 
 
+@stored
 def sarcasm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two scores per order that is not pending."""
     key = F.col("review_id")

@@ -23,7 +23,7 @@ def query(oracle: str | None = None) -> Callable:
     return add
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Doubles rounded for the comparison: ln and averages may differ in the last bit."""
     return df.select(
         *[

@@ -11,15 +11,15 @@ from .signal_queries import FEATURE_TABLES, TOP_EMOTION, analysis, filled, fitte
 
 
 @query(f"""WITH {I.FUSED}
-SELECT count(*) AS n_reviews, round(avg(fused_confidence), 6) AS mean_confidence,
-       count(*) FILTER (fused_confidence >= 0.8) AS n_high, round(100.0 * count(*) FILTER (fused_confidence >= 0.8) / count(*), 6) AS pct_high,
-       count(*) FILTER (fused_confidence < 0.6) AS n_low, round(100.0 * count(*) FILTER (fused_confidence < 0.6) / count(*), 6) AS pct_low
+SELECT count(*) AS n_reviews, round(avg(fused_confidence), 9) AS mean_confidence,
+       count(*) FILTER (fused_confidence >= 0.8) AS n_high, round(100.0 * count(*) FILTER (fused_confidence >= 0.8) / count(*), 9) AS pct_high,
+       count(*) FILTER (fused_confidence < 0.6) AS n_low, round(100.0 * count(*) FILTER (fused_confidence < 0.6) / count(*), 9) AS pct_low
 FROM fused""")
 def report_overview(spark, sf_dir):
     return rounded(reporting.report_overview(I.fused_results(spark, sf_dir)))
 
 
-@query(f"""WITH {I.FUSED} SELECT fused_label, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM fused), 6) AS pct
+@query(f"""WITH {I.FUSED} SELECT fused_label, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM fused), 9) AS pct
 FROM fused GROUP BY fused_label""")
 def sentiment_distribution(spark, sf_dir):
     return rounded(reporting.sentiment_distribution(I.fused_results(spark, sf_dir)))
@@ -29,7 +29,7 @@ def sentiment_distribution(spark, sf_dir):
 counts AS (SELECT aspect, count(*) AS n, count(*) FILTER (sentiment_label = 'positive') AS n_pos,
                   count(*) FILTER (sentiment_label = 'negative') AS n_neg, count(*) FILTER (sentiment_label = 'neutral') AS n_neutral,
                   min(review_id) AS first_review FROM rated GROUP BY aspect)
-SELECT aspect, n, n_pos, n_neg, n_neutral, round(n_pos * 100.0 / n, 6) AS pct_pos, round(n_neg * 100.0 / n, 6) AS pct_neg
+SELECT aspect, n, n_pos, n_neg, n_neutral, round(n_pos * 100.0 / n, 9) AS pct_pos, round(n_neg * 100.0 / n, 9) AS pct_neg
 FROM counts ORDER BY n DESC, first_review, aspect LIMIT 5""")
 def top_aspects(spark, sf_dir):
     return rounded(reporting.top_aspects(details(spark, sf_dir)))
@@ -44,14 +44,14 @@ def aspect_samples(spark, sf_dir):
 
 
 @query(f"""WITH {I.SARCASM_SCORES} SELECT count(*) FILTER (sarcasm_label = 'sarcastic') AS n_sarcastic,
-round(count(*) FILTER (sarcasm_label = 'sarcastic') * 100.0 / count(*), 6) AS pct_sarcastic FROM sarcasm""")
+round(count(*) FILTER (sarcasm_label = 'sarcastic') * 100.0 / count(*), 9) AS pct_sarcastic FROM sarcasm""")
 def sarcasm_rate(spark, sf_dir):
     best = scoring.argmax_label(I.sarcasm_scores(spark, sf_dir), ("review_id",))
     return rounded(reporting.sarcasm_rate(sarcasm.sarcasm_result(I.opinions(spark, sf_dir), best)))
 
 
 @query(f"""WITH {I.EMOTION_SCORES}, {TOP_EMOTION}
-SELECT emotion_label, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM top_emotion), 6) AS pct
+SELECT emotion_label, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM top_emotion), 9) AS pct
 FROM top_emotion GROUP BY emotion_label ORDER BY n DESC, min(review_id), emotion_label LIMIT 3""")
 def top_emotions(spark, sf_dir):
     return rounded(reporting.top_emotions(top_emotion(spark, sf_dir)))
@@ -90,10 +90,10 @@ def emotion_top5(spark, sf_dir):
 
 @query(f"""WITH {FEATURE_TABLES}
 SELECT review_id, 'classifier' AS source, CASE sentiment WHEN 1 THEN 'positive' WHEN -1 THEN 'negative' ELSE 'neutral' END AS label,
-       round(confidence, 6) AS confidence FROM sentiment
+       round(confidence, 9) AS confidence FROM sentiment
 UNION ALL
 SELECT review_id, 'rule', CASE WHEN rule_polarity >= 0.05 THEN 'positive' WHEN rule_polarity <= -0.05 THEN 'negative' ELSE 'neutral' END,
-       round(abs(rule_polarity), 6) FROM rule""")
+       round(abs(rule_polarity), 9) FROM rule""")
 def signals_summary(spark, sf_dir):
     return rounded(reporting.signals_summary(analysis(spark, sf_dir).signals))
 

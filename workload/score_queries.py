@@ -32,13 +32,13 @@ def normalize_labels(spark, sf_dir):
 
 
 @query(f"""WITH {_NORMALIZED}, {I.sentiment_sql(I.FIVE_WAY)}
-SELECT review_id, sentiment, round(confidence, 6) AS confidence, {I.quoted(I.FIVE_WAY)} AS model_used FROM sentiment""")
+SELECT review_id, sentiment, round(confidence, 9) AS confidence, {I.quoted(I.FIVE_WAY)} AS model_used FROM sentiment""")
 def sentiment_result(spark, sf_dir):
     return rounded(scoring.sentiment_result(I.opinions(spark, sf_dir), _normalized(spark, sf_dir), I.FIVE_WAY))
 
 
 @query(f"""WITH {_NORMALIZED}, {I.sentiment_sql(I.REVERSED)}
-SELECT review_id, sentiment, round(confidence, 6) AS confidence, round(sentiment * confidence, 6) + 0.0::DOUBLE AS sentiment_score
+SELECT review_id, sentiment, round(confidence, 9) AS confidence, round(sentiment * confidence, 9) + 0.0::DOUBLE AS sentiment_score
 FROM sentiment""")
 def signed_score(spark, sf_dir):
     results = scoring.sentiment_result(I.opinions(spark, sf_dir), _normalized(spark, sf_dir), I.REVERSED)
@@ -81,7 +81,7 @@ def _compare_sql() -> str:
     for i, m in enumerate(I.MODELS, 1):
         cte = re.sub(r"^sentiment AS", f"s{i} AS", I.sentiment_sql(m))
         parts.append(cte)
-    cols = ", ".join(f"s{i}.sentiment AS sentiment_{i}, round(s{i}.confidence, 6) AS confidence_{i}" for i in range(1, 5))
+    cols = ", ".join(f"s{i}.sentiment AS sentiment_{i}, round(s{i}.confidence, 9) AS confidence_{i}" for i in range(1, 5))
     joins = " ".join(f"JOIN s{i} ON s{i}.review_id = s1.review_id" for i in range(2, 5))
     distinct = ", ".join(f"s{i}.sentiment" for i in range(1, 5))
     return f"WITH {_NORMALIZED}, {', '.join(parts)} SELECT s1.review_id, {cols}, len(list_distinct([{distinct}]))::INT AS n_opinions FROM s1 {joins}"

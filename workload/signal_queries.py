@@ -31,13 +31,13 @@ def emotion_fill(spark, sf_dir):
 
 
 @query(f"""WITH {I.EMOTION_SCORES}, {I.EMOTION_TOTALS}
-SELECT review_id, round(emotion_score, 6) AS emotion_score, round(emotion_confidence, 6) AS emotion_confidence FROM emotion""")
+SELECT review_id, round(emotion_score, 9) AS emotion_score, round(emotion_confidence, 9) AS emotion_confidence FROM emotion""")
 def emotion_totals(spark, sf_dir):
     return rounded(emotion.emotion_totals(filled(spark, sf_dir)))
 
 
 @query(f"""WITH {I.EMOTION_SCORES}, {I.EMOTION_TOTALS}
-SELECT review_id, round(emotion_distribution, 6) AS emotion_distribution FROM emotion""")
+SELECT review_id, round(emotion_distribution, 9) AS emotion_distribution FROM emotion""")
 def emotion_entropy(spark, sf_dir):
     return rounded(emotion.emotion_entropy(filled(spark, sf_dir)))
 
@@ -78,7 +78,7 @@ FEATURES_SQL = """features AS (
   FROM opinions o LEFT JOIN rule USING (review_id) LEFT JOIN sentiment s ON s.review_id = o.review_id
   LEFT JOIN absa a ON a.review_id = o.review_id LEFT JOIN emotion e ON e.review_id = o.review_id
   LEFT JOIN sarcasm c ON c.review_id = o.review_id)"""
-ROUNDED_FEATURES = ", ".join(f"round({f}, 6) + 0.0::DOUBLE AS {f}" for f in schemas.FEATURES)
+ROUNDED_FEATURES = ", ".join(f"round({f}, 9) + 0.0::DOUBLE AS {f}" for f in schemas.FEATURES)
 
 
 def feature_table(spark, sf_dir):
@@ -180,13 +180,13 @@ def hidden_sentiment(spark, sf_dir):
     return fusion.hidden_sentiment(I.opinions(spark, sf_dir))
 
 
-@query(f"WITH {I.OPINIONS} SELECT review_id, round({CONTEXT.replace(' AS sarcasm_context_score', '')}, 6) AS sarcasm_context_score FROM opinions")
+@query(f"WITH {I.OPINIONS} SELECT review_id, round({CONTEXT.replace(' AS sarcasm_context_score', '')}, 9) AS sarcasm_context_score FROM opinions")
 def sarcastic_context(spark, sf_dir):
     return rounded(fusion.sarcastic_context(I.opinions(spark, sf_dir)))
 
 
 @query(f"""WITH {I.ASPECT_SENTIMENT}, {ROLLUP}
-SELECT review_id, num_pos_aspects, num_neg_aspects, round({BALANCE.replace(' AS aspect_balance', '')}, 6) AS aspect_balance FROM absa""")
+SELECT review_id, num_pos_aspects, num_neg_aspects, round({BALANCE.replace(' AS aspect_balance', '')}, 9) AS aspect_balance FROM absa""")
 def aspect_balance(spark, sf_dir):
     details = absa.aspect_sentiment(I.aspect_scores(spark, sf_dir))
     signals = absa.absa_rollup(I.opinions(spark, sf_dir), details)
@@ -200,8 +200,8 @@ def contradiction(spark, sf_dir):
 
 @query(f"""WITH {I.ASPECT_SENTIMENT}, {ROLLUP}
 SELECT review_id, num_pos_aspects, num_neg_aspects, {HIDDEN},
-       round({CONTEXT.replace(' AS sarcasm_context_score', '')}, 6) AS sarcasm_context_score, {CONTRADICTION},
-       round({BALANCE.replace(' AS aspect_balance', '')}, 6) AS aspect_balance
+       round({CONTEXT.replace(' AS sarcasm_context_score', '')}, 9) AS sarcasm_context_score, {CONTRADICTION},
+       round({BALANCE.replace(' AS aspect_balance', '')}, 9) AS aspect_balance
 FROM absa JOIN opinions USING (review_id)""")
 def advanced_features(spark, sf_dir):
     reviews = I.opinions(spark, sf_dir)

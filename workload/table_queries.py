@@ -126,7 +126,7 @@ def low_confidence(spark, sf_dir):
     return feedback.low_confidence(I.fused_results(spark, sf_dir))
 
 
-_FED = ", ".join(f"round(f.{c}, 6) + 0.0::DOUBLE AS {c}" for c in schemas.FEATURES)
+_FED = ", ".join(f"round(f.{c}, 9) + 0.0::DOUBLE AS {c}" for c in schemas.FEATURES)
 
 
 @query(f"""WITH {FEATURE_TABLES}, {FEATURES_SQL}

@@ -118,19 +118,19 @@ def strip_punct(spark, sf_dir):
 _PROSE_UNITS = f"{I.PROSE}, {I.units_sql('prose')}, {I.unit_scores_sql(I.PROSE_LEXICON)}"
 
 
-@query(f"WITH {_PROSE_UNITS} SELECT review_id, unit_idx, round(valence, 6) AS valence FROM unit_scores")
+@query(f"WITH {_PROSE_UNITS} SELECT review_id, unit_idx, round(valence, 9) AS valence FROM unit_scores")
 def valence_score(spark, sf_dir):
     units = shaping.meaningful_sentences(I.prose(spark, sf_dir))
     return rounded(lexicon.valence_score(units, I.PROSE_LEXICON))
 
 
-@query(f"WITH {_PROSE_UNITS} SELECT review_id, unit_idx, round(polarity, 6) AS polarity FROM unit_scores")
+@query(f"WITH {_PROSE_UNITS} SELECT review_id, unit_idx, round(polarity, 9) AS polarity FROM unit_scores")
 def polarity_score(spark, sf_dir):
     units = shaping.meaningful_sentences(I.prose(spark, sf_dir))
     return rounded(lexicon.polarity_score(units, I.PROSE_LEXICON))
 
 
-_ROUNDED_RULE = "round(valence_score, 6) AS valence_score, round(polarity_score, 6) AS polarity_score, round(rule_polarity, 6) AS rule_polarity"
+_ROUNDED_RULE = "round(valence_score, 9) AS valence_score, round(polarity_score, 9) AS polarity_score, round(rule_polarity, 9) AS rule_polarity"
 
 
 @query(f"WITH {_PROSE_UNITS}, {I.RULE_SQL} SELECT review_id, {_ROUNDED_RULE} FROM rule")

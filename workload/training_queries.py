@@ -37,7 +37,7 @@ def bad_values(spark, sf_dir):
     return training.bad_values(_written_numbers(spark, sf_dir), _NUMBERS)
 
 
-@query(f"""WITH {I.LABELLED} SELECT label, count(*) AS n, round(count(*) / (SELECT count(*) FROM labelled)::DOUBLE, 6) AS share
+@query(f"""WITH {I.LABELLED} SELECT label, count(*) AS n, round(count(*) / (SELECT count(*) FROM labelled)::DOUBLE, 9) AS share
 FROM labelled GROUP BY label""")
 def label_distribution(spark, sf_dir):
     return rounded(training.label_distribution(I.labelled(spark, sf_dir)))
@@ -52,7 +52,7 @@ def stratified_folds(spark, sf_dir):
 
 
 @query(f"""WITH {I.LABELLED}, per AS (SELECT label, count(*) AS n FROM labelled GROUP BY label)
-SELECT review_id, label, round((SELECT count(*) FROM labelled)::DOUBLE / ((SELECT count(*) FROM per) * n), 6) AS weight
+SELECT review_id, label, round((SELECT count(*) FROM labelled)::DOUBLE / ((SELECT count(*) FROM per) * n), 9) AS weight
 FROM labelled JOIN per USING (label)""")
 def balanced_weights(spark, sf_dir):
     return rounded(training.balanced_weights(I.labelled(spark, sf_dir).select("review_id", "label")))
@@ -87,13 +87,13 @@ rows AS (
   UNION ALL SELECT fold, 'macro avg', avg(p), avg(r), avg(f), sum(support) FROM scored GROUP BY fold
   UNION ALL SELECT fold, 'weighted avg', sum(p * support) / sum(support), sum(r * support) / sum(support), sum(f * support) / sum(support), sum(support)
   FROM scored GROUP BY fold)
-SELECT fold, class, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, support::BIGINT AS support FROM rows""")
+SELECT fold, class, round(p, 9) AS precision, round(r, 9) AS recall, round(f, 9) AS f1, support::BIGINT AS support FROM rows""")
 def classification_report(spark, sf_dir):
     return rounded(training.classification_report(_guesses(spark, sf_dir), ["fold"]))
 
 
 @query(f"""WITH {_GUESSES}, acc AS (SELECT fold, avg((label = prediction)::INT) AS a FROM guesses GROUP BY fold)
-SELECT round(avg(a), 6) AS mean_accuracy, round(stddev_pop(a), 6) AS std_accuracy FROM acc""")
+SELECT round(avg(a), 9) AS mean_accuracy, round(stddev_pop(a), 9) AS std_accuracy FROM acc""")
 def cv_summary(spark, sf_dir):
     return rounded(training.cv_summary(training.fold_accuracy(_guesses(spark, sf_dir))))
 
@@ -130,7 +130,7 @@ def _sample_sql() -> str:
             digest = f"md5(i::VARCHAR || '#{f}#42')"
             noise = f"sqrt(-2 * ln({uniform(digest, 1)})) * cos(2 * pi() * {uniform(digest, 9)}) * {sigma}::DOUBLE"
             value = f"least(greatest({value} + {noise}, {low}), {high})"
-        columns.append(f"round({value}, 6) + 0.0::DOUBLE AS {f}")
+        columns.append(f"round({value}, 9) + 0.0::DOUBLE AS {f}")
     names = I.sql_list([label for _, _, label in resources.SAMPLE_ROWS])
     h = "md5(i::VARCHAR || '#id#42')"
     uid = f"concat_ws('-', substr({h}, 1, 8), substr({h}, 9, 4), substr({h}, 13, 4), substr({h}, 17, 4), substr({h}, 21, 12))"
