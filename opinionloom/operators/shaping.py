@@ -68,8 +68,9 @@ def phrase_spans(toks: Column, codes: Column, max_words: int | None = None) -> C
 
     def from_start(i: Column) -> Column:
         rest = F.substring(codes, i + 1, F.length(codes))
-        adjectives = F.length(F.regexp_extract(rest, "^(J*)N", 1))
-        nouns = F.length(F.regexp_extract(rest, "^J*(N+)", 1))
+        run = F.regexp_extract(rest, "^J*N+", 0)
+        nouns = F.length(F.replace(run, F.lit("J"), F.lit("")))
+        adjectives = F.length(run) - nouns
         last = adjectives + nouns if max_words is None else F.least(adjectives + nouns, F.lit(max_words))
         lengths = F.when((nouns > 0) & (last > adjectives), F.sequence(adjectives + 1, last)).otherwise(none)
         here, before = F.substring(codes, i + 1, F.lit(1)), F.substring(codes, i, F.lit(1))

@@ -18,6 +18,11 @@ def splits(df: DataFrame) -> int:
     return df._jdf.queryExecution().toRdd().getNumPartitions()
 
 
+def spread(df: DataFrame, min_partitions: int, key: str) -> DataFrame:
+    """Deal a table of too few splits out by `key`; leave any other table alone."""
+    return df.repartition(min_partitions, key) if splits(df) < min_partitions else df
+
+
 def read_reviews(table: DataFrame, id_col: str = "review_id", text_col: str = "text", last_id: int = 0,
                  limit: int | None = None, min_partitions: int = 0) -> DataFrame:
     """Two renamed columns, ids above last_id when it is positive, the first `limit` ids if given.
@@ -33,9 +38,7 @@ def read_reviews(table: DataFrame, id_col: str = "review_id", text_col: str = "t
         reviews = reviews.where(F.col("review_id") > last_id)
     if limit:
         return reviews.orderBy("review_id").limit(limit)
-    if min_partitions and splits(reviews) < min_partitions:
-        return reviews.repartition(min_partitions, "review_id")
-    return reviews
+    return spread(reviews, min_partitions, "review_id") if min_partitions else reviews
 
 
 def incremental_reviews(reviews: DataFrame, results: DataFrame, full: bool = False) -> DataFrame:

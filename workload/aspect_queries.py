@@ -131,9 +131,18 @@ clause_scores AS (
 mentions AS (SELECT r.*, clause FROM clause_rated r JOIN aspect_clauses USING (review_id, aspect, clause_idx))"""
 
 
+@I.stored
+def clauses(spark, sf_dir):
+    return shaping.contrast_clauses(I.opinion_aspects(spark, sf_dir))
+
+
+@I.stored
+def clause_scores(spark, sf_dir):
+    return _clause_scores(clauses(spark, sf_dir))
+
+
 def _mentions(spark, sf_dir):
-    clauses = shaping.contrast_clauses(I.opinion_aspects(spark, sf_dir))
-    return absa.clause_aspect_sentiment(clauses, _clause_scores(clauses))
+    return absa.clause_aspect_sentiment(clauses(spark, sf_dir), clause_scores(spark, sf_dir))
 
 
 @query(f"WITH {MENTIONS} SELECT review_id, aspect, clause_idx, clause, sentiment_label, sentiment_score, confidence FROM mentions")
@@ -151,7 +160,9 @@ def aggregate_mentions(spark, sf_dir):
     return rounded(absa.aggregate_mentions(_mentions(spark, sf_dir)))
 
 
+@I.stored
 def details(spark, sf_dir):
+    """Aspect details as an earlier run stored them."""
     contexts = absa.aspect_context(I.opinion_aspects(spark, sf_dir)).drop("text")
     rated = absa.aspect_sentiment(I.aspect_scores(spark, sf_dir)).drop("raw_label")
     return rated.join(contexts, ["review_id", "aspect"])

@@ -19,7 +19,7 @@ from opinionloom.operators import aspects as absa
 from opinionloom.operators import shaping
 from opinionloom.resources import Lexicon
 from opinionloom.session import scratch
-from opinionloom.sources.reviews import read_reviews
+from opinionloom.sources.reviews import read_reviews, spread
 
 OPENERS = [
     "The food was amazing, but the waiter was rude.",
@@ -80,7 +80,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
+_STORED: set[str] = set()
+
+
+def session_folder(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """One fresh folder per session, input directory and name."""
+    key = (spark.sparkContext.applicationId, str(sf_dir), name)
+    return _FOLDERS.setdefault(key, scratch(spark, name))
+
+
+_FOLDERS: dict[tuple[str, str, str], str] = {}
 
 
 def stored(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -91,18 +100,22 @@ def stored(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
     """
 
     def read(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, str(sf_dir), build.__name__)
-        if key not in _STORED:
-            path = scratch(spark, build.__name__)
+        path = session_folder(spark, sf_dir, build.__name__)
+        if path not in _STORED:
             build(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "review_id").write.parquet(path)
-            _STORED[key] = path
-        return spark.read.parquet(_STORED[key])
+            _STORED.add(path)
+        return spark.read.parquet(path)
 
     read.__name__ = build.__name__
     read.__doc__ = build.__doc__
     return read
 
 
+def spread_table(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
+    """A given table over all cores; each is one file of one row group here."""
+    return spread(load(spark, sf_dir, table), spark.sparkContext.defaultParallelism, key)
+
+
 # --- review sets -----------------------------------------------------------------------------
 
 
@@ -378,6 +391,7 @@ ASPECT_LABELS = [
 ]
 
 
+@stored
 def opinion_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(review_id, text, aspect) of all opinions with text."""
     reviews = opinions(spark, sf_dir).where(~text_functions.is_blank("text"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from opinionloom.operators import reporting, sarcasm, scoring
+from opinionloom.operators import fusion, reporting, sarcasm, scoring
 
 from . import inputs as I
 from .aspect_queries import details
 from .registry import query, rounded
-from .signal_queries import FEATURE_TABLES, TOP_EMOTION, analysis, filled, fitted, top_emotion
+from .signal_queries import FEATURE_TABLES, TOP_EMOTION, filled, fitted, stored_signals, top_emotion
 
 
 @query(f"""WITH {I.FUSED}
@@ -95,11 +95,12 @@ UNION ALL
 SELECT review_id, 'rule', CASE WHEN rule_polarity >= 0.05 THEN 'positive' WHEN rule_polarity <= -0.05 THEN 'negative' ELSE 'neutral' END,
        round(abs(rule_polarity), 9) FROM rule""")
 def signals_summary(spark, sf_dir):
-    return rounded(reporting.signals_summary(analysis(spark, sf_dir).signals))
+    return rounded(reporting.signals_summary(stored_signals(spark, sf_dir)))
 
 
 @query()
 def review_report(spark, sf_dir):
-    result = analysis(spark, sf_dir, fitted(spark, sf_dir))
-    with_text = result.signals.join(I.opinions(spark, sf_dir), "review_id")
-    return reporting.review_report(with_text, result.details)
+    signals = stored_signals(spark, sf_dir).drop("fused_label", "fused_confidence")
+    fused = fusion.fuse(signals, *fitted(spark, sf_dir))
+    with_text = fused.join(I.opinions(spark, sf_dir), "review_id")
+    return reporting.review_report(with_text, details(spark, sf_dir))

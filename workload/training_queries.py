@@ -143,7 +143,7 @@ def _sample_sql() -> str:
 @query(_sample_sql())
 def sample_training_data(spark, sf_dir):
     """One noisy sample per order key."""
-    ids = I.load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"))
+    ids = I.spread_table(spark, sf_dir, "orders", "o_orderkey").select(F.col("o_orderkey").alias("i"))
     return rounded(training_source.expand_samples(ids))
 
 
