@@ -27,8 +27,10 @@ def lookup_join(
     of its rows repeated once per salt and the facts of one key dealt out over the
     salts by a hash of `spread_by`, so that a hot key is shared by many tasks.
     """
+    added = [] if how in ("left_semi", "left_anti") else [c for c in dim.columns if c not in on]
+    columns = [*facts.columns, *added]
     if fits_broadcast(dim, max_rows):
-        return facts.join(F.broadcast(dim), on, how)
+        return facts.join(F.broadcast(dim), on, how).select(*columns)
     salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_facts.join(salted_dim, [*on, "_salt"], how).drop("_salt")
+    return salted_facts.join(salted_dim, [*on, "_salt"], how).select(*columns)

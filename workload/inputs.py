@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from opinionloom.functions import text as text_functions
 from opinionloom.operators import aspects as absa
 from opinionloom.operators import shaping
 from opinionloom.resources import Lexicon
-from opinionloom.session import scratch
+from opinionloom.session import scratch, shared_root
 from opinionloom.sources.reviews import read_reviews, spread
 
 OPENERS = [
@@ -85,11 +86,13 @@ _STORED: set[str] = set()
 
 def session_folder(spark: SparkSession, sf_dir: str, name: str) -> str:
     """One fresh folder per session, input directory and name."""
-    key = (spark.sparkContext.applicationId, str(sf_dir), name)
-    return _FOLDERS.setdefault(key, scratch(spark, name))
+    key = (spark.sparkContext.applicationId, shared_root(spark), str(sf_dir), name)
+    if key not in _FOLDERS:
+        _FOLDERS[key] = scratch(spark, name)
+    return _FOLDERS[key]
 
 
-_FOLDERS: dict[tuple[str, str, str], str] = {}
+_FOLDERS: dict[tuple[str, str, str, str], str] = {}
 
 
 def stored(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -101,9 +104,14 @@ def stored(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
     def read(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = session_folder(spark, sf_dir, build.__name__)
-        if path not in _STORED:
-            build(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "review_id").write.parquet(path)
-            _STORED.add(path)
+        if path in _STORED:
+            try:
+                return spark.read.parquet(path)
+            except AnalysisException:  # the folder was cleaned up since
+                pass
+        derived = build(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "review_id")
+        derived.write.mode("overwrite").parquet(path)
+        _STORED.add(path)
         return spark.read.parquet(path)
 
     read.__name__ = build.__name__

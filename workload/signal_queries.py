@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from opinionloom import resources as R
@@ -121,13 +122,12 @@ def training_rows(spark, sf_dir):
 def fitted(spark, sf_dir):
     """The published fusion model of the session; trained on first use."""
     directory = I.session_folder(spark, sf_dir, "models")
-    if directory not in _PUBLISHED:
-        files.publish_model(spark, *training.fit_fusion(training_rows(spark, sf_dir), trees=20, depth=5), directory, "v1")
-        _PUBLISHED.add(directory)
-    return files.load_latest_model(spark, directory)
-
-
-_PUBLISHED: set[str] = set()
+    try:
+        return files.load_latest_model(spark, directory)
+    except AnalysisException:  # nothing published yet
+        model, classes = training.fit_fusion(training_rows(spark, sf_dir), trees=20, depth=5)
+        files.publish_model(spark, model, classes, directory, "v1")
+        return model, classes
 
 
 @query()
