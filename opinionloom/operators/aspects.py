@@ -156,8 +156,8 @@ def aspect_context(review_aspects: DataFrame, window: int = resources.CONTEXT_WI
     return with_tokens.withColumn("context_phrase", phrase).drop("_toks")
 
 
-def absa_rollup(reviews: DataFrame, details: DataFrame) -> DataFrame:
-    """Aspect counts and means for every review; zeros where there is no detail."""
+def add_rollup(df: DataFrame, details: DataFrame) -> DataFrame:
+    """Add aspect counts and means; zeros where a review has no detail."""
     per_review = details.groupBy("review_id").agg(
         F.count_if(F.col("sentiment_label") == "positive").alias("num_pos_aspects"),
         F.count_if(F.col("sentiment_label") == "negative").alias("num_neg_aspects"),
@@ -165,7 +165,11 @@ def absa_rollup(reviews: DataFrame, details: DataFrame) -> DataFrame:
         F.avg("confidence").alias("avg_aspect_confidence"),
     )
     zero = {"num_pos_aspects": 0, "num_neg_aspects": 0, "avg_aspect_score": 0.0, "avg_aspect_confidence": 0.0}
-    return reviews.select("review_id").join(per_review, "review_id", "left").fillna(zero)
+    return df.join(per_review, "review_id", "left").fillna(zero)
+
+
+def absa_rollup(reviews: DataFrame, details: DataFrame) -> DataFrame:
+    return add_rollup(reviews.select("review_id"), details)
 
 
 def map_categories(details: DataFrame, categories: DataFrame) -> DataFrame:

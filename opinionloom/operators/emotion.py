@@ -31,12 +31,16 @@ def emotion_fill(reviews: DataFrame, clause_scores: DataFrame, emotions: Sequenc
     The maximum per label is taken straight from the clause rows, so one shuffle
     on review_id serves all labels.
     """
+    return add_emotions(reviews.select("review_id"), clause_scores, emotions)
+
+
+def add_emotions(df: DataFrame, clause_scores: DataFrame, emotions: Sequence[str] = resources.EMOTIONS) -> DataFrame:
     known = _known(emotions)
     label = F.lower("label")
     pooled = clause_scores.groupBy("review_id").agg(
         *[F.max(F.when(label == e, F.col("score"))).alias(e) for e in known]
     )
-    return reviews.select("review_id").join(pooled, "review_id", "left").fillna(0.0, subset=known)
+    return df.join(pooled, "review_id", "left").fillna(0.0, subset=known)
 
 
 def emotion_rows(filled: DataFrame, emotions: Sequence[str] = resources.EMOTIONS) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,19 +172,23 @@ def rule_sentiment(reviews: DataFrame, lexicon: Lexicon | DataFrame = resources.
             boosters=rules.boosters,
             negators=rules.negators,
         )
-    scored = reviews.select(
-        "review_id",
-        F.transform(text.scoring_units("text"), lambda u: unit_score(u, lexicon)).alias("units"),
-    )
+    return add_rule(reviews.select("review_id", "text"), lexicon).drop("text")
 
-    def mean(pick) -> Column:
-        return F.aggregate("units", F.lit(0.0), lambda acc, u: acc + pick(u)) / F.size("units")
 
-    return rule_label(
-        scored.select(
-            "review_id",
-            mean(lambda u: u["valence"]).alias("valence_score"),
-            mean(lambda u: u["polarity"]).alias("polarity_score"),
-            mean(lambda u: (u["valence"] + u["polarity"]) / 2).alias("rule_polarity"),
-        )
+def add_rule(reviews: DataFrame, lexicon: Lexicon = resources.DEFAULT_LEXICON,
+             cutoff: float = resources.RULE_CUTOFF) -> DataFrame:
+    """Add the rule columns to reviews(…, text), inside the row."""
+    units = F.transform(text.scoring_units("text"), lambda u: unit_score(u, lexicon))
+    scored = reviews.withColumn("_units", units)
+
+    def mean(pick: Callable[[Column], Column]) -> Column:
+        return F.aggregate("_units", F.lit(0.0), lambda acc, u: acc + pick(u)) / F.size("_units")
+
+    with_means = scored.withColumns(
+        {
+            "valence_score": mean(lambda u: u["valence"]),
+            "polarity_score": mean(lambda u: u["polarity"]),
+            "rule_polarity": mean(lambda u: (u["valence"] + u["polarity"]) / 2),
+        }
     )
+    return rule_label(with_means.drop("_units"), cutoff)

@@ -11,12 +11,19 @@ from ..functions import text
 SARCASTIC_LABELS = ["LABEL_1", "SARCASTIC"]
 
 
+def add_sarcasm(df: DataFrame, best: DataFrame) -> DataFrame:
+    """Add label, flag and confidence from best(review_id, label, score); no score gives 0 / 0.0."""
+    joined = df.join(best.select("review_id", F.col("label").alias("_label"), F.col("score").alias("_score")), "review_id", "left")
+    flag = F.coalesce(F.upper(text.strip("_label")).isin(SARCASTIC_LABELS), F.lit(False))
+    return joined.withColumns(
+        {
+            "sarcasm_label": F.when(flag, "sarcastic").otherwise("not_sarcastic"),
+            "sarcasm_score": flag.cast("int"),
+            "sarcasm_confidence": F.coalesce("_score", F.lit(0.0)),
+        }
+    ).drop("_label", "_score")
+
+
 def sarcasm_result(reviews: DataFrame, best: DataFrame) -> DataFrame:
-    """best(review_id, label, score) -> one row per review; no score gives 0 / 0.0."""
-    flag = F.coalesce(F.upper(text.strip("label")).isin(SARCASTIC_LABELS), F.lit(False))
-    return reviews.select("review_id").join(best.select("review_id", "label", "score"), "review_id", "left").select(
-        "review_id",
-        F.when(flag, "sarcastic").otherwise("not_sarcastic").alias("sarcasm_label"),
-        flag.cast("int").alias("sarcasm_score"),
-        F.coalesce("score", F.lit(0.0)).alias("sarcasm_confidence"),
-    )
+    """One row per review."""
+    return add_sarcasm(reviews.select("review_id"), best)

@@ -87,23 +87,22 @@ def normalize_labels(best: DataFrame, label_map: DataFrame) -> DataFrame:
     )
 
 
-def _result(text_label: Column, score: Column, mapping_conf: Column, usable: Column) -> list[Column]:
-    return [
-        F.when(usable, labels.sentiment_of(text_label)).otherwise(0).alias("sentiment"),
-        F.when(usable, score * mapping_conf).otherwise(0.0).alias("confidence"),
-    ]
+def add_sentiment(df: DataFrame, normalized: DataFrame, model: str, blank: Column) -> DataFrame:
+    """Add sentiment and confidence of one model; a blank text or no score gives 0 / 0.0."""
+    best = normalized.where(F.col("model") == model).select("review_id", "text_label", "score", "mapping_conf")
+    usable = ~blank & F.col("score").isNotNull()
+    return df.join(best, "review_id", "left").select(
+        *[df[c] for c in df.columns],
+        F.when(usable, labels.sentiment_of(F.col("text_label"))).otherwise(0).alias("sentiment"),
+        F.when(usable, F.col("score") * F.col("mapping_conf")).otherwise(0.0).alias("confidence"),
+    )
 
 
 def sentiment_result(reviews: DataFrame, normalized: DataFrame, model: str) -> DataFrame:
-    """One row per review; blank text or no score gives 0 / 0.0."""
-    best = normalized.where(F.col("model") == model).select("review_id", "text_label", "score", "mapping_conf")
+    """One row per review with sentiment, confidence and the model used."""
     blank = reviews.select("review_id", text.is_blank("text").alias("_blank"))
-    usable = ~F.col("_blank") & F.col("score").isNotNull()
-    return blank.join(best, "review_id", "left").select(
-        "review_id",
-        *_result(F.col("text_label"), F.col("score"), F.col("mapping_conf"), usable),
-        F.lit(model).alias("model_used"),
-    )
+    rated = add_sentiment(blank, normalized, model, F.col("_blank"))
+    return rated.select("review_id", "sentiment", "confidence", F.lit(model).alias("model_used"))
 
 
 def signed_score(results: DataFrame) -> DataFrame:

@@ -72,32 +72,32 @@ def aspect_details(reviews: DataFrame, scores: DataFrame | None, settings: Setti
     )
 
 
-def _sentiment(reviews: DataFrame, scores: DataFrame | None, settings: Settings) -> DataFrame:
+def _add_sentiment(df: DataFrame, scores: DataFrame | None, settings: Settings) -> DataFrame:
     if scores is None:
-        rows = reviews.select("review_id", F.lit(0).alias("sentiment"), F.lit(0.0).alias("confidence"))
-        return scoring.signed_score(rows)
-    label_map = settings.label_map or scoring.catalog_label_map(reviews.sparkSession)
-    chosen = scores.where(F.col("model") == settings.sentiment_model)
-    best = scoring.argmax_label(chosen, ("review_id", "model"))
-    normalized = scoring.normalize_labels(best, label_map)
-    return scoring.signed_score(scoring.sentiment_result(reviews, normalized, settings.sentiment_model))
+        rated = df.withColumns({"sentiment": F.lit(0), "confidence": F.lit(0.0)})
+    else:
+        label_map = settings.label_map or scoring.catalog_label_map(df.sparkSession)
+        chosen = scores.where(F.col("model") == settings.sentiment_model)
+        # Grouped by review_id alone, so the result is already placed for the join.
+        best = scoring.argmax_label(chosen, ("review_id",)).withColumn("model", F.lit(settings.sentiment_model))
+        normalized = scoring.normalize_labels(best, label_map)
+        rated = scoring.add_sentiment(df, normalized, settings.sentiment_model, F.col("_blank"))
+    return scoring.signed_score(rated).withColumnRenamed("confidence", "sentiment_confidence")
 
 
-def _emotion(reviews: DataFrame, scores: DataFrame | None, settings: Settings) -> DataFrame:
+def _add_emotion(df: DataFrame, scores: DataFrame | None, settings: Settings) -> DataFrame:
     if scores is None:
-        filled = reviews.select("review_id", *[F.lit(0.0).alias(e.lower()) for e in settings.emotions])
+        filled = df.withColumns({e.lower(): F.lit(0.0) for e in settings.emotions})
     else:
-        filled = emotion.emotion_fill(reviews, scores, settings.emotions)
+        filled = emotion.add_emotions(df, scores, settings.emotions)
     return emotion.emotion_signals(filled, settings.emotions)
 
 
-def _sarcasm(reviews: DataFrame, scores: DataFrame | None) -> DataFrame:
+def _add_sarcasm(df: DataFrame, scores: DataFrame | None) -> DataFrame:
     if scores is None:
-        return reviews.select(
-            "review_id", F.lit("not_sarcastic").alias("sarcasm_label"), F.lit(0).alias("sarcasm_score"),
-            F.lit(0.0).alias("sarcasm_confidence"),
-        )
-    return sarcasm.sarcasm_result(reviews, scoring.argmax_label(scores, ("review_id",)))
+        none = {"sarcasm_label": F.lit("not_sarcastic"), "sarcasm_score": F.lit(0), "sarcasm_confidence": F.lit(0.0)}
+        return df.withColumns(none)
+    return sarcasm.add_sarcasm(df, scoring.argmax_label(scores, ("review_id",)))
 
 
 def analyze_reviews(
@@ -109,28 +109,20 @@ def analyze_reviews(
     """All signals of every review, and the fused label.
 
     A review never stops the batch: absent scores, blank text or an absent model
-    give the default values. The text is read once per stage inside the row; only
-    ids and numbers are shuffled, always by review_id.
+    give the default values. The rule columns are computed inside the row and the
+    text is dropped; what remains is shuffled once by review_id, and each signal
+    joins it already reduced to one row per review.
     """
     scores, settings = scores or Scores(), settings or Settings()
-    rule = lexicon.rule_sentiment(reviews, settings.lexicon)
-    sentiment = _sentiment(reviews, scores.sentiment, settings)
     details = aspect_details(reviews, scores.aspects, settings)
-    rollup = absa.absa_rollup(reviews, details)
-    emotions = _emotion(reviews, scores.emotions, settings)
-    sarcastic = _sarcasm(reviews, scores.sarcasm)
-
-    ids = reviews.select("review_id")
+    flagged = reviews.select("review_id", "text", text.is_blank("text").alias("_blank"))
+    wide = lexicon.add_rule(flagged, settings.lexicon).drop("text")
+    wide = _add_sentiment(wide, scores.sentiment, settings)
+    wide = absa.add_rollup(wide, details)
+    wide = _add_emotion(wide, scores.emotions, settings)
+    wide = _add_sarcasm(wide, scores.sarcasm)
+    wide = wide.withColumn("sentiment_label", labels.label_of(F.col("sentiment")))
     emotion_columns = [e.lower() for e in settings.emotions]
-    wide = (
-        ids.join(rule, "review_id", "left")
-        .join(sentiment.select("review_id", "sentiment", F.col("confidence").alias("sentiment_confidence"),
-                               "sentiment_score"), "review_id", "left")
-        .join(rollup, "review_id", "left")
-        .join(emotions, "review_id", "left")
-        .join(sarcastic, "review_id", "left")
-        .withColumn("sentiment_label", labels.label_of(F.col("sentiment")))
-    )
     features = {f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in schemas.FEATURES}
     extra = ["valence_score", "polarity_score", "rule_label", "sentiment", "sentiment_label", *emotion_columns,
              "emotion_label", "top_emotion_score", "sarcasm_label"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import argparse
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,3 +53,29 @@ def run_training(spark: SparkSession, mode: str, model_dir: str, version: str, *
             raise ValueError("manual mode needs table_path, a labelled training table")
         return train_and_publish(read_training_table(spark, table_path), model_dir, version, k, trees)
     raise ValueError(f"unknown mode {mode!r}: use sample, feedback or manual")
+
+
+def main(argv: list[str] | None = None) -> None:
+    """spark-submit entry: python -m opinionloom.plans.train --mode sample --model-dir DIR --version v1"""
+    parser = argparse.ArgumentParser(description="Train the fusion model")
+    parser.add_argument("--mode", choices=["sample", "feedback", "manual"], required=True)
+    parser.add_argument("--model-dir", required=True)
+    parser.add_argument("--version", required=True)
+    parser.add_argument("--num-samples", type=int, default=100)
+    parser.add_argument("--folds", type=int, default=5)
+    for name in ("--feedback-log", "--table-path", "--export-path"):
+        parser.add_argument(name)
+    args = parser.parse_args(argv)
+    spark = SparkSession.builder.appName("opinionloom-train").getOrCreate()
+    run = run_training(
+        spark, args.mode, args.model_dir, args.version, n=args.num_samples, feedback_log=args.feedback_log,
+        table_path=args.table_path, export_path=args.export_path, k=args.folds,
+    )
+    for table in (run.summary, run.report, run.importance):
+        if table is not None:
+            table.show(100, truncate=False)
+    print(f"model: {run.model_path}, rows exported: {run.exported}")
+
+
+if __name__ == "__main__":
+    main()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +66,14 @@ class ResultStore:
         aspects.write.mode("overwrite").parquet(self._folder("aspects", batch_id))
         results.write.mode("overwrite").parquet(self._folder("results", batch_id))
 
+    def last_batch(self) -> int | None:
+        """Id of the newest batch; None for a store that holds nothing yet."""
+        base = f"{self.path}/results"
+        try:
+            return self.spark.read.option("basePath", base).parquet(base).agg(F.max("batch_id")).first()[0]
+        except AnalysisException:
+            return None
+
     def results(self) -> DataFrame:
         rows = self.spark.read.option("basePath", f"{self.path}/results").parquet(f"{self.path}/results")
         return latest_rows(rows, ["batch_id", "updated_at"])
@@ -75,3 +84,12 @@ class ResultStore:
         last = self.spark.read.option("basePath", base).parquet(base).groupBy(KEY).agg(F.max("batch_id").alias("batch_id"))
         rows = self.spark.read.option("basePath", f"{self.path}/aspects").parquet(f"{self.path}/aspects")
         return rows.join(last, [KEY, "batch_id"], "left_semi").drop("batch_id")
+
+    def compact(self, path: str) -> ResultStore:
+        """Write the latest state as the only batch of a new store and return that store.
+
+        The batch takes the largest id so far, so later batches of the stream come after it.
+        """
+        smaller = ResultStore(self.spark, path)
+        smaller.write_batch(self.last_batch() or 0, self.results(), self.aspects())
+        return smaller

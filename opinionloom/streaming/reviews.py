@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,10 +30,12 @@ def stream_reviews(
 
     def process(batch: DataFrame, batch_id: int) -> None:
         analysis = analyze(batch)
-        details = analysis.details
+        # Written itself and read again for the roll-up of the results.
+        details = found = analysis.details.persist(StorageLevel.MEMORY_AND_DISK)
         if categories is not None:
             details = absa.map_categories(details, categories)
         store.write_batch(batch_id, stamped(result_rows(analysis.signals)), details)
+        found.unpersist()
 
     writer = reviews.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -7,6 +7,7 @@ from helpers import rows
 from opinionloom.functions.joins import lookup_join
 from opinionloom.operators import aspects as absa
 from opinionloom.operators import fusion, lexicon, reporting, scoring, shaping
+from opinionloom.plans import analyze
 from opinionloom.sources.reviews import incremental_reviews, read_reviews
 
 DOCUMENTS = "/root/testdata/sf0.001/documents.parquet"
@@ -83,3 +84,19 @@ def test_salts_split_the_hot_key(spark):
     facts = spark.range(3000).select("id", F.lit("hot").alias("k"))
     salted = facts.select(F.pmod(F.xxhash64("id"), F.lit(8)).alias("s")).groupBy("s").count().collect()
     assert len(salted) == 8 and max(r["count"] for r in salted) < 3000 / 4
+
+
+def test_signals_share_one_partitioning(spark, documents):
+    """Without broadcasts: one shuffle of the reviews, one per score table, two for the aspect rows."""
+    table = spark.read.parquet(DOCUMENTS)
+    score = table.selectExpr("doc_id as review_id", "lang as model", "0 as pos", "source as label", "0.5D as score", "lang as aspect", "0 as clause_idx")
+    scores = analyze.Scores(score, score, score, score)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(analyze.analyze_reviews(documents, scores).signals)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 7
+    assert not any("text#" in line for line in shuffles)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from helpers import rows
 from opinionloom.operators import feedback, reporting
 from opinionloom.plans import analyze
+from opinionloom.plans.batch import run_batch
 from opinionloom.sinks import files, tables
 from opinionloom.sources import reviews as source
 from opinionloom.streaming.reviews import stream_feedback, stream_reviews
@@ -123,6 +124,10 @@ def test_a_replayed_batch_changes_nothing(spark, folder):
     store.write_batch(1, results.where("review_id = 1"), aspects.where("review_id = 5"))
     assert rows(store.results(), "review_id", "label") == [(1, "a"), (2, "b")]
     assert rows(store.aspects()) == [(2, "bar")]
+    small = store.compact(folder("compacted"))
+    assert rows(small.results()) == rows(store.results()) and rows(small.aspects()) == [(2, "bar")]
+    small.write_batch(2, results.where("review_id = 2"), aspects.where("review_id = 5"))
+    assert small.results().count() == 2 and small.aspects().count() == 0
 
 
 def test_feedback_stream(spark, folder):
@@ -132,3 +137,19 @@ def test_feedback_stream(spark, folder):
     )
     stream_feedback(stream, folder("log"), folder("cp")).awaitTermination()
     assert spark.read.json(folder("log")).count() == 6
+
+
+def test_batch_runs_pick_up_what_is_new(spark, reviews, folder, tmp_path):
+    store = tables.ResultStore(spark, folder("store"))
+    scores = analyze.Scores(aspects=spark.createDataFrame(
+        [(0, "food", 0, "LABEL_2", 0.9), (3, "wine", 0, "LABEL_0", 0.6)], "review_id long, aspect string, pos int, label string, score double"))
+    categories = spark.createDataFrame([(4, "Food")], "category_id int, aspect string")
+    first = run_batch(reviews("Good food", "Bad", None), store, scores, categories=categories, feedback_path=folder("log"), report_path=folder("report"))
+    assert first.signals.count() == 3
+    assert rows(store.aspects(), "review_id", "category_id", "aspect_confidence") == [(0, 4, 0.9)]
+    assert spark.read.json(folder("log")).count() == 3 and (tmp_path / "report/summary/_SUCCESS").exists()
+    more = reviews("Good food", "Bad", None, "Lovely wine")
+    assert rows(run_batch(more, store, scores).signals, "review_id") == [(3,)]
+    assert run_batch(more, store, scores, mode="missing").signals.count() == 0
+    assert run_batch(more, store, scores, mode="full").signals.count() == 4
+    assert store.results().count() == 4 and store.last_batch() == 2  # the empty run left no rows
