@@ -14,8 +14,8 @@ def open_table(spark: SparkSession, fmt: str, path: str | None = None, **options
 
 
 def splits(df: DataFrame) -> int:
-    """Number of tasks of the scan, from its plan; nothing runs."""
-    return df._jdf.queryExecution().toRdd().getNumPartitions()
+    """Number of tasks of a scan; plans it, runs nothing."""
+    return df.rdd.getNumPartitions()
 
 
 def spread(df: DataFrame, min_partitions: int, key: str) -> DataFrame:

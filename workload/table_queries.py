@@ -172,12 +172,12 @@ def _fresh(spark, sf_dir):
 new AS (SELECT * FROM fresh WHERE rn = 1)
 SELECT coalesce(n.review_id, c_custkey) AS review_id, coalesce(fusion_label, 'old') AS fusion_label,
        coalesce(fusion_confidence, (c_custkey % 101)::DOUBLE / 100) AS fusion_confidence,
-       epoch(CASE WHEN c_custkey IS NOT NULL THEN TIMESTAMP '2024-01-01' ELSE created_at END)::BIGINT AS created_at,
-       epoch(coalesce(updated_at, TIMESTAMP '2024-01-01'))::BIGINT AS updated_at
+       strftime(CASE WHEN c_custkey IS NOT NULL THEN TIMESTAMP '2024-01-01' ELSE created_at END, '%Y-%m-%d %H:%M:%S') AS created_at,
+       strftime(coalesce(updated_at, TIMESTAMP '2024-01-01'), '%Y-%m-%d %H:%M:%S') AS updated_at
 FROM new n FULL JOIN customer ON c_custkey = n.review_id""")
 def upsert_results(spark, sf_dir):
     merged = tables.upsert_results(_stored(spark, sf_dir), _fresh(spark, sf_dir), "pos")
-    return merged.withColumns({c: F.unix_timestamp(c) for c in tables.AUDIT})
+    return merged.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in tables.AUDIT})
 
 
 @query("""WITH existing AS (SELECT l_orderkey AS review_id, l_partkey AS category_id, l_returnflag AS span_text FROM lineitem),
