@@ -27,8 +27,10 @@ MODEL_BYTES = 256 << 20
 MAX_SLOTS = 2_097_143
 #: Distinct n-grams a task holds before it passes their counts on, and scored n-grams a worker remembers.
 HELD = 1_000_000
-#: Rejection: entropy above the median by SLACK times the distance from the median to the 99th percentile.
+#: Rejection: entropy above the median by SLACK times the distance from the median to the 99th percentile, and
+#: by MARGIN nats a character at least. A text partly in another language stays; one in no known language goes.
 SLACK = 4.0
+MARGIN = 1.0
 #: Documents with a letter but fewer than this many characters are never rejected: their entropy says little.
 SURE_LENGTH = 20
 UNKNOWN = "und"
@@ -263,8 +265,9 @@ def identify(docs: DataFrame, taught: Column | None = None) -> DataFrame:
     right = scored.where("lang = best AND length > 0").select("best", size.alias("size"), "entropy")
     at = F.percentile_approx("entropy", [0.5, 0.99], 10_000)
     limits = right.groupBy("best", "size").agg(at.alias("q"), F.count("*").alias("n")).where("n >= 100")
-    limits = limits.select("best", "size", (F.col("q")[0] + SLACK * (F.col("q")[1] - F.col("q")[0])).alias("own_limit"))
-    common = right.groupBy("best").agg(at.alias("q")).select("best", (F.col("q")[0] + SLACK * (F.col("q")[1] - F.col("q")[0])).alias("any_limit"))
+    limit = F.col("q")[0] + F.greatest(SLACK * (F.col("q")[1] - F.col("q")[0]), F.lit(MARGIN))
+    limits = limits.select("best", "size", limit.alias("own_limit"))
+    common = right.groupBy("best").agg(at.alias("q")).select("best", limit.alias("any_limit"))
     judged = scored.withColumn("size", size).join(F.broadcast(limits), ["best", "size"], "left").join(F.broadcast(common), "best", "left")
     return judged.select(
         "doc_id",
