@@ -118,13 +118,12 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and text number of the words (runs of bytes other than white space)."""
-    if not len(data):
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text number of the maximal runs of set bytes; no run crosses texts."""
+    if not len(inside):
         empty = np.zeros(0, np.int64)
         return empty, empty, empty
-    inside = ~SPACE[data]
-    first = np.zeros(len(data) + 1, bool)
+    first = np.zeros(len(inside) + 1, bool)
     first[offsets] = True
     starts = inside.copy()
     starts[1:] &= ~inside[:-1] | first[1:-1]
@@ -134,6 +133,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text number of the words (runs of bytes other than white space)."""
+    return runs(~SPACE[data], offsets)
+
+
 def combine(parts: list[np.ndarray], seed: int) -> np.ndarray:
     """One hash for a sequence of hashes."""
     out = np.full(len(parts[0]), seed, np.uint64)

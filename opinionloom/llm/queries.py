@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_dedup, packing, repeated_spans, token_counts
+from . import decontamination, language_id, near_dedup, packing, quality_classifier, repeated_spans, token_counts, toxicity
 from .common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,19 @@ def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify(table(spark, sf_dir, "documents"))
     return found.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "rejected", "entropy")
+
+
+def _marks(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", F.col(name).alias("label"))
+
+
+@query()
+def op5_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = toxicity.toxicity(table(spark, sf_dir, "documents"), _marks(spark, sf_dir, "toxic"))
+    return rated.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query()
+def op7_fourier_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = quality_classifier.quality(table(spark, sf_dir, "documents"), _marks(spark, sf_dir, "quality"))
+    return rated.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
