@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_dedup, packing, quality_classifier, repeated_spans, token_counts, toxicity
+from . import decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, repeated_spans, token_counts, toxicity
 from .common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,29 @@ def op5_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_fourier_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality_classifier.quality(table(spark, sf_dir, "documents"), _marks(spark, sf_dir, "quality"))
     return rated.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+_RULES = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, string_split(text, chr(10)) AS l FROM t),
+win AS (SELECT doc_id, k, w[k:k+2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM w)),
+again AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([k, k+1, k+2]) AS p FROM again) GROUP BY doc_id),
+m AS (
+    SELECT w.doc_id, len(w.w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+           (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+           (len(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+           coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines
+    FROM w LEFT JOIN rep USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words
+            OR 10 * n_symbols > 3 * n_words OR 100 * n_dup_lines > 50 * n_lines) AS kept
+FROM m
+"""
+
+
+@query(_RULES)
+def op4_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.digests(table(spark, sf_dir, "documents")).drop("failed_rule")
