@@ -1,8 +1,62 @@
 """The corpus pipeline: stages over `documents`, each one's rows written as Parquet and read by the next."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from opinionloom.llm import decontamination, language_id, near_dedup, packing, repeated_spans
+from opinionloom.llm.common import stored
+
+_KEY = -(1 << 63)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"key_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_KEY)), "key_name": F.xxhash64(F.col("text").cast("string"))})
+
+
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the models know; letterless and empty ones go."""
+    judged = language_id.identify(docs).where("rejected")
+    gone = judged.select(F.coalesce("doc_id", F.lit(_KEY)).alias("key_id"), F.col("name").alias("key_name")).distinct()
+    return _keyed(docs).join(gone, ["key_id", "key_name"], "left_anti").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near duplicates; of repeated rows, one."""
+    kept = near_dedup.near_duplicates(docs).where("kept OR n_shingles = 0").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without byte strings that repeat anywhere."""
+    return repeated_spans.cut_repeats(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without benchmark passages; a document that is mostly benchmark goes."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", known_languages),
+    ("near_dedup", one_of_each_group),
+    ("suffix_dedup", without_repeats),
+    ("decontamination", without_benchmark),
+    ("packing", packed),
+]
+
+#: Character models and tokenizers are not SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

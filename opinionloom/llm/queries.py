@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, repeated_spans, token_counts, toxicity
+from . import chat_formatting, decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, repeated_spans, token_counts, toxicity
 from .common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,20 @@ FROM m
 @query(_RULES)
 def op4_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digests(table(spark, sf_dir, "documents")).drop("failed_rule")
+
+
+_CHATS = """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+    SELECT conv_id, list('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) ORDER BY turn NULLS FIRST, md5(role || chr(31) || text)) AS l
+    FROM t GROUP BY conv_id
+),
+p AS (SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(range(1, len(l))) AS k FROM c)),
+f AS (SELECT l, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY l)
+SELECT conv_id, len(l)::BIGINT AS n_turns, n_copies, array_to_string(l, '') AS text FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.l = f.l)
+"""
+
+
+@query(_CHATS)
+def op2_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_formatting.format_chats(table(spark, sf_dir, "conversations"))
