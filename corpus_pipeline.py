@@ -6,20 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinionloom.llm import decontamination, language_id, near_dedup, packing, repeated_spans
-from opinionloom.llm.common import stored
-
-_KEY = -(1 << 63)
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"key_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_KEY)), "key_name": F.xxhash64(F.col("text").cast("string"))})
-
+from opinionloom.llm.common import NO_ID, document_key, stored
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the models know; letterless and empty ones go."""
+    keyed, keys = document_key(docs)
     judged = language_id.identify(docs).where("rejected")
-    gone = judged.select(F.coalesce("doc_id", F.lit(_KEY)).alias("key_id"), F.col("name").alias("key_name")).distinct()
-    return _keyed(docs).join(gone, ["key_id", "key_name"], "left_anti").select(*docs.columns)
+    gone = judged.select(F.coalesce("doc_id", F.lit(NO_ID)).alias(keys[0]), F.coalesce("name", F.lit(0)).alias(keys[1])).distinct()
+    return keyed.join(gone, keys, "left_anti").select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

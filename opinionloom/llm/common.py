@@ -40,6 +40,27 @@ def text_table(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of `docs` has them."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+NO_ID = -(1 << 63)
+
+
+def document_key(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """`docs` with two more columns that name a document, doc_id and a hash of the text, never null; their names."""
+    names = free_names(docs, "key_id", "key_text")
+    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0))]
+    return docs.withColumns(dict(zip(names, keys))), names
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_table
+from .common import NO_ID, document_key, free_names, text_table
 
 WINDOW = 10
 #: Words of items in one automaton; more items make more blocks, each with an automaton of its own.
@@ -260,12 +260,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
 
     All columns are kept; n_chars, where present, is that of the new text. Documents without a hit are unchanged.
     """
-    found = contamination(docs, benchmark, window).where("contaminated")
     names = docs.columns
-    keys = [F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_key"), "name"]
-    hit = found.select(*keys, (F.col("n_hit") > coverage * F.col("n_words")).alias("drop_it"), "hits").dropDuplicates(["doc_key", "name"])
-    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_key"), F.xxhash64(F.col("text").cast("string")).alias("name_key"))
-    joined = keyed.join(hit.withColumnRenamed("name", "name_key"), ["doc_key", "name_key"], "left").where("drop_it IS NULL OR NOT drop_it")
+    keyed, keys = document_key(docs)
+    drop, hits = free_names(docs, "drop_it", "hit_ranges")
+    found = contamination(docs, benchmark, window).where("contaminated").select(
+        F.coalesce("doc_id", F.lit(NO_ID)).alias(keys[0]), F.coalesce("name", F.lit(0)).alias(keys[1]),
+        (F.col("n_hit") > coverage * F.col("n_words")).alias(drop), F.col("hits").alias(hits),
+    ).dropDuplicates(keys)
+    joined = keyed.join(found, keys, "left").where(F.coalesce(~F.col(drop), F.lit(True)))
     kind = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    clean = joined.select(*[F.col(f"`{n}`") for n in names], "hits").mapInArrow(_cutting, kind)
+    clean = joined.select(*[F.col(f"`{n}`") for n in names], hits).mapInArrow(_cutting, kind)
     return clean.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in names else clean

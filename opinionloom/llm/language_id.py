@@ -116,7 +116,7 @@ def probabilities(counts: DataFrame) -> DataFrame:
     for n in range(1, ORDER + 1):
         table = orders[n].withColumn("context", F.shiftrightunsigned("gram", 16) if n > 1 else F.lit(0).cast("long"))
         ones, twos = (F.sum(F.when(F.col("n") == k, 1).otherwise(0)) for k in (1, 2))
-        discounts = table.groupBy("lang").agg((ones / (ones + 2 * twos)).alias("raw"))
+        discounts = table.groupBy("lang").agg(F.try_divide(ones, ones + 2 * twos).alias("raw"))
         discounts = discounts.select("lang", F.when(F.col("raw") > 0, F.least("raw", F.lit(0.9))).otherwise(0.5).alias("d"))
         contexts = table.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
         contexts = contexts.join(F.broadcast(discounts), "lang").withColumn("weight", F.col("d") * F.col("kinds") / F.col("total"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, list_array, mix, prefix_hashes, sorted_runs, span_hashes, stored, text_blocks, text_table
+from .common import document_key, free_names, list_array, mix, prefix_hashes, sorted_runs, span_hashes, stored, text_blocks, text_table
 from .suffix_groups import byte_suffix_order
 
 LENGTH = 400
@@ -228,12 +228,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return spans
 
 
-def _spans_of(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of `docs` with doc and name, and the spans of each such document."""
-    text = F.col("text").cast("string")
-    keyed = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "name": F.xxhash64(text)})
-    spans = repeated_spans(keyed.select("doc", "name", text.alias("text")), length)
-    return keyed, spans.groupBy("doc", "name").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+def _with_spans(docs: DataFrame, length: int) -> tuple[DataFrame, str]:
+    """`docs` with one more column, the spans to remove (null if none), and its name."""
+    keyed, keys = document_key(docs)
+    (column,) = free_names(docs, "cut_spans")
+    spans = repeated_spans(keyed.select(F.col(keys[0]).alias("doc"), F.col(keys[1]).alias("name"), F.col("text").cast("string").alias("text")), length)
+    spans = spans.groupBy(F.col("doc").alias(keys[0]), F.col("name").alias(keys[1])).agg(F.collect_list(F.struct("begin", "end")).alias(column))
+    return keyed.join(spans, keys, "left").select(*[F.col(f"`{n}`") for n in docs.columns], column), column
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
@@ -243,8 +244,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     bytes of characters that a span cuts in two are dropped from the text (not from the digest). An empty table
     gives an empty table. Only doc_id and text are read.
     """
-    keyed, spans = _spans_of(text_table(docs), length)
-    joined = keyed.join(spans, ["doc", "name"], "left").select("doc_id", F.col("text").cast("binary").alias("raw"), "spans")
+    joined, spans = _with_spans(text_table(docs), length)
+    joined = joined.select("doc_id", F.col("text").cast("binary").alias("raw"), spans)
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return joined.mapInArrow(_cleaning(with_text), kind + ", kept_text string" * with_text)
 
@@ -255,7 +256,7 @@ def _shortening(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, spans = batch.schema.get_field_index("text"), batch.column(batch.num_columns - 1)
         raw = batch.column(at).cast(pa.binary())
-        part = pa.RecordBatch.from_arrays([batch.column(0), raw, spans], names=["doc_id", "raw", "spans"])
+        part = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), raw, spans], names=["doc_id", "raw", "spans"])
         left = next(clean(iter([part]))).column(5)
         text = pa.array([new if s.is_valid else old for new, old, s in zip(left.to_pylist(), batch.column(at).to_pylist(), spans)], pa.string())
         yield pa.RecordBatch.from_arrays([text if k == at else c for k, c in enumerate(batch.columns[:-1])], names=batch.schema.names[:-1])
@@ -267,8 +268,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Documents without repeated strings are unchanged. One that consists of repeated strings keeps its row with
     what is left, an empty text at least. n_chars, where present, is that of the new text.
     """
-    keyed, spans = _spans_of(docs, length)
-    joined = keyed.join(spans.withColumnRenamed("spans", "cut_spans"), ["doc", "name"], "left")
+    joined, _ = _with_spans(docs, length)
     kind = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    clean = joined.select(*[F.col(f"`{n}`") for n in docs.columns], "cut_spans").mapInArrow(_shortening, kind)
+    clean = joined.mapInArrow(_shortening, kind)
     return clean.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else clean
