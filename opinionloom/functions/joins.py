@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 32 << 20
 
 
-def fits_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    return dim.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether the table has at most max_rows rows, and at most max_bytes as text; reads no more than that many rows."""
+    wide = sum((F.coalesce(F.length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 8 for c in dim.columns), F.lit(0))
+    r = dim.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(wide.cast("bigint")).alias("size")).first()
+    return r.n <= max_rows and (r.size or 0) <= max_bytes
 
 
 def lookup_join(
@@ -27,6 +31,8 @@ def lookup_join(
     of its rows repeated once per salt and the facts of one key dealt out over the
     salts by a hash of `spread_by`, so that a hot key is shared by many tasks.
     """
+    if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
+        raise ValueError(f"a {how} join would repeat dimension rows")
     added = [] if how in ("left_semi", "left_anti") else [c for c in dim.columns if c not in on]
     columns = [*facts.columns, *added]
     if fits_broadcast(dim, max_rows):

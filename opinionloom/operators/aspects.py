@@ -61,20 +61,46 @@ def extract_aspects(
     """(review_id, aspect), one row per distinct aspect of a review.
 
     A dictionary table beyond `max_inline` rows is joined with the phrases instead
-    of travelling inside the plan; its longest entry is measured by Spark unless
-    `longest` says how many words it has.
+    of travelling inside the plan; its longest entry is measured by Spark. `longest`
+    can only widen the phrases that are looked up.
     """
     if isinstance(aspects, DataFrame):
         rows = inline_or_none(aspects.select("aspect").distinct(), max_inline)
         if rows is None:
-            if longest is None:
-                longest = aspects.agg(F.max(F.size(F.split("aspect", " ")))).first()[0]
+            longest = max(longest or 1, aspects.agg(F.max(F.size(F.split("aspect", " ")))).first()[0] or 1)
             phrases = reviews.select("review_id", F.explode(F.array_distinct(_candidates(longest, pos))).alias("aspect"))
             return lookup_join(phrases, aspects.select("aspect").distinct(), ["aspect"], ["review_id"], "left_semi")
         aspects = [r["aspect"] for r in rows]
     return reviews.select("review_id", F.explode(aspect_array(aspects, pos)).alias("aspect"))
 
 
+def add_aspect_arrays(reviews: DataFrame, aspects: Sequence[str] | DataFrame, pos: Mapping[str, int] | None = None,
+                      max_inline: int = MAX_INLINE) -> DataFrame:
+    """Add `found`, the distinct dictionary aspects of each review(review_id, text), empty where there is none.
+
+    With a dictionary beyond `max_inline` rows, review_id must be a key of the reviews.
+    """
+    if isinstance(aspects, DataFrame):
+        rows = inline_or_none(aspects.select("aspect").distinct(), max_inline)
+        if rows is None:
+            pairs = extract_aspects(reviews, aspects, pos, max_inline=max_inline)
+            arrays = pairs.groupBy("review_id").agg(F.collect_set("aspect").alias("found"))
+            joined = reviews.join(arrays, "review_id", "left")
+            return joined.withColumn("found", F.coalesce("found", F.array().cast(_NO_STRINGS)))
+        aspects = [r["aspect"] for r in rows]
+    return reviews.withColumn("found", aspect_array(aspects, pos))
+
+
+def exploded_contexts(found: DataFrame, window: int = resources.CONTEXT_WINDOW) -> DataFrame:
+    """(review_id, aspect, context_phrase) of reviews with `found`; the text is tokenised once per review and stays in its row."""
+    kept = found.select("review_id", text.tokens("text").alias("_toks"), aspects_or_overall(without_singulars(F.col("found"))).alias("_kept"))
+
+    def with_context(aspect: Column) -> Column:
+        return F.struct(aspect.alias("aspect"), text.context_windows(F.col("_toks"), aspect, window).alias("context_phrase"))
+
+    return kept.select("review_id", F.explode(F.transform("_kept", with_context)).alias("a")).select("review_id", "a.*")
+
+
 def without_singulars(found: Column) -> Column:
     """Drop an aspect when its plural in -s, or in -es after a hissing sound, was found too."""
 
@@ -114,10 +140,10 @@ def default_overall(reviews: DataFrame, aspects: Sequence[str] = resources.ASPEC
     return found.select("review_id", F.posexplode(kept).alias("aspect_idx", "aspect"))
 
 
-def aspect_units(reviews: DataFrame, aspects: Sequence[str] = resources.ASPECTS, separator: str = " [SEP] ",
+def aspect_units(reviews: DataFrame, aspects: Sequence[str] | DataFrame = resources.ASPECTS, separator: str = " [SEP] ",
                  pos: Mapping[str, int] | None = None) -> DataFrame:
     """One classifier input per (review, aspect); blank text gives none."""
-    usable = reviews.where(~text.is_blank("text")).withColumn("found", aspect_array(aspects, pos))
+    usable = add_aspect_arrays(reviews.where(~text.is_blank("text")), aspects, pos)
     kept = aspects_or_overall(without_singulars(F.col("found")))
     exploded = usable.select("review_id", "text", F.explode(kept).alias("aspect"))
     return exploded.select("review_id", "aspect", F.concat_ws(separator, text.strip("text"), "aspect").alias("unit"))
@@ -126,7 +152,9 @@ def aspect_units(reviews: DataFrame, aspects: Sequence[str] = resources.ASPECTS,
 def label_columns(label: Column, score: Column) -> dict[str, Column]:
     """sentiment_label, sentiment_score and confidence of one best (label, score)."""
     name = F.when(score.isNull(), "neutral").otherwise(labels.aspect_label(label))
-    confidence = F.coalesce(score, F.lit(0.0))
+    # A LABEL_ without a number can't be read: neutral without confidence.
+    malformed = F.coalesce(labels.has_label_prefix(label) & labels.class_index(label).isNull(), F.lit(False))
+    confidence = F.when(malformed, 0.0).otherwise(F.coalesce(score, F.lit(0.0)))
     return {
         "sentiment_label": name,
         "sentiment_score": labels.signed(labels.aspect_direction(name), confidence),
@@ -156,16 +184,20 @@ def aspect_context(review_aspects: DataFrame, window: int = resources.CONTEXT_WI
     return with_tokens.withColumn("context_phrase", phrase).drop("_toks")
 
 
-def add_rollup(df: DataFrame, details: DataFrame) -> DataFrame:
-    """Add aspect counts and means; zeros where a review has no detail."""
-    per_review = details.groupBy("review_id").agg(
+def aspect_signals(details: DataFrame) -> DataFrame:
+    """Aspect counts and means of the reviews with details."""
+    return details.groupBy("review_id").agg(
         F.count_if(F.col("sentiment_label") == "positive").alias("num_pos_aspects"),
         F.count_if(F.col("sentiment_label") == "negative").alias("num_neg_aspects"),
         F.avg("sentiment_score").alias("avg_aspect_score"),
         F.avg("confidence").alias("avg_aspect_confidence"),
     )
+
+
+def add_rollup(df: DataFrame, details: DataFrame) -> DataFrame:
+    """Add aspect counts and means; zeros where a review has no detail."""
     zero = {"num_pos_aspects": 0, "num_neg_aspects": 0, "avg_aspect_score": 0.0, "avg_aspect_confidence": 0.0}
-    return df.join(per_review, "review_id", "left").fillna(zero)
+    return df.join(aspect_signals(details), "review_id", "left").fillna(zero)
 
 
 def absa_rollup(reviews: DataFrame, details: DataFrame) -> DataFrame:

@@ -34,13 +34,16 @@ def emotion_fill(reviews: DataFrame, clause_scores: DataFrame, emotions: Sequenc
     return add_emotions(reviews.select("review_id"), clause_scores, emotions)
 
 
-def add_emotions(df: DataFrame, clause_scores: DataFrame, emotions: Sequence[str] = resources.EMOTIONS) -> DataFrame:
+def pooled_emotions(clause_scores: DataFrame, emotions: Sequence[str] = resources.EMOTIONS) -> DataFrame:
+    """A score column for every label, of the reviews with scores."""
     known = _known(emotions)
     label = F.lower("label")
-    pooled = clause_scores.groupBy("review_id").agg(
-        *[F.max(F.when(label == e, F.col("score"))).alias(e) for e in known]
-    )
-    return df.join(pooled, "review_id", "left").fillna(0.0, subset=known)
+    columns = [F.max(F.when(label == e, F.col("score"))).alias(e) for e in known]
+    return clause_scores.groupBy("review_id").agg(*columns).fillna(0.0, subset=known)
+
+
+def add_emotions(df: DataFrame, clause_scores: DataFrame, emotions: Sequence[str] = resources.EMOTIONS) -> DataFrame:
+    return df.join(pooled_emotions(clause_scores, emotions), "review_id", "left").fillna(0.0, subset=_known(emotions))
 
 
 def emotion_rows(filled: DataFrame, emotions: Sequence[str] = resources.EMOTIONS) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import cues
+from ..functions import cues, text
 
 _PARTS = {
     "rule": ["rule_score", "rule_polarity"],
@@ -24,8 +24,10 @@ def fusion_features(
 ) -> DataFrame:
     """13 ordered features per review; a missing value is 0.0.
 
-    Each signal table has one row per review and all joins use review_id, so the
-    tables are co-partitioned; the text takes no part.
+    Each signal table has at most one row per review and all joins use review_id, so the
+    tables are co-partitioned; the text takes no part. A signal need not hold every review:
+    what is absent gets its default here, so it needs no join with the reviews before. Scores
+    of a blank text don't count as sentiment.
     """
     signals = {
         "rule": rule,
@@ -34,12 +36,16 @@ def fusion_features(
         "emotion": emotion,
         "sarcasm": sarcasm,
     }
-    out = reviews.select("review_id")
+    blank = text.is_blank("text") if "text" in reviews.columns else F.lit(False)
+    out = reviews.select("review_id", blank.alias("_blank"))
     for name, table in signals.items():
         out = out.join(table.select("review_id", *_PARTS[name]), "review_id", "left")
-    return out.select(
-        "review_id", *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in schemas.FEATURES]
-    )
+
+    def feature(name: str) -> Column:
+        value = F.col(name).cast("double")
+        return F.coalesce(F.when(~F.col("_blank"), value) if name in _PARTS["sentiment"] else value, F.lit(0.0)).alias(name)
+
+    return out.select("review_id", *[feature(f) for f in schemas.FEATURES])
 
 
 def fuse(features: DataFrame, model: PipelineModel, classes: list[str]) -> DataFrame:

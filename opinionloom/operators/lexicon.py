@@ -98,11 +98,24 @@ def polarity_score(units: DataFrame, lexicon: Lexicon = resources.DEFAULT_LEXICO
     return unit_scores(units, lexicon).drop("valence")
 
 
+def one_entry_per_word(entries: DataFrame) -> DataFrame:
+    """entries(token, valence_milli, polarity_milli) with each word once; of repeated ones the largest values count."""
+    return entries.groupBy("token").agg(F.max("valence_milli").alias("valence_milli"), F.max("polarity_milli").alias("polarity_milli"))
+
+
 def unit_scores_joined(units: DataFrame, entries: DataFrame, modifiers: Lexicon) -> DataFrame:
-    """unit_scores for a lexicon table entries(token, valence_milli, polarity_milli) of any size.
+    """unit_scores for a lexicon table entries(token, valence_milli, polarity_milli) of any size."""
+    keyed = units.select(F.monotonically_increasing_id().alias("_row"), "review_id", "unit_idx", "unit")
+    scored = _unit_scores_joined(keyed, one_entry_per_word(entries), modifiers, ["review_id", "unit_idx"], ["_row"])
+    return scored.select("review_id", "unit_idx", "valence", "polarity")
+
+
+def _unit_scores_joined(units: DataFrame, entries: DataFrame, modifiers: Lexicon, carried: list[str], keys: list[str]) -> DataFrame:
+    """valence and polarity per `keys`, with the carried columns, which are the same for all rows of a key.
 
     One row per word is joined with the table. The words of a unit come from one
-    input row, so the sums are formed before the shuffle.
+    input row, so the sums are formed before the shuffle. They are sums of whole
+    numbers, so both ways of scoring give the same bits.
     """
 
     def with_modifiers(words: Column) -> Column:
@@ -113,22 +126,23 @@ def unit_scores_joined(units: DataFrame, entries: DataFrame, modifiers: Lexicon)
         return F.transform(words, one)
 
     exploded = units.select(
-        "review_id",
-        "unit_idx",
+        *keys,
+        *carried,
         cues.count_char(F.col("unit"), "!").alias("exclamations"),
         F.explode_outer(text.bind(text.words("unit"), with_modifiers)).alias("word"),
-    ).select("review_id", "unit_idx", "exclamations", "word.*")
-    joined = lookup_join(exploded, entries, ["token"], ["review_id", "unit_idx", "i"], "left")
+    ).select(*keys, *carried, "exclamations", "word.*")
+    joined = lookup_join(exploded, entries, ["token"], [*keys, "i"], "left")
     raw = _raw(F.col("valence_milli"), F.col("boost"), F.col("factor"))
-    sums = joined.groupBy("review_id", "unit_idx").agg(
+    sums = joined.groupBy(*keys).agg(
         F.coalesce(F.sum(raw), F.lit(0).cast("bigint")).alias("raw"),
         F.sum("polarity_milli").alias("total"),
         F.count("polarity_milli").alias("matched"),
         F.max("exclamations").alias("exclamations"),
+        *[F.first(c, ignorenulls=True).alias(c) for c in carried],
     )
     return sums.select(
-        "review_id",
-        "unit_idx",
+        *keys,
+        *carried,
         _compound(F.col("raw"), F.col("exclamations")).alias("valence"),
         F.when(F.col("matched") > 0, F.col("total") / (F.col("matched") * 1000.0)).otherwise(0.0).alias("polarity"),
     )
@@ -153,38 +167,33 @@ def rule_label(df: DataFrame, cutoff: float = resources.RULE_CUTOFF) -> DataFram
     )
 
 
+def inlined(entries: DataFrame, modifiers: Lexicon | None = None, max_inline: int = MAX_INLINE) -> Lexicon | None:
+    """A lexicon table as a value of the plan, or None when it has more than `max_inline` words."""
+    rules = modifiers or Lexicon({}, {})
+    rows = inline_or_none(one_entry_per_word(entries), max_inline)
+    if rows is None:
+        return None
+    return Lexicon(
+        valence={r["token"]: r["valence_milli"] for r in rows if r["valence_milli"] is not None},
+        polarity={r["token"]: r["polarity_milli"] for r in rows if r["polarity_milli"] is not None},
+        boosters=rules.boosters,
+        negators=rules.negators,
+    )
+
+
 def rule_sentiment(reviews: DataFrame, lexicon: Lexicon | DataFrame = resources.DEFAULT_LEXICON,
                    modifiers: Lexicon | None = None, max_inline: int = MAX_INLINE) -> DataFrame:
-    """One row per review, also when no word matches.
+    """One row per row of reviews, also when no word matches."""
+    return add_rule(reviews.select("review_id", "text"), lexicon, modifiers=modifiers, max_inline=max_inline).drop("text")
 
-    With an inlined lexicon every review is scored inside its row: no shuffle at
-    all. A lexicon table beyond `max_inline` words is joined instead.
-    """
-    if isinstance(lexicon, DataFrame):
-        rules = modifiers or Lexicon({}, {})
-        rows = inline_or_none(lexicon.select("token", "valence_milli", "polarity_milli"), max_inline)
-        if rows is None:
-            units = reviews.select("review_id", F.posexplode(text.scoring_units("text")).alias("unit_idx", "unit"))
-            return rule_label(rule_aggregate(unit_scores_joined(units, lexicon, rules)))
-        lexicon = Lexicon(
-            valence={r["token"]: r["valence_milli"] for r in rows if r["valence_milli"] is not None},
-            polarity={r["token"]: r["polarity_milli"] for r in rows if r["polarity_milli"] is not None},
-            boosters=rules.boosters,
-            negators=rules.negators,
-        )
-    return add_rule(reviews.select("review_id", "text"), lexicon).drop("text")
-
-
-def add_rule(reviews: DataFrame, lexicon: Lexicon = resources.DEFAULT_LEXICON,
-             cutoff: float = resources.RULE_CUTOFF) -> DataFrame:
-    """Add the rule columns to reviews(…, text), inside the row."""
-    units = F.transform(text.scoring_units("text"), lambda u: unit_score(u, lexicon))
-    scored = reviews.withColumn("_units", units)
+
+def _with_means(df: DataFrame, cutoff: float) -> DataFrame:
+    """Means over `_units`, an array of (valence, polarity) in the order of the text."""
 
     def mean(pick: Callable[[Column], Column]) -> Column:
         return F.aggregate("_units", F.lit(0.0), lambda acc, u: acc + pick(u)) / F.size("_units")
 
-    with_means = scored.withColumns(
+    with_means = df.withColumns(
         {
             "valence_score": mean(lambda u: u["valence"]),
             "polarity_score": mean(lambda u: u["polarity"]),
@@ -192,3 +201,32 @@ def add_rule(reviews: DataFrame, lexicon: Lexicon = resources.DEFAULT_LEXICON,
         }
     )
     return rule_label(with_means.drop("_units"), cutoff)
+
+
+def add_rule(reviews: DataFrame, lexicon: Lexicon | DataFrame = resources.DEFAULT_LEXICON, cutoff: float = resources.RULE_CUTOFF,
+             modifiers: Lexicon | None = None, max_inline: int = MAX_INLINE) -> DataFrame:
+    """Add the rule columns to reviews(…, text).
+
+    With an inlined lexicon every review is scored inside its row: no shuffle at all. A
+    lexicon table beyond `max_inline` words is joined instead, with the same answers;
+    rows keep their identity, whether their review_id repeats or not.
+    """
+    if isinstance(lexicon, DataFrame):
+        value = inlined(lexicon, modifiers, max_inline)
+        if value is None:
+            return _add_rule_joined(reviews, one_entry_per_word(lexicon), modifiers or Lexicon({}, {}), cutoff)
+        lexicon = value
+    units = F.transform(text.scoring_units("text"), lambda u: unit_score(u, lexicon))
+    return _with_means(reviews.withColumn("_units", units), cutoff)
+
+
+def _add_rule_joined(reviews: DataFrame, entries: DataFrame, modifiers: Lexicon, cutoff: float) -> DataFrame:
+    whole = F.struct(*[F.col(c) for c in reviews.columns])
+    rows = reviews.select(F.monotonically_increasing_id().alias("_row"), whole.alias("_whole"), text.scoring_units("text").alias("_texts"))
+    units = rows.select("_row", "_whole", F.posexplode("_texts").alias("unit_idx", "unit"))
+    # The row itself travels with its first unit only.
+    units = units.withColumn("_whole", F.when(F.col("unit_idx") == 0, F.col("_whole")))
+    scored = _unit_scores_joined(units, entries, modifiers, ["_whole"], ["_row", "unit_idx"])
+    ordered = F.array_sort(F.collect_list(F.struct("unit_idx", "valence", "polarity")))
+    per_row = scored.groupBy("_row").agg(F.first("_whole", ignorenulls=True).alias("_whole"), ordered.alias("_units"))
+    return _with_means(per_row.select("_whole.*", "_units"), cutoff)

@@ -14,35 +14,34 @@ from pyspark.sql import functions as F
 from .. import resources, schemas
 from ..functions import labels, text
 from ..functions.joins import fits_broadcast
-from ..functions.ranking import first_best
 
 Scorer = Callable[[], Callable[[pd.Series], list]]
 
 
-def score_units(units: DataFrame, scorer: PipelineModel | Scorer, model: str, class_labels: Sequence[str] = ()) -> DataFrame:
-    """All class scores of units(review_id, unit_id, text) as a long score table.
+def score_units(units: DataFrame, scorer: PipelineModel | Scorer, model: str, class_labels: Sequence[str] = (),
+                keys: Sequence[str] = ("review_id", "unit_id")) -> DataFrame:
+    """All class scores of units(*keys, text) as a long score table (*keys, model, pos, label, score).
 
     `scorer` is a fitted Spark ML pipeline with a `probability` column, or a
     function that loads a model and returns a batch function
     texts -> [[(label, score), ...], ...]; it is loaded once per partition.
     """
     if isinstance(scorer, PipelineModel):
-        scored = scorer.transform(units).select(
-            "review_id", "unit_id", F.posexplode(vector_to_array("probability")).alias("pos", "score")
+        scored = scorer.transform(units.select(*keys, "text")).select(
+            *keys, F.posexplode(vector_to_array("probability")).alias("pos", "score")
         )
         label = F.element_at(F.array(*[F.lit(x) for x in class_labels]), F.col("pos") + 1)
-        return scored.select("review_id", "unit_id", F.lit(model).alias("model"), "pos", label.alias("label"), "score")
+        return scored.select(*keys, F.lit(model).alias("model"), "pos", label.alias("label"), "score")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = scorer()
         for batch in batches:
-            rows = batch[["review_id", "unit_id"]].assign(scores=score(batch["text"]))
+            rows = batch[list(keys)].assign(scores=score(batch["text"]))
             rows = rows.explode("scores").dropna(subset=["scores"])
             pos = rows.groupby(level=0).cumcount()
             yield pd.DataFrame(
                 {
-                    "review_id": rows["review_id"],
-                    "unit_id": rows["unit_id"],
+                    **{k: rows[k] for k in keys},
                     "model": model,
                     "pos": pos,
                     "label": [s[0] for s in rows["scores"]],
@@ -50,15 +49,18 @@ def score_units(units: DataFrame, scorer: PipelineModel | Scorer, model: str, cl
                 }
             )
 
-    id_type = units.schema["review_id"].dataType.simpleString()
-    out = f"review_id {id_type}, unit_id int, model string, pos int, label string, score double"
-    return units.select("review_id", "unit_id", "text").mapInPandas(run, out)
+    kinds = ", ".join(f"{k} {units.schema[k].dataType.simpleString()}" for k in keys)
+    out = f"{kinds}, model string, pos int, label string, score double"
+    return units.select(*keys, "text").mapInPandas(run, out)
 
 
 def argmax_label(model_scores: DataFrame, keys: Sequence[str] = ("review_id", "unit_id", "model")) -> DataFrame:
-    """Best label per unit; the first one on a tie; a missing score counts as 0."""
+    """Best label per key; a missing score counts as 0. On a tie the lowest unit_id wins, if that
+    is a column but no key, then the lowest pos: this is the roll-up from units to reviews."""
     score = F.coalesce("score", F.lit(0.0))
-    best = first_best(F.struct("label", "score"), score, F.col("pos"))
+    rolled = "unit_id" in model_scores.columns and "unit_id" not in keys
+    before = F.struct(-F.coalesce("unit_id", F.lit(0)), -F.col("pos")) if rolled else -F.col("pos")
+    best = F.max_by(F.struct("label", "score"), F.struct(score, before))
     return model_scores.groupBy(*keys).agg(best.alias("_best")).select(
         *keys, F.col("_best.label").alias("label"), F.col("_best.score").alias("score")
     )
@@ -87,9 +89,20 @@ def normalize_labels(best: DataFrame, label_map: DataFrame) -> DataFrame:
     )
 
 
+def best_units(normalized: DataFrame) -> DataFrame:
+    """One row per review and model: of several units the one with the largest score, the lowest unit_id on a tie.
+
+    Rows of one unit with one score go by their other columns."""
+    if "unit_id" not in normalized.columns:
+        return normalized
+    rest = [c for c in normalized.columns if c not in ("review_id", "model")]
+    order = F.struct(F.coalesce("score", F.lit(0.0)), -F.coalesce("unit_id", F.lit(0)), *rest)
+    return normalized.groupBy("review_id", "model").agg(F.max_by(F.struct(*rest), order).alias("_best")).select("review_id", "model", "_best.*")
+
+
 def add_sentiment(df: DataFrame, normalized: DataFrame, model: str, blank: Column) -> DataFrame:
     """Add sentiment and confidence of one model; a blank text or no score gives 0 / 0.0."""
-    best = normalized.where(F.col("model") == model).select("review_id", "text_label", "score", "mapping_conf")
+    best = best_units(normalized.where(F.col("model") == model)).select("review_id", "text_label", "score", "mapping_conf")
     usable = ~blank & F.col("score").isNotNull()
     return df.join(best, "review_id", "left").select(
         *[df[c] for c in df.columns],
@@ -98,6 +111,13 @@ def add_sentiment(df: DataFrame, normalized: DataFrame, model: str, blank: Colum
     )
 
 
+def sentiment_signals(normalized: DataFrame, model: str) -> DataFrame:
+    """sentiment and confidence of the reviews that the model scored, for a join that fills in the rest."""
+    best = best_units(normalized.where(F.col("model") == model)).where("score IS NOT NULL")
+    confidence = F.col("score") * F.col("mapping_conf")
+    return best.select("review_id", labels.sentiment_of(F.col("text_label")).alias("sentiment"), confidence.alias("confidence"))
+
+
 def sentiment_result(reviews: DataFrame, normalized: DataFrame, model: str) -> DataFrame:
     """One row per review with sentiment, confidence and the model used."""
     blank = reviews.select("review_id", text.is_blank("text").alias("_blank"))
@@ -169,7 +189,7 @@ def infer_label_map(model_labels: DataFrame) -> DataFrame:
 
 def compare_models(reviews: DataFrame, normalized: DataFrame, models: Sequence[str]) -> DataFrame:
     """Sentiment and confidence of every listed model per review, and how many classes they disagree over."""
-    listed = normalized.where(F.col("model").isin(list(models)))
+    listed = best_units(normalized.where(F.col("model").isin(list(models))))
     picked = listed.select(
         "review_id",
         "model",

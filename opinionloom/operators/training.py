@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.joins import lookup_join
 from ..functions.lookup import inline_or_none
-from ..session import digest, ensure_checkpoints, hex_number
+from ..session import digest, hex_number
 
 MAX_CLASSES = 10_000
 
@@ -63,6 +64,19 @@ def stratified_folds(df: DataFrame, k: int = 5, seed: int = 42, id_col: str = "r
     return joined.select(*[ranked[c] for c in df.columns], fold.alias("fold"))
 
 
+def labelled_rows(df: DataFrame, unlabelled: str = "error") -> DataFrame:
+    """The rows with a label. Others raise an error with their number, or are left out with "drop"."""
+    absent = F.col("label").isNull() | (F.trim("label") == "")
+    if unlabelled == "error":
+        n = df.where(absent).count()
+        if n:
+            raise ValueError(f"{n} rows have no label; label them or pass unlabelled='drop'")
+        return df
+    if unlabelled != "drop":
+        raise ValueError(f"unknown way with unlabelled rows {unlabelled!r}: use error or drop")
+    return df.where(~absent)
+
+
 def class_counts(df: DataFrame) -> dict[str, int]:
     """Rows per label, for the bounded set of classes of a classifier."""
     rows = inline_or_none(df.groupBy("label").count(), MAX_CLASSES)
@@ -82,8 +96,12 @@ def _weight_column(weights: dict[str, float]) -> Column:
 
 
 def balanced_weights(df: DataFrame) -> DataFrame:
-    """weight = n / (n_classes * n_label), from the class counts as a literal: no join."""
-    return df.withColumn("weight", _weight_column(_weights(class_counts(df))))
+    """weight = n / (n_classes * n_label), for any number of labels; a row without a label weighs 1."""
+    counts = df.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("_n"))
+    totals = Window.partitionBy()  # over one row per label
+    weights = counts.select("label", (F.sum("_n").over(totals) / (F.count("*").over(totals) * F.col("_n"))).alias("weight"))
+    joined = lookup_join(df, weights, ["label"], [c for c in df.columns if c != "label"][:1] or ["label"], "left")
+    return joined.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
 
 def forest(classes: Sequence[str], trees: int = 100, depth: int = 10, seed: int = 42, weighted: bool = True) -> Pipeline:
@@ -112,11 +130,11 @@ def scoring_stages(model: PipelineModel) -> PipelineModel:
     return PipelineModel([s for s in model.stages if not isinstance(s, StringIndexerModel)])
 
 
-def fit_fusion(df: DataFrame, trees: int = 100, depth: int = 10, seed: int = 42) -> tuple[PipelineModel, list[str]]:
-    """Fit on all rows; returns the model for scoring and its classes in probability order."""
-    ensure_checkpoints(df.sparkSession)
+def fit_fusion(df: DataFrame, trees: int = 100, depth: int = 10, seed: int = 42,
+               unlabelled: str = "error") -> tuple[PipelineModel, list[str]]:
+    """Fit on all labelled rows; returns the model for scoring and its classes in probability order."""
     # The fit reads its input several times; only label and features are kept.
-    rows = df.select("label", *schemas.FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = labelled_rows(df, unlabelled).select("label", *schemas.FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
     counts = class_counts(rows)
     classes = sorted(counts)
     weighted = rows.withColumn("weight", _weight_column(_weights(counts)))
@@ -132,11 +150,10 @@ def feature_importance(spark: SparkSession, model: PipelineModel) -> DataFrame:
 
 
 def cross_validate(df: DataFrame, k: int = 5, trees: int = 100, depth: int = 10, seed: int = 42,
-                   id_col: str = "review_id") -> DataFrame:
-    """Predictions of every row by the forest that has not seen it: (fold, review_id, label, prediction)."""
-    spark = df.sparkSession
-    ensure_checkpoints(spark)
-    folds = stratified_folds(df.select(id_col, "label", *schemas.FEATURES), k, seed, id_col)
+                   id_col: str = "review_id", unlabelled: str = "error") -> DataFrame:
+    """Predictions of every labelled row by the forest that has not seen it: (fold, review_id, label, prediction)."""
+    labelled = labelled_rows(df, unlabelled).select(id_col, "label", *schemas.FEATURES)
+    folds = stratified_folds(labelled, k, seed, id_col)
     folds = folds.persist(StorageLevel.MEMORY_AND_DISK)  # read once per fold and pass of the fit
     rows = folds.groupBy("label", "fold").count().collect()  # classes x folds rows
     classes = sorted({r["label"] for r in rows})
@@ -153,6 +170,7 @@ def cross_validate(df: DataFrame, k: int = 5, trees: int = 100, depth: int = 10,
             "fold", id_col, "label", F.element_at(names, F.col("prediction").cast("int") + 1).alias("prediction")
         )
         predicted = part if predicted is None else predicted.unionByName(part)
+    folds.unpersist()  # the models are fitted; predictions read their rows again
     return predicted
 
 
@@ -225,11 +243,12 @@ def held_out(df: DataFrame, share: float = 0.2, seed: int = 42, id_col: str = "r
 
 
 def train_text_classifier(df: DataFrame, seed: int = 42, n_features: int = 1 << 18, iterations: int = 20,
-                          share: float = 0.2) -> tuple[PipelineModel, list[str], DataFrame]:
+                          share: float = 0.2, unlabelled: str = "error") -> tuple[PipelineModel, list[str], DataFrame]:
     """Fit a sentiment classifier on (review_id, text, label) and measure it on held-out rows.
 
     Returns the model, its classes and the held-out predictions (label, prediction).
     """
+    df = labelled_rows(df, unlabelled)
     train, test = held_out(df, share, seed)
     classes = sorted(class_counts(df))
     index = StringIndexerModel.from_labels(classes, inputCol="label", outputCol="label_idx", handleInvalid="skip")

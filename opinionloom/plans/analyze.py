@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -33,8 +33,14 @@ class Scores:
 
 @dataclass
 class Settings:
-    lexicon: Lexicon = field(default_factory=lambda: resources.DEFAULT_LEXICON)
-    aspects: Sequence[str] = field(default_factory=lambda: resources.ASPECTS)
+    """lexicon and aspects may be tables (token, valence_milli, polarity_milli) and (aspect) of any size;
+    modifiers are the boosters and negators of a lexicon table. pos maps lower-case words to ADJECTIVE or
+    NOUN (see operators.shaping): with it only ADJ* NOUN+ spans can be aspects, without it every run of words can."""
+
+    lexicon: Lexicon | DataFrame = field(default_factory=lambda: resources.DEFAULT_LEXICON)
+    modifiers: Lexicon | None = None
+    aspects: Sequence[str] | DataFrame = field(default_factory=lambda: resources.ASPECTS)
+    pos: Mapping[str, int] | None = None
     emotions: Sequence[str] = field(default_factory=lambda: resources.EMOTIONS)
     sentiment_model: str = "siebert/sentiment-roberta-large-english"
     context_window: int = resources.CONTEXT_WINDOW
@@ -51,10 +57,8 @@ class Analysis:
 
 def aspect_details(reviews: DataFrame, scores: DataFrame | None, settings: Settings) -> DataFrame:
     """Aspects of each non-blank review with context and label; no rows without a classifier."""
-    usable = reviews.where(~text.is_blank("text")).withColumn("found", absa.aspect_array(settings.aspects))
-    kept = absa.aspects_or_overall(absa.without_singulars(F.col("found")))
-    found = usable.select("review_id", "text", F.explode(kept).alias("aspect"))
-    context = absa.aspect_context(found, settings.context_window).select("review_id", "aspect", "context_phrase")
+    usable = absa.add_aspect_arrays(reviews.where(~text.is_blank("text")), settings.aspects, settings.pos)
+    context = absa.exploded_contexts(usable, settings.context_window)
     if scores is None:
         context = context.where(F.lit(False))
         return context.select(
@@ -116,7 +120,7 @@ def analyze_reviews(
     scores, settings = scores or Scores(), settings or Settings()
     details = aspect_details(reviews, scores.aspects, settings)
     flagged = reviews.select("review_id", "text", text.is_blank("text").alias("_blank"))
-    wide = lexicon.add_rule(flagged, settings.lexicon).drop("text")
+    wide = lexicon.add_rule(flagged, settings.lexicon, modifiers=settings.modifiers).drop("text")
     wide = _add_sentiment(wide, scores.sentiment, settings)
     wide = absa.add_rollup(wide, details)
     wide = _add_emotion(wide, scores.emotions, settings)
@@ -126,6 +130,8 @@ def analyze_reviews(
     features = {f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in schemas.FEATURES}
     extra = ["valence_score", "polarity_score", "rule_label", "sentiment", "sentiment_label", *emotion_columns,
              "emotion_label", "top_emotion_score", "sarcasm_label"]
+    wide = wide.withColumn("model_used", F.lit(settings.sentiment_model if scores.sentiment is not None else None).cast("string"))
+    extra.append("model_used")
     signals = wide.select("review_id", *[c.alias(f) for f, c in features.items()], *extra)
     fused = fusion.fuse(signals, *model) if model else fusion.fuse_without_model(signals)
     return Analysis(fused, details)

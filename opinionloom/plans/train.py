@@ -40,13 +40,18 @@ def train_and_publish(table: DataFrame, model_dir: str, version: str, k: int = 5
 
 def run_training(spark: SparkSession, mode: str, model_dir: str, version: str, *, n: int = 100,
                  feedback_log: str | None = None, table_path: str | None = None, export_path: str | None = None,
-                 k: int = 5, trees: int = 100) -> TrainingRun:
+                 labels: DataFrame | None = None, k: int = 5, trees: int = 100) -> TrainingRun:
+    """sample: train on grown rows. feedback: export the logged rows for labelling; with
+    labels(review_id, label, labelled_at) join the latest label of each and train on them.
+    manual: train on a labelled table."""
     if mode == "sample":
         return train_and_publish(sample_training_data(spark, n), model_dir, version, k, trees)
     if mode == "feedback":
-        if not feedback_log or not export_path:
-            raise ValueError("feedback mode needs feedback_log and export_path")
+        if not feedback_log or (labels is None and not export_path):
+            raise ValueError("feedback mode needs feedback_log, and export_path or labels")
         rows = feedback.feedback_to_training(read_feedback_log(spark, feedback_log))
+        if labels is not None:
+            return train_and_publish(feedback.labelled_feedback(rows, labels), model_dir, version, k, trees)
         return TrainingRun(exported=files.write_training_csv(rows, export_path))
     if mode == "manual":
         if not table_path:
@@ -65,11 +70,13 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--folds", type=int, default=5)
     for name in ("--feedback-log", "--table-path", "--export-path"):
         parser.add_argument(name)
+    parser.add_argument("--labels", help="Parquet table (review_id, label, labelled_at): train on the labelled feedback")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("opinionloom-train").getOrCreate()
     run = run_training(
         spark, args.mode, args.model_dir, args.version, n=args.num_samples, feedback_log=args.feedback_log,
         table_path=args.table_path, export_path=args.export_path, k=args.folds,
+        labels=spark.read.parquet(args.labels) if args.labels else None,
     )
     for table in (run.summary, run.report, run.importance):
         if table is not None:

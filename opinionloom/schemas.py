@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
+from pyspark.sql.types import StructType
 
 # Feature names in the order the fusion model expects them.
 FEATURES = [
@@ -33,37 +33,25 @@ RESULT_PAYLOAD = [
     "fusion_confidence",
 ]
 
-SCORE_ARRAY = "array<struct<label:string,score:double>>"
+# The outputs nested in one line of the feedback log, and their types. `fused_output` is
+# read as well as `fused` because older logs may carry either name.
+FEEDBACK_GROUPS = {
+    "sentiment_output": "sentiment:int,confidence_score:double,sentiment_label:string,sentiment_score:double,model_used:string",
+    "emotion_output": "emotion_label:string,emotion_score:double,emotion_confidence:double,emotion_distribution:double,"
+    "all_emotion_scores:string",
+    "sarcasm_output": "sarcasm_label:string,sarcasm_score:int,sarcasm_confidence:double",
+    "rule_output": "rule_label:string,rule_score:int,rule_polarity:double,valence_score:double,polarity_score:double",
+    "absa_output": "num_pos_aspects:bigint,num_neg_aspects:bigint,avg_aspect_score:double,avg_aspect_confidence:double,"
+    "aspect_details:string",
+    "fused": "fused_label:string,fused_confidence:double",
+    "fused_output": "fused_label:string,fused_confidence:double",
+    "signals_fed_to_fusion": ",".join(f"{f}:double" for f in FEATURES),
+}
+
+
+def feedback_signals() -> StructType:
+    return StructType.fromDDL(", ".join(f"{name} struct<{fields}>" for name, fields in FEEDBACK_GROUPS.items()))
 
-MODEL_SCORES = T.StructType(
-    [
-        T.StructField("review_id", T.LongType()),
-        T.StructField("unit_id", T.IntegerType()),
-        T.StructField("model", T.StringType()),
-        T.StructField("pos", T.IntegerType()),
-        T.StructField("label", T.StringType()),
-        T.StructField("score", T.DoubleType()),
-    ]
-)
-
-_signal = "struct<{}>".format
-
-# One line of the feedback log. `fused_output` is read as well as `fused`
-# because older logs may carry either name.
-FEEDBACK_DDL = (
-    "timestamp string, review_id string, text string, signals "
-    + _signal(
-        "sentiment_output:struct<sentiment:int,confidence_score:double,sentiment_label:string>,"
-        "emotion_output:struct<emotion_score:double,emotion_confidence:double,emotion_distribution:double>,"
-        "sarcasm_output:struct<sarcasm_label:string,sarcasm_score:int,sarcasm_confidence:double>,"
-        "rule_output:struct<rule_label:string,rule_score:int,rule_polarity:double>,"
-        "absa_output:struct<num_pos_aspects:bigint,num_neg_aspects:bigint,"
-        "avg_aspect_score:double,avg_aspect_confidence:double>,"
-        "fused:struct<fused_label:string,fused_confidence:double>,"
-        "fused_output:struct<fused_label:string,fused_confidence:double>,"
-        "signals_fed_to_fusion:struct<" + ",".join(f"{f}:double" for f in FEATURES) + ">"
-    )
-)
 
 # Columns of the relabelling export.
 TRAINING_EXPORT = ["review_id", "text", *FEATURES, "fused_label", "fused_confidence", "label"]

@@ -24,11 +24,6 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_root(spark))
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared root."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +17,10 @@ def latest_rows(rows: DataFrame, version: Sequence[str]) -> DataFrame:
     """One row per review_id: payload and updated_at of the largest version, created_at of the smallest.
 
     A grouped aggregate with map-side reduction, so an id that occurs very often
-    is reduced before it is shuffled.
+    is reduced before it is shuffled. Rows of one version are told apart by their payload.
     """
     payload = [c for c in rows.columns if c not in (KEY, "created_at", *version) or c == "updated_at"]
-    order = F.struct(*version)
+    order = F.struct(*version, *[F.col(c).alias(f"_p{i}") for i, c in enumerate(payload) if c not in version])
     merged = rows.groupBy(KEY).agg(
         F.max_by(F.struct(*payload), order).alias("_row"), F.min_by("created_at", order).alias("created_at")
     )
@@ -33,12 +34,13 @@ def upsert_results(existing: DataFrame, new: DataFrame, pos: str | None = None)
     if the rows were written one after the other.
     """
     columns = existing.columns
-
-    def mark(df: DataFrame, generation: int, order) -> DataFrame:
-        return df.select(*columns, F.lit(generation).alias("_generation"), order.cast("bigint").alias("_pos"))
-
-    both = mark(existing, 0, F.lit(0)).unionByName(mark(new, 1, F.col(pos) if pos else F.lit(0)))
-    return latest_rows(both, ["_generation", "updated_at", "_pos"]).select(*columns)
+    place = (F.col(pos) if pos else F.lit(0)).cast("bigint").alias("_pos")
+    # Only the new rows are regrouped; the table itself is joined with the ids they touch.
+    reduced = latest_rows(new.select(*columns, place), ["updated_at", "_pos"]).select(*columns)
+    stored = existing.select(KEY, F.col("created_at").alias("_since"))
+    updated = reduced.join(stored, KEY, "left").withColumn("created_at", F.coalesce("_since", "created_at")).select(*columns)
+    untouched = existing.join(reduced.select(KEY), KEY, "left_anti")
+    return untouched.unionByName(updated)
 
 
 def replace_aspects(existing: DataFrame, new: DataFrame, processed_ids: DataFrame) -> DataFrame:
@@ -47,49 +49,91 @@ def replace_aspects(existing: DataFrame, new: DataFrame, processed_ids: DataFram
     return kept.unionByName(new)
 
 
+_NOTHING_THERE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 class ResultStore:
     """Results and aspects as an append-only log of batches plus a view of the latest state.
 
-    A batch is written once, to a folder named after it; a replay of the same batch
-    replaces only that folder. Writing costs as much as the batch, whatever the size
-    of the table. Catalogs with MERGE can apply the same rows with one statement.
+    A batch belongs to a writer and has a number of that writer. Its first write gives it
+    the next place in the order of the store; a replay keeps the place and replaces only
+    its own folder. Writing costs as much as the batch, whatever the size of the table.
+    Catalogs with MERGE can apply the same rows with one statement.
     """
 
+    COMPACTED = "_compacted"
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
 
-    def _folder(self, table: str, batch_id: int) -> str:
-        return f"{self.path}/{table}/batch_id={batch_id}"
-
-    def write_batch(self, batch_id: int, results: DataFrame, aspects: DataFrame) -> None:
-        aspects.write.mode("overwrite").parquet(self._folder("aspects", batch_id))
-        results.write.mode("overwrite").parquet(self._folder("results", batch_id))
-
-    def last_batch(self) -> int | None:
-        """Id of the newest batch; None for a store that holds nothing yet."""
-        base = f"{self.path}/results"
+    def _read(self, table: str) -> DataFrame | None:
+        """A table of the store; None if nothing was written yet. An unreadable one raises."""
+        base = f"{self.path}/{table}"
         try:
-            return self.spark.read.option("basePath", base).parquet(base).agg(F.max("batch_id")).first()[0]
-        except AnalysisException:
-            return None
+            return self.spark.read.option("basePath", base).parquet(base)
+        except AnalysisException as e:
+            if e.getCondition() in _NOTHING_THERE:
+                return None
+            raise
+
+    def batches(self) -> DataFrame | None:
+        """(place, writer, batch) of every batch, those that a compaction took up included."""
+        found = [t.select("place", "writer", "batch").distinct() for t in (self._read("results"), self._read("taken")) if t is not None]
+        return reduce(DataFrame.union, found).distinct() if found else None
+
+    def write_batch(self, batch_id: int, results: DataFrame, aspects: DataFrame, writer: str = "batch") -> None:
+        if writer.startswith("_") or "/" in writer:
+            raise ValueError(f"no name for a writer: {writer!r}")
+        known = self.batches()
+        place = 0
+        if known is not None:
+            own = (F.col("writer") == writer) & (F.col("batch") == batch_id)
+            r = known.agg(F.max(F.when(own, F.col("place"))).alias("own"), F.max("place").alias("last")).first()
+            place = r.own if r.own is not None else r.last + 1
+        self._write(place, writer, batch_id, results, aspects)
+
+    def _write(self, place: int, writer: str, batch_id: int, results: DataFrame, aspects: DataFrame) -> None:
+        folder = f"place={place}/writer={writer}/batch={batch_id}"
+        # Aspects first: a batch exists once its results do.
+        aspects.write.mode("overwrite").parquet(f"{self.path}/aspects/{folder}")
+        results.write.mode("overwrite").parquet(f"{self.path}/results/{folder}")
+
+    def last_batch(self, writer: str = "batch") -> int | None:
+        """Number of the writer's newest batch; None if it has written none."""
+        known = self.batches()
+        return None if known is None else known.where(F.col("writer") == writer).agg(F.max("batch")).first()[0]
+
+    def is_empty(self) -> bool:
+        return self._read("results") is None
+
+    def ids(self) -> DataFrame:
+        """review_id of every stored row, repeated ones too: enough for a mark or an anti-join."""
+        return self._read("results").select(KEY)
 
     def results(self) -> DataFrame:
-        rows = self.spark.read.option("basePath", f"{self.path}/results").parquet(f"{self.path}/results")
-        return latest_rows(rows, ["batch_id", "updated_at"])
+        rows = self._read("results").withColumn("_writer", F.col("writer")).drop("writer", "batch")
+        return latest_rows(rows, ["place", "updated_at", "_writer"])
 
     def aspects(self) -> DataFrame:
         """Aspect rows of the last batch that processed each review."""
-        base = f"{self.path}/results"
-        last = self.spark.read.option("basePath", base).parquet(base).groupBy(KEY).agg(F.max("batch_id").alias("batch_id"))
-        rows = self.spark.read.option("basePath", f"{self.path}/aspects").parquet(f"{self.path}/aspects")
-        return rows.join(last, [KEY, "batch_id"], "left_semi").drop("batch_id")
+        where = ["place", "writer", "batch"]
+        last = self._read("results").groupBy(KEY).agg(F.max(F.struct(*where)).alias("_at")).select(KEY, "_at.*")
+        rows = self._read("aspects")
+        return rows.join(last, [KEY, *where], "left_semi").drop(*where)
 
     def compact(self, path: str) -> ResultStore:
-        """Write the latest state as the only batch of a new store and return that store.
+        """Write the latest state as the only rows of a new store and return that store.
 
-        The batch takes the largest id so far, so later batches of the stream come after it.
+        They lie in a folder that no batch can address. The new store remembers the places
+        of all batches it took up, so a replay of one of them stays behind the compacted state.
         """
         smaller = ResultStore(self.spark, path)
-        smaller.write_batch(self.last_batch() or 0, self.results(), self.aspects())
+        known = self.batches()
+        if known is None:
+            return smaller
+        known.coalesce(1).write.mode("overwrite").parquet(f"{smaller.path}/taken")
+        last = known.agg(F.max("place")).first()[0]
+        # One place up: a replay of the last batch taken up must not tie with it.
+        smaller._write(last + 1, self.COMPACTED, 0, self.results(), self.aspects())
         return smaller

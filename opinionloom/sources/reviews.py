@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def open_table(spark: SparkSession, fmt: str, path: str | None = None, **options) -> DataFrame:
@@ -13,22 +14,12 @@ def open_table(spark: SparkSession, fmt: str, path: str | None = None, **options
     return reader.load(path) if path else reader.load()
 
 
-def splits(df: DataFrame) -> int:
-    """Number of tasks of a scan; plans it, runs nothing."""
-    return df.rdd.getNumPartitions()
-
-
-def spread(df: DataFrame, min_partitions: int, key: str) -> DataFrame:
-    """Deal a table of too few splits out by `key`; leave any other table alone."""
-    return df.repartition(min_partitions, key) if splits(df) < min_partitions else df
-
-
 def read_reviews(table: DataFrame, id_col: str = "review_id", text_col: str = "text", last_id: int = 0,
-                 limit: int | None = None, min_partitions: int = 0) -> DataFrame:
+                 limit: int | None = None, partitions: int = 0) -> DataFrame:
     """Two renamed columns, ids above last_id when it is positive, the first `limit` ids if given.
 
-    A file of one row group is one task however long its texts take: `min_partitions`
-    spreads such a small table by review_id. Tables with enough splits are left alone.
+    A file of one row group is one task however long its texts take: `partitions` deals
+    the rows of such a table out by review_id. Large tables are better left as they are read.
 
     Without a limit the rows are not sorted: order means nothing to the operators
     and a global sort of all texts would be the most expensive step.
@@ -38,16 +29,23 @@ def read_reviews(table: DataFrame, id_col: str = "review_id", text_col: str = "t
         reviews = reviews.where(F.col("review_id") > last_id)
     if limit:
         return reviews.orderBy("review_id").limit(limit)
-    return spread(reviews, min_partitions, "review_id") if min_partitions else reviews
+    return reviews.repartition(partitions, "review_id") if partitions else reviews
 
 
 def incremental_reviews(reviews: DataFrame, results: DataFrame, full: bool = False) -> DataFrame:
-    """Reviews above the largest processed id; all of them when nothing was processed."""
+    """Reviews above the largest processed id.
+
+    All of them when nothing was processed, or when numeric ids have no positive mark:
+    then ids <= 0 are as new as any other.
+    """
     if full:
         return reviews
     id_type = reviews.schema["review_id"].dataType
     high_water = results.agg(F.max("review_id").cast(id_type).alias("high_water")).scalar()
-    return reviews.where(F.col("review_id") > F.coalesce(high_water, F.lit(0).cast(id_type)))
+    no_mark = high_water.isNull()
+    if isinstance(id_type, NumericType):
+        no_mark = no_mark | (high_water <= 0)
+    return reviews.where(no_mark | (F.col("review_id") > high_water))
 
 
 def unprocessed_reviews(reviews: DataFrame, results: DataFrame) -> DataFrame:

@@ -17,9 +17,14 @@ def require_training_columns(table: DataFrame) -> DataFrame:
     return table
 
 
-def read_training_table(spark: SparkSession, path: str) -> DataFrame:
-    table = require_training_columns(spark.read.option("header", True).option("multiLine", True).csv(path))
-    return clean_numeric(table, schemas.FEATURES)
+def read_training_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A CSV table with a header and doubled quotes inside quoted fields.
+
+    multi_line: fields may hold line breaks, which makes every file one task. Without it
+    large files are split.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    return clean_numeric(require_training_columns(reader.csv(path)), schemas.FEATURES)
 
 
 def expand_samples(ids: DataFrame, seed: int = 42) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -21,24 +22,29 @@ def stream_reviews(
     checkpoint: str,
     categories: DataFrame | None = None,
     trigger: dict | None = None,
+    writer: str | None = None,
 ) -> StreamingQuery:
     """Analyse what is new and upsert it into the store.
 
     The checkpoint remembers what was read, in place of the largest id. A batch that
     is replayed after a failure overwrites its own folder, so nothing is stored twice.
+    The batches of a checkpoint count from 0, so each checkpoint is a writer of its own.
     """
+    writer = writer or "stream-" + hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
 
     def process(batch: DataFrame, batch_id: int) -> None:
         analysis = analyze(batch)
         # Written itself and read again for the roll-up of the results.
         details = found = analysis.details.persist(StorageLevel.MEMORY_AND_DISK)
-        if categories is not None:
-            details = absa.map_categories(details, categories)
-        store.write_batch(batch_id, stamped(result_rows(analysis.signals)), details)
-        found.unpersist()
-
-    writer = reviews.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+        try:
+            if categories is not None:
+                details = absa.map_categories(details, categories)
+            store.write_batch(batch_id, stamped(result_rows(analysis.signals)), details, writer)
+        finally:
+            found.unpersist()
+
+    started = reviews.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    return started.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def stream_feedback(analysis: DataFrame, path: str, checkpoint: str, threshold: float | None = None,

@@ -60,6 +60,17 @@ def test_inlined_and_joined_lexicon_agree(spark, reviews):
     assert rows(inline, "review_id", "rule_label") == rows(lexicon.rule_sentiment(df, LEX), "review_id", "rule_label")
 
 
+def test_repeated_words_and_repeated_ids_do_not_depend_on_the_size(spark):
+    df = spark.createDataFrame([(1, "Good food. Not good."), (1, "Good food. Not good."), (1, "bad"), (None, None)], "review_id long, text string")
+    table = spark.createDataFrame(
+        [("good", 2000, 700), ("good", 1000, 900), ("bad", -2000, None), ("bad", None, -600)], "token string, valence_milli int, polarity_milli int"
+    )
+    inline, joined = (lexicon.rule_sentiment(df, table, LEX, max_inline=n) for n in (100, 0))
+    assert inline.count() == 4 and sorted(map(str, inline.collect())) == sorted(map(str, joined.collect()))
+    wide = df.withColumn("other", F.lit(1))
+    assert sorted(map(str, lexicon.add_rule(wide, table, modifiers=LEX).collect())) == sorted(map(str, lexicon.add_rule(wide, table, modifiers=LEX, max_inline=0).collect()))
+
+
 def test_a_large_dictionary_is_found_word_by_word(reviews):
     big = Lexicon(valence={f"w{i}": i % 7 * 100 for i in range(5000)}, polarity={f"w{i}": 100 for i in range(5000)})
     r = one(lexicon.unit_scores(shaping.meaningful_sentences(reviews("w1 w4999 w5000 w2")), big))

@@ -1,13 +1,15 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import rows
 from opinionloom.operators import feedback, reporting
-from opinionloom.plans import analyze
+from opinionloom.plans import analyze, batch
 from opinionloom.plans.batch import run_batch
 from opinionloom.sinks import files, tables
 from opinionloom.sources import reviews as source
+from opinionloom.sources.feedback import parse_feedback, read_feedback_log
 from opinionloom.streaming.reviews import stream_feedback, stream_reviews
 
 RESULT = "review_id long, label string, created_at int, updated_at int"
@@ -34,11 +36,21 @@ def test_sources(spark, reviews):
     done = spark.createDataFrame([(2,)], "review_id long")
     assert source.read_reviews(df, last_id=0, limit=0).count() == 4
     assert rows(source.read_reviews(df, last_id=1, limit=1)) == [(2, "c")]
-    assert source.incremental_reviews(df, empty).count() == 3  # ids above 0
+    assert source.incremental_reviews(df, empty).count() == 4
     assert rows(source.incremental_reviews(df, done)) == [(3, "d")]
     assert source.incremental_reviews(df, done, full=True).count() == 4
     assert rows(source.unprocessed_reviews(df, done), "review_id") == [(0,), (1,), (3,)]
-    assert source.read_reviews(df.coalesce(1), min_partitions=6).rdd.getNumPartitions() == 6
+    assert source.read_reviews(df.coalesce(1), partitions=6).rdd.getNumPartitions() == 6
+
+
+def test_nothing_new_is_dropped_without_a_mark(spark):
+    df = spark.createDataFrame([(-3, "a"), (0, "b"), (4, "c")], "review_id long, text string")
+    none, low, high = (df.where(c).select("review_id") for c in ("false", "review_id < 0", "review_id > 0"))
+    assert source.incremental_reviews(df, none).count() == source.incremental_reviews(df, low).count() == 3
+    assert source.incremental_reviews(df, high).count() == 0
+    strings = df.select(F.element_at(F.array(F.lit(""), F.lit("!a"), F.lit("b")), F.when(F.col("review_id") < 0, 1).when(F.col("review_id") == 0, 2).otherwise(3)).alias("review_id"))
+    assert source.incremental_reviews(strings, strings.where("false")).count() == 3
+    assert rows(source.incremental_reviews(strings, strings.where("review_id = '!a'"))) == [("b",)]
 
 
 def test_ids_may_be_strings(spark):
@@ -51,13 +63,32 @@ def test_feedback_log_round_trip(spark, reviews, folder, tmp_path):
     signals = analyze.analyze_reviews(texts).signals.join(texts, "review_id")
     low = feedback.low_confidence(signals)
     assert low.count() == 2 and feedback.low_confidence(signals, 0.0).count() == 0
-    for _ in range(2):
-        files.append_feedback(feedback.feedback_record(low), folder("log"))
+    for run in ("a", "b", "b"):
+        files.append_feedback(feedback.feedback_record(low), folder("log"), run)
     lines = [json.loads(x) for p in (tmp_path / "log").rglob("*.json") for x in p.read_text().splitlines()]
     assert len(lines) == 4
     assert set(lines[0]) == {"timestamp", "review_id", "text", "signals"} and lines[0]["timestamp"].endswith("Z")
     assert lines[0]["signals"]["fused"] == {"fused_label": "neutral", "fused_confidence": 0.0}
     assert len(lines[0]["signals"]["signals_fed_to_fusion"]) == 13
+    assert lines[0]["signals"]["sarcasm_output"]["sarcasm_score"] == 0
+    read = read_feedback_log(spark, folder("log"))
+    assert read.count() == 4 and sorted({r.text for r in read.collect()}) == sorted(r.text for r in texts.collect())
+
+
+def test_tolerant_feedback_reading(spark):
+    fed = '"signals":{"signals_fed_to_fusion":%s}}'
+    lines = [
+        '{"review_id":1,' + fed % '{"rule_score":1.0,"num_pos_aspects":"2","rule_polarity":"0.5"}',
+        '{"review_id":"2",' + fed % '{"rule_score":"many"}',
+        '{"review_id":3,' + fed % '{"unheard_of":1}',
+        '{"review_id":4,"signals":{"sarcasm_output":{"sarcasm_score":1.0},"fused":7,"signals_fed_to_fusion":{"rule_score":-1}}}',
+        '{"review_id":5,' + fed % "{}", '{"review_id":6,"signals":{}}', "no json", '{"review_id":7,"sig',
+    ]
+    got = {r.review_id: r.signals for r in parse_feedback(spark.createDataFrame([(x,) for x in lines], "value string")).collect()}
+    assert sorted(got) == ["1", "2", "3", "4"]
+    assert (got["1"].signals_fed_to_fusion.rule_score, got["1"].signals_fed_to_fusion.num_pos_aspects, got["1"].signals_fed_to_fusion.rule_polarity) == (1.0, 2.0, 0.5)
+    assert got["2"].signals_fed_to_fusion.rule_score is None
+    assert got["4"].sarcasm_output.sarcasm_score == 1 and got["4"].fused is None
 
 
 def test_report_files(spark, reviews, folder, tmp_path):
@@ -115,6 +146,46 @@ def test_stream_equals_batch_and_picks_up_new_files(spark, reviews, folder, tmp_
     assert store.aspects().count() == 0
 
 
+def test_writers_share_a_store(spark, reviews, folder):
+    """A stream after a batch run, and replays around a compaction."""
+    store = tables.ResultStore(spark, folder("store"))
+    run_batch(reviews("Good food", "Bad"), store)
+    spark.createDataFrame([(9, "Lovely wine")], "review_id long, text string").write.parquet(folder("in"))
+    stream = spark.readStream.schema("review_id long, text string").parquet(folder("in"))
+    stream_reviews(stream, store, analyze.analyze_reviews, folder("checkpoint")).awaitTermination()
+    assert rows(store.results(), "review_id") == [(0,), (1,), (9,)] and store.last_batch() == 0
+    results = analyze.stamped(spark.createDataFrame([(1, "late")], "review_id long, fusion_label string"))
+    aspects = spark.createDataFrame([(1, "late")], "review_id long, aspect string")
+    store.write_batch(1, results, aspects)
+    small = store.compact(folder("small"))
+    small.write_batch(1, results, aspects)
+    small.write_batch(0, results.where("false"), aspects.where("false"))
+    assert rows(small.results(), "review_id") == [(0,), (1,), (9,)]
+    assert {r.review_id: r.fusion_label for r in small.results().collect()}[1] == "late"
+    assert rows(small.aspects().where("aspect = 'late'"), "review_id") == [(1,)]
+
+
+def test_an_unreadable_store_is_not_taken_for_an_empty_one(spark, folder, tmp_path):
+    broken = tmp_path / "store/results/place=0/writer=batch/batch=0"
+    broken.mkdir(parents=True)
+    (broken / "part-0.parquet").write_bytes(b"this is no parquet file at all")
+    with pytest.raises(Exception, match="(?i)parquet|footer|read"):
+        tables.ResultStore(spark, folder("store")).last_batch()
+    assert tables.ResultStore(spark, folder("elsewhere")).last_batch() is None
+
+
+def test_the_command_line_run(spark, reviews, folder):
+    reviews("Good food", "Bad", None).withColumnsRenamed({"review_id": "id", "text": "body"}).write.parquet(folder("reviews"))
+    args = ["--reviews-table", folder("reviews"), "--id-col", "id", "--text-col", "body", "--results", folder("store")]
+    batch.main([*args, "--limit", "2", "--log-feedback", folder("log"), "--conf-threshold", "0.5", "--output-file", folder("report")])
+    store = tables.ResultStore(spark, folder("store"))
+    assert rows(store.results(), "review_id") == [(0,), (1,)] and read_feedback_log(spark, folder("log")).count() == 2
+    batch.main(args)
+    assert store.results().count() == 3
+    batch.main([*args, "--full"])
+    assert store.last_batch() == 2
+
+
 def test_a_replayed_batch_changes_nothing(spark, folder):
     store = tables.ResultStore(spark, folder("store"))
     results = analyze.stamped(spark.createDataFrame([(1, "a"), (2, "b")], "review_id long, label string"))
@@ -147,7 +218,9 @@ def test_batch_runs_pick_up_what_is_new(spark, reviews, folder, tmp_path):
     first = run_batch(reviews("Good food", "Bad", None), store, scores, categories=categories, feedback_path=folder("log"), report_path=folder("report"))
     assert first.signals.count() == 3
     assert rows(store.aspects(), "review_id", "category_id", "aspect_confidence") == [(0, 4, 0.9)]
-    assert spark.read.json(folder("log")).count() == 3 and (tmp_path / "report/summary/_SUCCESS").exists()
+    log = read_feedback_log(spark, folder("log"))
+    assert log.count() == 3 and log.where("signals.absa_output.aspect_details LIKE '%food%'").count() >= 1
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty() and (tmp_path / "report/summary/_SUCCESS").exists()
     more = reviews("Good food", "Bad", None, "Lovely wine")
     assert rows(run_batch(more, store, scores).signals, "review_id") == [(3,)]
     assert run_batch(more, store, scores, mode="missing").signals.count() == 0

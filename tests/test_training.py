@@ -126,3 +126,25 @@ def test_latest_human_label_wins(spark):
     export = spark.createDataFrame([(1, ""), (2, "")], "review_id int, label string")
     labels = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (3, "c", 1)], "review_id int, label string, labelled_at int")
     assert rows(feedback.labelled_feedback(export, labels)) == [(1, "b")]
+
+
+def test_csv_with_doubled_quotes(spark, folder, tmp_path):
+    names = ",".join(schemas.FEATURES)
+    numbers = ",".join(["0.5"] * 13)
+    (tmp_path / "table.csv").write_text(f'text,{names},label\n"He said ""great"", then\nleft",{numbers},positive\n')
+    got = source.read_training_table(spark, folder("table.csv")).collect()
+    assert [(r.text, r.label, r.rule_score) for r in got] == [('He said "great", then\nleft', "positive", 0.5)]
+    export = spark.createDataFrame([('a "b", c\nd', *[0.5] * 13, "neutral")] * 10, ", ".join(["text string", *[f"{f} double" for f in schemas.FEATURES], "label string"]))
+    assert files.write_training_csv(export, folder("export"))
+    assert {r.text for r in source.read_training_table(spark, folder("export")).collect()} == {'a "b", c\nd'}
+
+
+def test_unlabelled_rows_are_named_or_left_out(spark):
+    table = source.sample_training_data(spark, 30).withColumn("label", F.when(F.col("rule_score") > 5, "x").otherwise(F.col("label")))
+    holes = table.union(table.limit(2).withColumn("label", F.lit(None).cast("string")))
+    with pytest.raises(ValueError, match="2 rows have no label"):
+        training.fit_fusion(holes, trees=2, depth=2)
+    model, classes = training.fit_fusion(holes, trees=2, depth=2, unlabelled="drop")
+    assert None not in classes and len(classes) > 1
+    weights = training.balanced_weights(holes).collect()
+    assert len(weights) == 32 and all(r.weight == 1.0 for r in weights if r.label is None)

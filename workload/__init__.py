@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401
     aspect_queries,
+    flow_queries,
     report_queries,
     score_queries,
     signal_queries,

@@ -20,7 +20,7 @@ from opinionloom.operators import aspects as absa
 from opinionloom.operators import shaping
 from opinionloom.resources import Lexicon
 from opinionloom.session import scratch, shared_root
-from opinionloom.sources.reviews import read_reviews, spread
+from opinionloom.sources.reviews import read_reviews
 
 OPENERS = [
     "The food was amazing, but the waiter was rude.",
@@ -121,7 +121,7 @@ def stored(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 def spread_table(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
     """A given table over all cores; each is one file of one row group here."""
-    return spread(load(spark, sf_dir, table), spark.sparkContext.defaultParallelism, key)
+    return load(spark, sf_dir, table).repartition(spark.sparkContext.defaultParallelism, key)
 
 
 # --- review sets -----------------------------------------------------------------------------
@@ -129,7 +129,7 @@ def spread_table(spark: SparkSession, sf_dir: str, table: str, key: str) -> Data
 
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = load(spark, sf_dir, "documents")
-    return read_reviews(documents, "doc_id", "text", min_partitions=spark.sparkContext.defaultParallelism)
+    return read_reviews(documents, "doc_id", "text", partitions=spark.sparkContext.defaultParallelism)
 
 
 PROSE = "prose AS (SELECT doc_id AS review_id, text FROM documents)"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from opinionloom.operators import fusion, reporting, sarcasm, scoring
+from pyspark.sql import functions as F
+
+from opinionloom.operators import reporting, sarcasm, scoring
 
 from . import inputs as I
 from .aspect_queries import details
 from .registry import query, rounded
-from .signal_queries import FEATURE_TABLES, TOP_EMOTION, filled, fitted, stored_signals, top_emotion
+from .signal_queries import FEATURE_TABLES, TOP_EMOTION, filled, stored_signals, top_emotion
 
 
 @query(f"""WITH {I.FUSED}
@@ -98,9 +100,26 @@ def signals_summary(spark, sf_dir):
     return rounded(reporting.signals_summary(stored_signals(spark, sf_dir)))
 
 
-@query()
+def report_blocks(spark, sf_dir, ordered=False):
+    with_text = stored_signals(spark, sf_dir).join(I.opinions(spark, sf_dir), "review_id")
+    return reporting.review_report(with_text, details(spark, sf_dir), ordered=ordered)
+
+
+_LINES = f"""lines AS (
+  SELECT review_id, string_agg('  ' || upper(aspect) || ': ' || sentiment_label || ' (score ' || printf('%+.3f', sentiment_score) || ', confidence '
+           || printf('%.3f', confidence) || ') "' || context_phrase || '"', chr(10) ORDER BY aspect) AS details
+  FROM details GROUP BY review_id)"""
+
+
+@query(f"""WITH {I.DETAILS}, {_LINES}
+SELECT o.review_id, '== Review ' || o.review_id || ' ==' AS head, 'Result: NEUTRAL 😐' AS result, '  low confidence: have a person look at it' AS note,
+       coalesce(l.details, '  no aspects detected') AS aspects
+FROM opinions o LEFT JOIN lines l ON l.review_id = o.review_id""")
 def review_report(spark, sf_dir):
-    signals = stored_signals(spark, sf_dir).drop("fused_label", "fused_confidence")
-    fused = fusion.fuse(signals, *fitted(spark, sf_dir))
-    with_text = fused.join(I.opinions(spark, sf_dir), "review_id")
-    return reporting.review_report(with_text, details(spark, sf_dir))
+    """The parts of every review's block that SQL can say: heading, result, note and aspect details."""
+    lines = F.split("report", "\n")
+    aspects = F.filter(lines, lambda x: x.rlike("^  [^a-z]+: [a-z]+ \\(score ") | (x == "  no aspects detected"))
+    return report_blocks(spark, sf_dir).select(
+        "review_id", F.get(lines, 0).alias("head"), F.element_at(F.filter(lines, lambda x: x.startswith("Result: ")), 1).alias("result"),
+        F.element_at(F.filter(lines, lambda x: x.startswith("  low confidence")), 1).alias("note"), F.array_join(aspects, "\n").alias("aspects"),
+    )

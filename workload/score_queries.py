@@ -110,19 +110,43 @@ def model_catalog(spark, sf_dir):
     )
 
 
-@query()
+@query(f"""WITH {I.LABELLED}
+SELECT doc_id AS review_id, (SELECT count(DISTINCT label) FROM labelled) AS n_scores, 1.0::DOUBLE AS total FROM documents""")
 def score_units(spark, sf_dir):
-    """Scores of a classifier trained on the labelled documents, for every document."""
-    model, classes, _ = training.train_text_classifier(I.labelled(spark, sf_dir), n_features=1 << 14, iterations=10)
+    """Scores of a classifier trained on the labelled documents, for every document: one per class, 1 in sum."""
+    model, classes, _ = training.train_text_classifier(I.labelled(spark, sf_dir))
     units = I.prose(spark, sf_dir).withColumn("unit_id", F.lit(0))
-    return scoring.score_units(units, model, "tfidf-logistic", classes)
+    scores = scoring.score_units(units, model, "tfidf-logistic", classes)
+    return scores.groupBy("review_id").agg(F.count("*").alias("n_scores"), F.round(F.sum("score"), 6).alias("total"))
 
 
-@query()
+@query("""WITH turns AS (SELECT conv_id, turn, role, least(4, length(text) - length(replace(text, '!', '')))::DOUBLE / 4 AS s FROM conversations)
+SELECT conv_id, turn, 'exclamation' AS model, 0 AS pos, 'calm' AS label, 1 - coalesce(s, 0) AS score FROM turns
+UNION ALL SELECT conv_id, turn, 'exclamation', 1, 'excited', coalesce(s, 0) FROM turns""")
 def score_units_batches(spark, sf_dir):
-    """The same contract served by a batch function, loaded once per partition."""
-    reviews = I.dialogue(spark, sf_dir).withColumn("unit_id", F.lit(0))
-    return scoring.score_units(reviews, exclamation_scorer, "exclamation")
+    """The same contract served by a batch function, loaded once per partition, for every turn, by keys of its own."""
+    turns = I.load(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return scoring.score_units(turns, exclamation_scorer, "exclamation", keys=("conv_id", "turn"))
+
+
+_UNITS = """units AS (SELECT l_orderkey AS review_id, l_linenumber::INT AS unit_id, l_returnflag, CASE WHEN l_quantity % 7 <> 0 THEN (l_quantity % 5)::DOUBLE / 10 END AS score FROM lineitem),
+top AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY coalesce(score, 0) DESC, unit_id,
+  CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN 2 ELSE 1 END) AS rn FROM units)"""
+
+
+@query(f"""WITH {_UNITS}
+SELECT o_orderkey AS review_id, CASE WHEN score IS NULL THEN 0 WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'R' THEN -1 ELSE 0 END::INT AS sentiment,
+       coalesce(score, 0.0)::DOUBLE AS confidence FROM orders LEFT JOIN (SELECT * FROM top WHERE rn = 1) t ON t.review_id = o_orderkey""")
+def units_to_review(spark, sf_dir):
+    """Line items as the scored units of their order: one row per order, from its best unit."""
+    flag, quantity = F.col("l_returnflag"), F.col("l_quantity")
+    normalized = I.load(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("review_id"), F.col("l_linenumber").cast("int").alias("unit_id"), F.lit("units").alias("model"),
+        F.when(flag == "A", "positive").when(flag == "R", "negative").otherwise("neutral").alias("text_label"),
+        F.when(quantity % 7 != 0, (quantity % 5).cast("double") / 10).alias("score"), F.lit(1.0).alias("mapping_conf"),
+    )
+    orders = I.load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("review_id"), F.lit("text").alias("text"))
+    return rounded(scoring.sentiment_result(orders, normalized, "units").drop("model_used"))
 
 
 def exclamation_scorer():

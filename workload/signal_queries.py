@@ -90,10 +90,10 @@ def feature_table(spark, sf_dir):
     return fusion.fusion_features(
         reviews,
         lexicon.rule_sentiment(reviews),
-        scoring.signed_score(scoring.sentiment_result(reviews, normalized, I.TWO_WAY)),
-        absa.absa_rollup(reviews, absa.aspect_sentiment(I.aspect_scores(spark, sf_dir))),
-        emotion.emotion_signals(filled(spark, sf_dir)),
-        sarcasm.sarcasm_result(reviews, scoring.argmax_label(I.sarcasm_scores(spark, sf_dir), ("review_id",))),
+        scoring.signed_score(scoring.sentiment_signals(normalized, I.TWO_WAY)),
+        absa.aspect_signals(absa.aspect_sentiment(I.aspect_scores(spark, sf_dir))),
+        emotion.emotion_signals(emotion.pooled_emotions(I.emotion_scores(spark, sf_dir))),
+        sarcasm.sarcasm_signals(scoring.argmax_label(I.sarcasm_scores(spark, sf_dir), ("review_id",))),
     )
 
 
@@ -125,15 +125,28 @@ def fitted(spark, sf_dir):
     try:
         return files.load_latest_model(spark, directory)
     except AnalysisException:  # nothing published yet
-        model, classes = training.fit_fusion(training_rows(spark, sf_dir), trees=20, depth=5)
+        model, classes = training.fit_fusion(training_rows(spark, sf_dir))
         files.publish_model(spark, model, classes, directory, "v1")
         return model, classes
 
 
-@query()
+def _facts(fused, classes):
+    """What must hold of any forest's answer: a known class, and a confidence no class could beat."""
+    confidence = F.col("fused_confidence")
+    return fused.withColumns(
+        {
+            "known_label": F.col("fused_label").isin(classes).cast("int"),
+            "fair_confidence": ((confidence >= 1 / len(classes) - 1e-9) & (confidence <= 1 + 1e-9)).cast("int"),
+        }
+    )
+
+
+@query("SELECT o_orderkey AS review_id, 1 AS known_label, 1 AS fair_confidence FROM orders")
 def fuse(spark, sf_dir):
+    """Every order has an answer of the forest; its values are random-forest specific, so facts are compared."""
     model, classes = fitted(spark, sf_dir)
-    return fusion.fuse(training_rows(spark, sf_dir).drop("label"), model, classes)
+    fused = fusion.fuse(training_rows(spark, sf_dir).drop("label"), model, classes)
+    return _facts(fused, classes).select("review_id", "known_label", "fair_confidence")
 
 
 def scores(spark, sf_dir):
@@ -156,9 +169,22 @@ def stored_signals(spark, sf_dir):
     return analysis(spark, sf_dir).signals
 
 
-@query()
+ANALYSIS_COLUMNS = ["rule_label", "sentiment", "sentiment_label", "emotion_label", "top_emotion_score", "sarcasm_label"]
+ANALYSIS_SQL = """CASE WHEN f.rule_score > 0 THEN 'positive' WHEN f.rule_score < 0 THEN 'negative' ELSE 'neutral' END AS rule_label,
+s.sentiment, CASE s.sentiment WHEN 1 THEN 'positive' WHEN -1 THEN 'negative' ELSE 'neutral' END AS sentiment_label,
+t.emotion_label, t.top_emotion_score, c.sarcasm_label"""
+ANALYSIS_JOINS = """features f JOIN sentiment s ON s.review_id = f.review_id JOIN top_emotion t ON t.review_id = f.review_id
+JOIN sarcasm c ON c.review_id = f.review_id"""
+_F_ROUNDED = ", ".join(f"round(f.{c}, 9) + 0.0::DOUBLE AS {c}" for c in schemas.FEATURES)
+
+
+@query(f"""WITH {FEATURE_TABLES}, {FEATURES_SQL}, {TOP_EMOTION}
+SELECT f.review_id, {_F_ROUNDED}, {ANALYSIS_SQL}, 1 AS known_label, 1 AS fair_confidence FROM {ANALYSIS_JOINS}""")
 def analyze_reviews(spark, sf_dir):
-    return analysis(spark, sf_dir, fitted(spark, sf_dir)).signals
+    """All signals of the whole plan; of the forest's answer, the facts."""
+    model, classes = fitted(spark, sf_dir)
+    signals = _facts(analysis(spark, sf_dir, (model, classes)).signals, classes)
+    return rounded(signals.select("review_id", *schemas.FEATURES, *ANALYSIS_COLUMNS, "known_label", "fair_confidence"))
 
 
 @query(f"""WITH {FEATURE_TABLES}, {FEATURES_SQL}, {TOP_EMOTION}

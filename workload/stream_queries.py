@@ -12,7 +12,9 @@ from opinionloom.sources.feedback import read_feedback_log
 from opinionloom.streaming import reviews as streams
 
 from . import inputs as I
+from .aspect_queries import CATEGORIES, categories
 from .registry import query
+from .signal_queries import ANALYSIS_JOINS, FEATURE_TABLES, FEATURES_SQL, TOP_EMOTION, scores
 
 
 
@@ -21,19 +23,36 @@ def _stream(spark, sf_dir, table):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
-_DEFAULTS = """'neutral' AS overall_sentiment, 0 AS overall_score, 'sadness' AS emotion_label, 0.0::DOUBLE AS emotion_score,
-'not_sarcastic' AS sarcasm_label, 0 AS sarcasm_score, 'neutral' AS fusion_label, 0.0::DOUBLE AS fusion_confidence"""
-
-
-@query(f"WITH {I.OPINIONS} SELECT review_id, {_DEFAULTS} FROM opinions")
+@query(f"""WITH {FEATURE_TABLES}, {FEATURES_SQL}, {TOP_EMOTION}, {CATEGORIES},
+ids AS (SELECT lower(aspect) AS a, max(category_id) AS category_id FROM categories GROUP BY 1),
+spans AS (SELECT review_id, string_agg(category_id || ':' || sentiment_label, ',' ORDER BY category_id, sentiment_label) AS spans
+          FROM rated JOIN ids ON lower(aspect) = a GROUP BY review_id)
+SELECT f.review_id, CASE s.sentiment WHEN 1 THEN 'positive' WHEN -1 THEN 'negative' ELSE 'neutral' END AS overall_sentiment,
+       s.sentiment AS overall_score, emotion_label, top_emotion_score AS emotion_score, sarcasm_label,
+       c.sarcasm_score AS sarcasm_score, 'neutral' AS fusion_label, 0.0::DOUBLE AS fusion_confidence, coalesce(spans, '') AS spans
+FROM {ANALYSIS_JOINS} LEFT JOIN spans ON spans.review_id = f.review_id""")
 def stream_reviews(spark, sf_dir):
-    """Results stored by the stream when no classifier is plugged in."""
-    key = F.col("o_orderkey")
-    reviews = _stream(spark, sf_dir, "orders").select(key.alias("review_id"), I.opinion_text(key).alias("text"))
-    store = ResultStore(spark, scratch(spark, "stream-results"))
-    run = streams.stream_reviews(reviews, store, analyze.analyze_reviews, scratch(spark, "stream-checkpoint"))
-    run.awaitTermination()
-    return store.results().drop("created_at", "updated_at")
+    """Results and aspects stored by a stream of several micro-batches with scores and categories.
+
+    Older versions of two thirds of the reviews come first; a second run of the same checkpoint brings the rest.
+    """
+    folder, store = scratch(spark, "stream-input"), ResultStore(spark, scratch(spark, "stream-results"))
+    reviews, checkpoint = I.opinions(spark, sf_dir), scratch(spark, "stream-checkpoint")
+    settings = analyze.Settings(sentiment_model=I.TWO_WAY)
+    old = reviews.withColumn("text", F.lit("The old food was bad."))
+    for parts in ([old.where("review_id % 3 <> 0")], [reviews.where("review_id % 2 = 0"), reviews.where("review_id % 2 <> 0")]):
+        for part in parts:
+            part.coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(reviews.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        run = streams.stream_reviews(
+            stream, store, lambda batch: analyze.analyze_reviews(batch, scores(spark, sf_dir), settings), checkpoint,
+            categories(spark, sf_dir),
+        )
+        run.awaitTermination()
+    span = F.concat_ws(":", F.col("category_id").cast("string"), "aspect_sentiment")
+    listed = F.array_sort(F.collect_list(F.struct("category_id", "aspect_sentiment", span.alias("s"))))
+    spans = store.aspects().groupBy("review_id").agg(F.array_join(F.transform(listed, lambda x: x["s"]), ",").alias("spans"))
+    return store.results().drop("created_at", "updated_at").join(spans, "review_id", "left").fillna("", subset=["spans"])
 
 
 @query(f"""WITH {I.FUSED} SELECT review_id::VARCHAR AS review_id, 'order ' || review_id AS text, fused_label, fused_confidence,

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from opinionloom import resources, schemas
-from opinionloom.operators import training
+from opinionloom.operators import feedback, fusion, training
+from opinionloom.plans import train
+from opinionloom.sinks import files
 from opinionloom.session import scratch
 from opinionloom.sources import training as training_source
 
@@ -98,22 +101,56 @@ def cv_summary(spark, sf_dir):
     return rounded(training.cv_summary(training.fold_accuracy(_guesses(spark, sf_dir))))
 
 
-@query()
+def _in_range(report):
+    """1 where precision, recall and F1 lie between 0 and 1."""
+    fair = [F.col(m).between(0.0, 1.0) for m in ("precision", "recall", "f1")]
+    return report.withColumn("in_range", (fair[0] & fair[1] & fair[2]).cast("int"))
+
+
+@query("""WITH rows AS (SELECT o_orderkey AS review_id, CASE o_orderstatus WHEN 'F' THEN 'positive' WHEN 'O' THEN 'negative' ELSE 'neutral' END AS label FROM orders),
+folded AS (SELECT label, ((row_number() OVER (PARTITION BY label ORDER BY md5(review_id::VARCHAR || '#42'), review_id) - 1) % 5)::INT AS fold FROM rows),
+per AS (SELECT fold, label AS class, count(*) AS support FROM folded GROUP BY ALL)
+SELECT fold, class, support, 1 AS in_range FROM per
+UNION ALL SELECT fold, m, sum(support)::BIGINT, 1 FROM per, (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) t(m) GROUP BY fold, m""")
 def cross_validate(spark, sf_dir):
-    predictions = training.cross_validate(training_rows(spark, sf_dir), k=5, trees=20, depth=5)
-    return training.classification_report(predictions, ["fold"])
+    """Support of every class in every fold; the forest's measures lie in their range."""
+    predictions = training.cross_validate(training_rows(spark, sf_dir), k=5)
+    return _in_range(training.classification_report(predictions, ["fold"])).select("fold", "class", "support", "in_range")
 
 
-@query()
+@query(f"SELECT unnest({I.sql_list(schemas.FEATURES)}) AS feature, 1.0::DOUBLE AS total, 1 AS in_order")
 def feature_importance(spark, sf_dir):
+    """Every feature once; importances sum to 1 and fall with the rank."""
     model, _ = fitted(spark, sf_dir)
-    return training.feature_importance(spark, model)
+    ranked = training.feature_importance(spark, model)
+    every = Window.partitionBy()  # over 13 rows
+    falls = F.coalesce(F.lag("importance").over(every.orderBy("rank")) >= F.col("importance"), F.lit(True))
+    return ranked.select("feature", F.round(F.sum("importance").over(every), 6).alias("total"), falls.cast("int").alias("in_order"))
 
 
-@query()
+@query(f"""WITH {I.LABELLED}, test AS (SELECT label FROM labelled WHERE ('0x' || substr(md5(review_id::VARCHAR || '#42'), 1, 4))::INT < 13107)
+SELECT label AS class, count(*) AS support, 1 AS in_range FROM test GROUP BY label
+UNION ALL SELECT m, count(*), 1 FROM test, (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) t(m) GROUP BY m""")
 def text_classifier(spark, sf_dir):
-    _, _, predictions = training.train_text_classifier(I.labelled(spark, sf_dir), n_features=1 << 14, iterations=10)
-    return training.classification_report(predictions)
+    """Support of the held-out classes; the measures lie in their range."""
+    _, _, predictions = training.train_text_classifier(I.labelled(spark, sf_dir))
+    report = _in_range(training.classification_report(predictions))
+    return report.where("support > 0").select("class", "support", "in_range")
+
+
+@query("SELECT 'positive' AS label, 1.0::DOUBLE AS total UNION ALL SELECT 'negative', 1.0 UNION ALL SELECT 'neutral', 1.0")
+def training_run(spark, sf_dir):
+    """The training entry on the logged feedback of every order with human labels, its model published and loaded again."""
+    folder = scratch(spark, "training-run")
+    rows = training_rows(spark, sf_dir)
+    record = feedback.feedback_record(rows.withColumns({"text": F.lit("t"), "fused_label": F.lit("neutral"), "fused_confidence": F.lit(0.1)}))
+    files.append_feedback(record, f"{folder}/log", "run")
+    human = rows.select(F.col("review_id").cast("string").alias("review_id"), "label", F.lit(1).alias("labelled_at"))
+    train.run_training(spark, "feedback", f"{folder}/models", "v1", feedback_log=f"{folder}/log", labels=human, k=2)
+    model, classes = files.load_latest_model(spark, f"{folder}/models")
+    fused = fusion.fuse(rows.drop("label"), model, classes)
+    fair = F.avg(F.col("fused_label").isin(classes).cast("double")).alias("total")
+    return fused.agg(fair).select(F.explode(F.array(*[F.lit(c) for c in classes])).alias("label"), "total")
 
 
 def _sample_sql() -> str:
