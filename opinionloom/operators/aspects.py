@@ -13,6 +13,7 @@ from ..functions.cues import mentions_any
 from ..functions.joins import lookup_join
 from ..functions.lookup import MAX_INLINE, inline_or_none, is_listed
 from ..functions.ranking import first_best
+from .scoring import argmax_label
 from .shaping import phrase_spans, pos_codes
 
 _NO_STRINGS = "array<string>"
@@ -163,11 +164,10 @@ def label_columns(label: Column, score: Column) -> dict[str, Column]:
 
 
 def aspect_sentiment(aspect_scores: DataFrame) -> DataFrame:
-    """aspect_scores(review_id, aspect, pos, label, score) -> one labelled row per (review, aspect)."""
-    order = F.coalesce("score", F.lit(0.0))
-    best = aspect_scores.groupBy("review_id", "aspect").agg(
-        first_best(F.struct("label", "score"), order, F.col("pos")).alias("best")
-    )
+    """aspect_scores(review_id, aspect, pos, label, score), or (review_id, aspect, scores) with one array per
+    unit -> one labelled row per (review, aspect)."""
+    keys = ["review_id", "aspect"]
+    best = argmax_label(aspect_scores, keys).select(*keys, F.struct("label", "score").alias("best"))
     label, score = F.col("best.label"), F.col("best.score")
     return best.select(
         "review_id",

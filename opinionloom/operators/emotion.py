@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import resources
+from .scoring import long_scores
 
 
 def _known(emotions: Sequence[str]) -> list[str]:
@@ -37,6 +38,7 @@ def emotion_fill(reviews: DataFrame, clause_scores: DataFrame, emotions: Sequenc
 def pooled_emotions(clause_scores: DataFrame, emotions: Sequence[str] = resources.EMOTIONS) -> DataFrame:
     """A score column for every label, of the reviews with scores."""
     known = _known(emotions)
+    clause_scores = long_scores(clause_scores)
     label = F.lower("label")
     columns = [F.max(F.when(label == e, F.col("score"))).alias(e) for e in known]
     return clause_scores.groupBy("review_id").agg(*columns).fillna(0.0, subset=known)

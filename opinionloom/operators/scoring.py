@@ -19,8 +19,9 @@ Scorer = Callable[[], Callable[[pd.Series], list]]
 
 
 def score_units(units: DataFrame, scorer: PipelineModel | Scorer, model: str, class_labels: Sequence[str] = (),
-                keys: Sequence[str] = ("review_id", "unit_id")) -> DataFrame:
-    """All class scores of units(*keys, text) as a long score table (*keys, model, pos, label, score).
+                keys: Sequence[str] = ("review_id", "unit_id"), as_array: bool = False) -> DataFrame:
+    """All class scores of units(*keys, text): a long score table (*keys, model, pos, label, score), or
+    with as_array one row per unit (*keys, model, scores), which needs no regrouping later.
 
     `scorer` is a fitted Spark ML pipeline with a `probability` column, or a
     function that loads a model and returns a batch function
@@ -30,13 +31,22 @@ def score_units(units: DataFrame, scorer: PipelineModel | Scorer, model: str, cl
         scored = scorer.transform(units.select(*keys, "text")).select(
             *keys, F.posexplode(vector_to_array("probability")).alias("pos", "score")
         )
-        label = F.element_at(F.array(*[F.lit(x) for x in class_labels]), F.col("pos") + 1)
+        names = F.array(*[F.lit(x) for x in class_labels])
+        if as_array:
+            probabilities = vector_to_array("probability")
+            pairs = F.transform(probabilities, lambda p, i: F.struct(F.get(names, i).alias("label"), p.alias("score")))
+            return scorer.transform(units.select(*keys, "text")).select(*keys, F.lit(model).alias("model"), pairs.alias("scores"))
+        label = F.element_at(names, F.col("pos") + 1)
         return scored.select(*keys, F.lit(model).alias("model"), "pos", label.alias("label"), "score")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = scorer()
         for batch in batches:
             rows = batch[list(keys)].assign(scores=score(batch["text"]))
+            if as_array:
+                arrays = [[{"label": label, "score": float(s)} for label, s in row] for row in rows["scores"]]
+                yield rows[list(keys)].assign(model=model, scores=arrays)
+                continue
             rows = rows.explode("scores").dropna(subset=["scores"])
             pos = rows.groupby(level=0).cumcount()
             yield pd.DataFrame(
@@ -50,15 +60,35 @@ def score_units(units: DataFrame, scorer: PipelineModel | Scorer, model: str, cl
             )
 
     kinds = ", ".join(f"{k} {units.schema[k].dataType.simpleString()}" for k in keys)
-    out = f"{kinds}, model string, pos int, label string, score double"
+    out = f"{kinds}, model string, " + (f"scores {schemas.SCORE_ARRAY}" if as_array else "pos int, label string, score double")
     return units.select(*keys, "text").mapInPandas(run, out)
 
 
+def long_scores(scores: DataFrame) -> DataFrame:
+    """One row per class (…, pos, label, score) of a table with score arrays; long tables as they are."""
+    if "scores" not in scores.columns:
+        return scores
+    rest = [c for c in scores.columns if c != "scores"]
+    exploded = scores.select(*rest, F.posexplode("scores").alias("pos", "_s"))
+    return exploded.select(*rest, "pos", "_s.label", "_s.score")
+
+
+def best_of_array(scores: Column) -> Column:
+    """struct(label, score) of the largest score, the first one on a tie; a missing score counts as 0."""
+    ranked = F.transform(scores, lambda s, i: F.struct(F.coalesce(s["score"], F.lit(0.0)).alias("v"), (-i).alias("p"), s.alias("s")))
+    return F.array_max(ranked)["s"]
+
+
 def argmax_label(model_scores: DataFrame, keys: Sequence[str] = ("review_id", "unit_id", "model")) -> DataFrame:
     """Best label per key; a missing score counts as 0. On a tie the lowest unit_id wins, if that
     is a column but no key, then the lowest pos: this is the roll-up from units to reviews."""
-    score = F.coalesce("score", F.lit(0.0))
     rolled = "unit_id" in model_scores.columns and "unit_id" not in keys
+    if "scores" in model_scores.columns:
+        # Score arrays hold a unit in a row: no shuffle unless units are rolled up.
+        units = model_scores.withColumn("_best", best_of_array(F.col("scores")))
+        best = units.select(*keys, *(["unit_id"] if rolled else []), "_best.label", "_best.score").withColumn("pos", F.lit(0))
+        return argmax_label(best, keys) if rolled else best.drop("pos")
+    score = F.coalesce("score", F.lit(0.0))
     before = F.struct(-F.coalesce("unit_id", F.lit(0)), -F.col("pos")) if rolled else -F.col("pos")
     best = F.max_by(F.struct("label", "score"), F.struct(score, before))
     return model_scores.groupBy(*keys).agg(best.alias("_best")).select(

@@ -23,6 +23,8 @@ class Scores:
     sentiment and sarcasm: (review_id, model, pos, label, score)
     aspects: (review_id, aspect, pos, label, score)
     emotions: (review_id, clause_idx, label, score)
+    Each may hold one array `scores` per unit in place of pos, label and score: then the best
+    class is found in the row, without a shuffle.
     """
 
     sentiment: DataFrame | None = None

@@ -47,7 +47,7 @@ def score_reviews(reviews: DataFrame, scorers: Scorers, settings: Settings | Non
     def run(classifier: Classifier | None, units: DataFrame, keys: Sequence[str]) -> DataFrame | None:
         if classifier is None:
             return None
-        return scoring.score_units(units, classifier.scorer, classifier.name, classifier.class_labels, keys)
+        return scoring.score_units(units, classifier.scorer, classifier.name, classifier.class_labels, keys, as_array=True)
 
     normalized = usable.select("review_id", text.normalized("text").alias("text"))
     pairs = absa.aspect_units(usable, settings.aspects, pos=settings.pos).withColumnRenamed("unit", "text")

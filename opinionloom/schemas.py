@@ -33,6 +33,9 @@ RESULT_PAYLOAD = [
     "fusion_confidence",
 ]
 
+# All class scores of a unit in one row, in class order.
+SCORE_ARRAY = "array<struct<label:string,score:double>>"
+
 # The outputs nested in one line of the feedback log, and their types. `fused_output` is
 # read as well as `fused` because older logs may carry either name.
 FEEDBACK_GROUPS = {

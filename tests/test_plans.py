@@ -57,6 +57,19 @@ def test_argmax_reduces_before_the_shuffle(spark):
     assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("partial_max_by")
 
 
+def test_score_arrays_need_no_shuffle_and_no_sort(spark):
+    array = "array(struct('LABEL_2' as label, cast(null as double) as score), struct('LABEL_0' as label, 0.4D as score), struct('LABEL_2' as label, 0.4D as score))"
+    table = spark.read.parquet(DOCUMENTS).selectExpr("doc_id as review_id", "lang as aspect", f"{array} as scores")
+    for df in (scoring.argmax_label(table, ("review_id",)), absa.aspect_sentiment(table)):
+        plan = plan_of(df)
+        assert "Exchange" not in plan and "Sort" not in plan and "Aggregate" not in plan
+    assert {(r.label, r.score) for r in scoring.argmax_label(table, ("review_id",)).collect()} == {("LABEL_0", 0.4)}
+    same = [rows(absa.aspect_sentiment(t), "review_id", "sentiment_label", "sentiment_score") for t in (table, scoring.long_scores(table))]
+    assert same[0] == same[1]
+    units = table.selectExpr("review_id % 7 as review_id", "cast(review_id as int) as unit_id", "scores")
+    assert scoring.argmax_label(units, ("review_id",)).count() == 7
+
+
 def test_samples_are_limited_before_the_shuffle(spark):
     details = spark.read.parquet(DOCUMENTS).selectExpr("doc_id as review_id", "lang as aspect", "source as context_phrase")
     plan = plan_of(reporting.aspect_samples(details))
