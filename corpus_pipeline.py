@@ -17,7 +17,10 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates; of repeated rows, one."""
+    """The document with the smallest doc_id of each group of near duplicates.
+
+    Of several rows with one doc_id one stays; rows without a doc_id can't be told apart and go.
+    """
     kept = near_dedup.near_duplicates(docs).where("kept OR n_shingles = 0").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 

@@ -117,10 +117,6 @@ class Fourier:
         return np.concatenate([waves, np.ones((len(stats), 1))], axis=1)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.values.to_numpy().reshape(-1, len(NAMES)) if len(column) else np.zeros((0, len(NAMES)))
-
-
 def _summing(fourier: Fourier):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = FEATURES + 1
