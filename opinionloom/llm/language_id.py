@@ -42,7 +42,11 @@ def fold_table() -> np.ndarray:
     kinds = pretokens.class_table()
     letters = np.flatnonzero((kinds >= pretokens.LETTER) & (kinds <= pretokens.E_))
     table = np.full(0x110000, 32, np.uint16)
-    table[letters] = [ord(low) & 0xFFFF if len(low := chr(c).lower()) == 1 else c & 0xFFFF for c in letters.tolist()]
+    table[letters] = letters & 0xFFFF
+    for c in letters:
+        low = chr(c).lower()
+        if len(low) == 1:
+            table[c] = ord(low) & 0xFFFF
     return table
 
 

@@ -62,11 +62,13 @@ def transducer() -> tuple[np.ndarray, np.ndarray]:
 def class_table() -> np.ndarray:
     """The class of every code point."""
     table = np.full(0x110000, OTHER, np.uint8)
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    everything = "".join(map(chr, points))
-    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", WHITE)):
-        for m in regex.finditer(pattern, everything):
-            table[points[m.start()] : points[m.end() - 1] + 1] = kind
+    for begin in range(0, 0x110000, 0x800):  # few code points at a time: a worker keeps the memory it once took
+        if 0xD800 <= begin < 0xE000:
+            continue
+        some = "".join(map(chr, range(begin, begin + 0x800)))
+        for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", WHITE)):
+            for m in regex.finditer(pattern, some):
+                table[begin + m.start() : begin + m.end()] = kind
     for char, kind in (("'", QUOTE), (" ", BLANK), ("r", R), ("v", V), ("l", L_), ("e", E_)):
         table[ord(char)] = kind
     for char in "stmd":

@@ -31,7 +31,7 @@ LENGTH = 400
 GRAM = 150
 #: Different segments of one anchor that are sorted in one task, about 4 MB of text.
 CELL = 8192
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 19
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
