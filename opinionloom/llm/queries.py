@@ -76,7 +76,28 @@ def op3_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-@query()
+_REPEATS = """
+WITH n AS (SELECT doc_id, encode(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+win AS (SELECT doc_id, k, md5(h[k+1:k+400]) AS m FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS k FROM n WHERE n >= 400)),
+hit AS (SELECT doc_id, k FROM win JOIN (SELECT m FROM win GROUP BY m HAVING count(*) > 1) USING (m)),
+marked AS (SELECT doc_id, k, (k > coalesce(lag(k) OVER (PARTITION BY doc_id ORDER BY k), -1000) + 400)::INT AS opens FROM hit),
+runs AS (
+    SELECT doc_id, min(k) AS b, max(k) + 400 AS e FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM marked) GROUP BY doc_id, g
+),
+gaps AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS a FROM runs),
+totals AS (SELECT doc_id, sum(e - b)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS last_e FROM runs GROUP BY doc_id),
+pieces AS (
+    SELECT doc_id, b AS pos, hex(h[a+1:b]) AS s FROM gaps JOIN n USING (doc_id)
+    UNION ALL
+    SELECT doc_id, n + 1, hex(h[coalesce(last_e, 0)+1:n]) FROM n LEFT JOIN totals USING (doc_id)
+),
+kept AS (SELECT doc_id, sha256(unhex(string_agg(s, '' ORDER BY pos))) AS kept_sha256 FROM pieces GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+FROM n LEFT JOIN totals USING (doc_id) JOIN kept USING (doc_id)
+"""
+
+
+@query(_REPEATS)
 def op9_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans.remove_repeats(table(spark, sf_dir, "documents"))
 
