@@ -8,6 +8,7 @@ and only the last sequence has padding.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import pretokens
 from .common import stored, stream, text_table
 from .token_counts import Vocabulary, vocabulary_path
 
@@ -27,6 +29,10 @@ DIMENSIONS = 4
 BITS = 10
 END_ID = 1
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The faster library's pattern gives up in a run of about a million white-space characters; texts with a run of
+#: more than this many are cut into pieces by the transducer instead.
+LONG_BLANK = 100_000
+_BLANK = re.compile(r"\s+")
 
 
 @lru_cache(maxsize=2)
@@ -40,11 +46,28 @@ def encoder(path: str):
 
 def encode(path: str, text: str) -> np.ndarray:
     """Token ids of one text, special strings included, and the closing id."""
-    ids = encoder(path).encode(text, allowed_special="all")
+    if len(text) > LONG_BLANK and any(m.end() - m.start() > LONG_BLANK for m in _BLANK.finditer(text)):
+        ids = encode_pieces(path, text)
+    else:
+        ids = encoder(path).encode(text, allowed_special="all")
     ids.append(END_ID)
     return np.array(ids, np.uint32)
 
 
+def encode_pieces(path: str, text: str) -> list[int]:
+    """Token ids of one text whose pieces are found without a pattern that backtracks."""
+    library, ids = encoder(path), []
+    for part in re.split("(" + "|".join(map(re.escape, sorted(library.special_tokens_set, key=len, reverse=True))) + ")", text):
+        if part in library.special_tokens_set:
+            ids.append(library.encode_single_token(part))
+        elif part:
+            whole = part.encode()
+            starts, ends = pretokens.pieces(np.frombuffer(whole, np.uint8), np.array([0, len(whole)]))
+            for a, b in zip(starts.tolist(), ends.tolist()):
+                ids += library._encode_single_piece(whole[a:b])
+    return ids
+
+
 @lru_cache(maxsize=1)
 def projection() -> np.ndarray:
     """Fixed Gaussian directions of the hash buckets."""

@@ -59,6 +59,18 @@ def test_token_counts_and_ids_equal_the_library():
         assert packing.encode(PATH, text or "").tolist() == [*ids, 1]
 
 
+def test_ids_of_very_long_white_space(monkeypatch):
+    library = Tokenizer.from_file(PATH)
+    texts = [" " * 3_000_000, "a" + "\n" * 2_000_000 + "b", "it's " + " \t\n" * 500_000 + " <|endoftext|>  é"]
+    for text in texts:
+        assert packing.encode(PATH, text).tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
+    monkeypatch.setattr(packing, "LONG_BLANK", 0)
+    rng = random.Random(8)
+    parts = ["'s", "'ll", "'", "v", " ", "  ", "\n", "\u3000", "é", "中", "１", "hello", "!", "😀", "<|endoftext|>", " the"]
+    for text in ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(500)]:
+        assert packing.encode(PATH, text).tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_transducer_begins_anew_when_it_is_full(monkeypatch):
     monkeypatch.setattr(token_counts, "MAX_TRANSITIONS", 50)
     monkeypatch.setattr(token_counts, "MAX_PIECES", 3)
