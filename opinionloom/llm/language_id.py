@@ -2,8 +2,9 @@
 
 Counting: every task counts the 4-grams of folded characters of its documents by language; Spark sums them.
 Lower orders are continuation counts of the order above. Probabilities and back-off weights are worked out by
-joins, then laid into at most `slots` hash slots per language and order, so the model that is broadcast has a
-size bound (MODEL_BYTES) that does not depend on the corpus. Scoring looks them up in sorted hash arrays.
+joins over whole grams, and so is the score of every 4-gram that occurs in a document: the tables grow with the
+distinct grams, and no two grams share an entry. The scores of the most frequent grams, as many as MODEL_BYTES
+hold, are broadcast as sorted arrays; the grams that are not among them are joined by gram.
 
 A document gets the language of the least cross-entropy per character. It is rejected when that entropy is
 far above what training documents of that language and length have.
@@ -24,8 +25,7 @@ from .common import remainder, stored, text_blocks
 
 ORDER = 4
 MODEL_BYTES = 256 << 20
-MAX_SLOTS = 2_097_143
-#: Distinct n-grams a task holds before it passes their counts on, and scored n-grams a worker remembers.
+#: Distinct n-grams a task holds before it passes their counts on.
 HELD = 1_000_000
 #: Rejection: entropy above the median by SLACK times the distance from the median to the 99th percentile, and
 #: by MARGIN nats a character at least. A text partly in another language stays; one in no known language goes.
@@ -141,113 +141,148 @@ def probabilities(counts: DataFrame) -> DataFrame:
     return out
 
 
-class Models:
-    """Sorted hash arrays of every language."""
-
-    def __init__(self, langs: list[str], slots: int, arrays: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]):
-        self.langs, self.slots, self.arrays = langs, slots, arrays
-        self.known = np.zeros(0, np.int64)
-        self.scores = np.zeros((0, len(langs)), np.float32)
-
-    def __getstate__(self):
-        return self.langs, self.slots, self.arrays
-
-    def __setstate__(self, state):
-        self.__init__(*state)
-
-    def find(self, lang: int, part: int, values: np.ndarray, default: float) -> tuple[np.ndarray, np.ndarray]:
-        hashes, logs = self.arrays.get((lang, part), (np.zeros(0, np.int64), np.zeros(0, np.float32)))
-        wanted = np.mod(values, self.slots)
-        out, hit = np.full(len(wanted), default, np.float32), np.zeros(len(wanted), bool)
-        if len(hashes):
-            at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
-            hit = hashes[at] == wanted
-            out[hit] = logs[at[hit]]
-        return out, hit
-
-    def score_new(self, keys: np.ndarray) -> np.ndarray:
-        """Log probability of each 4-gram's last letter after its first three, by language."""
-        out = np.zeros((len(keys), len(self.langs)), np.float32)
-        for lang in range(len(self.langs)):
-            rest = np.arange(len(keys))
-            for n in range(ORDER, 0, -1):
-                own = keys[rest] & np.int64((1 << 16 * n) - 1) if n < 4 else keys[rest]
-                found, hit = self.find(lang, n, own, 0.0)
-                out[rest[hit], lang] += found[hit]
-                rest, own = rest[~hit], own[~hit]
-                context = (own.view(np.uint64) >> np.uint64(16)).view(np.int64)
-                out[rest, lang] += self.find(lang, 10 + n, context, 0.0)[0]
-            out[rest, lang] += np.float32(-np.log(65536.0))
-        return out
-
-    def score(self, keys: np.ndarray) -> np.ndarray:
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        at = np.searchsorted(self.known, distinct)
-        hit = at < len(self.known)
-        hit[hit] = self.known[at[hit]] == distinct[hit]
-        scores = np.empty((len(distinct), len(self.langs)), np.float32)
-        scores[hit] = self.scores[at[hit]]
-        if not hit.all():
-            scores[~hit] = self.score_new(distinct[~hit])
-            if len(self.known) > HELD // max(1, len(self.langs)):
-                self.known, self.scores = self.known[:0], self.scores[:0]
-            at = np.searchsorted(self.known, distinct[~hit])
-            self.known = np.insert(self.known, at, distinct[~hit])
-            self.scores = np.insert(self.scores, at, scores[~hit], axis=0)
-        return scores[inverse]
-
-
-def learn(docs: DataFrame, taught: Column) -> Models:
-    """Models of the languages of the rows where `taught` holds and lang is not null."""
-    spark = docs.sparkSession
-    rows = docs.where(taught & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string"))
+def _by_language(values: DataFrame, part: int, langs: list[str], name: str) -> DataFrame:
+    """One row per gram of a part: the logarithms of its values, an array by language with nulls."""
+    logs = [F.max(F.when(F.col("lang") == lang, F.log("value"))) for lang in langs]
+    return values.where(F.col("part") == part).groupBy("gram").agg(F.array(*logs).alias(name))
+
+
+def gram_scores(needed: DataFrame, values: DataFrame, langs: list[str]) -> DataFrame:
+    """`needed` (gram, n) with scores: log probability of a 4-gram's last letter after its first three, by language.
+
+    An unseen gram has the score of its suffix and the back-off weight of its context; an unseen letter that of
+    one in 65,536 letters.
+    """
+    lower = None
+    for n in range(1, ORDER + 1):
+        own = needed if n == ORDER else needed.select(_low("gram", n).alias("gram")).distinct()
+        context = F.shiftrightunsigned("gram", 16) if n > 1 else F.lit(0).cast("long")
+        joined = own.withColumn("context", context).withColumn("short", _low("gram", n - 1))
+        joined = joined.join(_by_language(values, n, langs, "seen"), "gram", "left")
+        joined = joined.join(_by_language(values, 10 + n, langs, "weights").withColumnRenamed("gram", "context"), "context", "left")
+        if lower is not None:
+            joined = joined.join(lower, "short")
+        rest = [F.lit(-np.log(65536.0).item()) if lower is None else F.col("lower")[k] for k in range(len(langs))]
+        scores = F.array(*[F.coalesce(F.col("seen")[k], F.coalesce(F.col("weights")[k], F.lit(0.0)) + rest[k]) for k in range(len(langs))])
+        solved = joined.withColumn("scores", scores)
+        lower = solved.select(F.col("gram").alias("short"), F.col("scores").alias("lower"))
+    return solved.select("gram", "n", F.col("scores").cast("array<float>").alias("scores"))
+
+
+def learn(docs: DataFrame, taught: Column) -> tuple[list[str], DataFrame | None]:
+    """The languages of the rows where `taught` holds and lang is not null, and the scores of all grams of `docs`."""
+    lang = F.when(taught, F.col("lang").cast("string")).alias("lang")
+    rows = docs.select(F.col("text").cast("string").alias("text"), lang).where("text IS NOT NULL")
     counted = rows.mapInArrow(_counting, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    values = probabilities(stored(counted, "grams4"))
-    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
-    slots = max(4096, min(MAX_SLOTS, MODEL_BYTES // (12 * 2 * ORDER * max(1, len(langs)))))
-    hashed = values.groupBy("lang", "part", F.pmod("gram", F.lit(slots)).alias("slot")).agg(F.log(F.max("value")).cast("float").alias("log"))
-    table = hashed.toArrow()
-    lang = table.column("lang").to_numpy()
-    part, slot, log = (table.column(c).to_numpy() for c in ("part", "slot", "log"))
-    arrays = {}
-    for k, name in enumerate(langs):
-        for p in (*range(1, ORDER + 1), *range(11, 11 + ORDER)):
-            own = np.flatnonzero((lang == name) & (part == p))
-            own = own[np.argsort(slot[own])]
-            arrays[k, p] = (slot[own], log[own])
-    return Models(langs, slots, arrays)
-
-
-def _scoring(held):
+    counts = stored(counted, "grams4")
+    langs = sorted(r.lang for r in rows.select("lang").distinct().collect() if r.lang is not None)
+    if not langs:
+        return langs, None
+    values = probabilities(counts.where("lang IS NOT NULL"))
+    return langs, stored(gram_scores(counts.groupBy("gram").agg(F.sum("n").alias("n")), values, langs), "scores")
+
+
+def frequent(scores: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
+    """Sorted grams and scores of the most frequent grams, at most MODEL_BYTES, and the table of the others if there are any.
+
+    Which are frequent is decided by the logarithm of n, in steps of a sixteenth, so a gram of the table is in no
+    larger share of the text than one in as many as the arrays hold.
+    """
+    step = F.floor(16 * F.log2("n")).cast("int")
+    room, least, rest = MODEL_BYTES // (8 + 4 * width), 1 << 30, False
+    for r in scores.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # at most 16 rows an octave
+        room -= r["count"]
+        if room < 0:
+            rest = True
+            break
+        least = r.step
+    table = scores.where(step >= least).select("gram", "scores").toArrow()
+    keys = table.column("gram").to_numpy()
+    order = np.argsort(keys)
+    logs = table.column("scores").combine_chunks().flatten().to_numpy().reshape(-1, width)
+    return keys[order], logs[order], scores.where(step < least).select("gram", "scores") if rest else None
+
+
+def _rare(keys: np.ndarray, text: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """The distinct grams of each of n texts and how often they occur, as lists."""
+    order = np.lexsort((keys, text))
+    keys, text = keys[order], text[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (text[1:] != text[:-1]) | (keys[1:] != keys[:-1])
+    first = np.flatnonzero(new)
+    cuts = pa.array(np.searchsorted(text[first], np.arange(n + 1)), pa.int32())
+    times = np.diff(np.append(first, len(keys)))
+    return pa.ListArray.from_arrays(cuts, pa.array(keys[first])), pa.ListArray.from_arrays(cuts, pa.array(times, pa.int64()))
+
+
+def _scoring(held, width: int, more: bool):
+    """Letters and summed scores of each text; with `more`, also its grams that are not among the frequent ones."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = held.value
+        known, scores = held.value
         for batch in batches:
             for first, end, data, offsets in text_blocks(batch.column(0)):
                 n = end - first
                 keys, text = grams(data, offsets)
-                sizes = np.bincount(text, minlength=n)
-                best, entropy, sure = [None] * n, np.zeros(n), np.zeros(n)
-                if models.langs and len(keys):
-                    logs = models.score(keys)
-                    means = np.stack([np.bincount(text, weights=logs[:, k], minlength=n) for k in range(len(models.langs))], axis=1) / np.maximum(sizes, 1)[:, None]
-                    top = means.argmax(axis=1)
-                    entropy = -means[np.arange(n), top]
-                    sure = 1 / np.exp(10 * (means + entropy[:, None])).sum(axis=1)
-                    best = [models.langs[t] if s else None for t, s in zip(top, sizes)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[c.slice(first, n) for c in batch.columns[1:]],
-                        pa.array(best, pa.string()),
-                        pa.array(np.where(sizes > 0, sure, 0.0)),
-                        pa.array(entropy),
-                        pa.array(sizes.astype(np.int64)),
-                    ],
-                    names=[*batch.schema.names[1:], "best", "sure", "entropy", "length"],
-                )
+                distinct, inverse = np.unique(keys, return_inverse=True)
+                at = np.searchsorted(known, distinct)
+                hit = at < len(known)
+                hit[hit] = known[at[hit]] == distinct[hit]
+                logs = np.zeros((len(distinct), width), np.float32)
+                logs[hit] = scores[at[hit]]
+                logs = logs[inverse]
+                sums = np.zeros((n, width))
+                for k in range(width):
+                    sums[:, k] = np.bincount(text, weights=logs[:, k], minlength=n)
+                columns = [
+                    *[c.slice(first, n) for c in batch.columns[1:]],
+                    pa.array(np.bincount(text, minlength=n).astype(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(sums.reshape(-1))),
+                ]
+                if more:
+                    left = ~hit[inverse]
+                    columns += _rare(keys[left], text[left], n)
+                names = [*batch.schema.names[1:], "length", "sums", "rare", "times"]
+                yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
 
     return score
 
 
+def _judging(langs: list[str]):
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, sizes = batch.num_rows, batch.column(3).to_numpy()
+            best, entropy, sure = [None] * n, np.zeros(n), np.zeros(n)
+            if langs and n:
+                means = batch.column(4).flatten().to_numpy().reshape(n, len(langs)) / np.maximum(sizes, 1)[:, None]
+                top = means.argmax(axis=1)
+                entropy = -means[np.arange(n), top]
+                sure = 1 / np.exp(10 * (means + entropy[:, None])).sum(axis=1)
+                best = [langs[t] if s else None for t, s in zip(top, sizes)]
+            columns = [*batch.columns[:3], pa.array(best, pa.string()), pa.array(np.where(sizes > 0, sure, 0.0)), pa.array(entropy), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "name", "lang", "best", "sure", "entropy", "length"])
+
+    return judge
+
+
+def score_texts(plain: DataFrame, langs: list[str], scores: DataFrame | None) -> DataFrame:
+    """doc_id, name, lang, length and sums (of the scores of all its grams, by language) of each row of `plain`."""
+    width, rest = len(langs), None
+    known = np.zeros(0, np.int64), np.zeros((0, width), np.float32)
+    if scores is not None:
+        *known, rest = frequent(scores, width)
+    held = plain.sparkSession.sparkContext.broadcast(tuple(known))
+    fields = "doc_id long, name long, lang string, length long, sums array<double>"
+    if rest is None:
+        return plain.mapInArrow(_scoring(held, width, False), fields)
+    some = plain.mapInArrow(_scoring(held, width, True), fields + ", rare array<long>, times array<long>")
+    parts = stored(some.withColumn("row", F.monotonically_increasing_id()), "parts")
+    rare = parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("z")).select("row", F.col("z.rare").alias("gram"), F.col("z.times").alias("times"))
+    added = rare.join(rest, "gram").groupBy("row").agg(*[F.sum(F.col("times") * F.col("scores")[k].cast("double")).alias(f"more{k}") for k in range(width)])
+    sums = F.array(*[F.col("sums")[k] + F.coalesce(F.col(f"more{k}"), F.lit(0.0)) for k in range(width)]).alias("sums")
+    return parts.join(added, "row", "left").select("doc_id", "name", "lang", "length", sums)
+
+
 def identify(docs: DataFrame, taught: Column | None = None) -> DataFrame:
     """doc_id, lang_pred, score, entropy, rejected, name (hash of the text) for every row of `docs`.
 
@@ -256,15 +291,14 @@ def identify(docs: DataFrame, taught: Column | None = None) -> DataFrame:
     learned. Ties go to the language that sorts first. Repeated rows are scored as often as they are given.
     Extra columns are ignored.
     """
-    spark = docs.sparkSession
     taught = remainder(F.col("doc_id"), 3) != 1 if taught is None else taught
-    models = spark.sparkContext.broadcast(learn(docs, taught))
+    langs, scores = learn(docs, taught)
     plain = docs.select(
         F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("name"),
         F.when(taught, F.col("lang").cast("string")).alias("lang"),
     )
     fields = "doc_id long, name long, lang string, best string, sure double, entropy double, length long"
-    scored = stored(plain.mapInArrow(_scoring(models), fields), "languages")
+    scored = stored(score_texts(plain, langs, scores).mapInArrow(_judging(langs), fields), "languages")
     size = F.floor(F.log2(F.greatest("length", F.lit(1)))).cast("int")
     right = scored.where("lang = best AND length > 0").select("best", size.alias("size"), "entropy")
     at = F.percentile_approx("entropy", [0.5, 0.99], 10_000)

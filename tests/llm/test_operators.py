@@ -105,6 +105,37 @@ def test_held_out_languages(spark):
     assert got.where("rejected").count() <= 2
 
 
+@pytest.mark.parametrize("size", [0, 16_000, 1 << 20])
+def test_every_gram_has_its_own_score(spark, monkeypatch, size):
+    monkeypatch.setattr(language_id, "MODEL_BYTES", size)
+    rng = random.Random(9)
+    texts = ["".join(rng.choices(("aeinrst ", "aouklmt ", "日月火水木金土人 ")[k % 3], k=300)) for k in range(30)]
+    texts += ["the quick brown fox", "日本語 text", "", None, "zzzz", texts[0]]
+    docs = spark.createDataFrame([(k, t, ["en", "fi", "zh"][k % 3]) for k, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    taught = docs.where("doc_id < 24 AND text IS NOT NULL").select("text", "lang")
+    counts = taught.mapInArrow(language_id._counting, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    model = {(r.lang, r.part, r.gram): np.log(r.value) for r in language_id.probabilities(counts).collect()}
+
+    def score(lang, gram, n=4):
+        own = gram & (1 << 16 * n) - 1
+        if n == 0:
+            return -np.log(65536)
+        if (lang, n, own - (1 << 64) * (own >> 63)) in model:
+            return model[lang, n, own - (1 << 64) * (own >> 63)]
+        return model.get((lang, 10 + n, own >> 16), 0.0) + score(lang, gram, n - 1)
+
+    got = {r.doc_id: r for r in language_id.identify(docs, F.col("doc_id") < 24).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        data = (t or "").encode()
+        keys = [g & (1 << 64) - 1 for g in language_id.grams(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0].tolist()]
+        if keys:
+            entropy = {lang: -np.mean([score(lang, g) for g in keys]) for lang in ("en", "fi", "zh")}
+            assert got[k].lang_pred == min(entropy, key=entropy.get) and abs(got[k].entropy - min(entropy.values())) < 1e-4
+        else:
+            assert got[k].lang_pred == "und"
+
+
 # 2
 
 
