@@ -34,7 +34,7 @@ def words_of(text: str | bytes | None) -> list[bytes]:
 
 
 class ItemAutomaton:
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -160,16 +160,16 @@ def _scanning(block, name: str, window: int):
                 for text in part.column(2):
                     words = words_of(text.as_py())
                     ranges, items, longest = automaton.scan(words)
-                    out.append((len(words), longest, [{"begin": a, "end": b} for a, b in ranges], sorted({automaton.names[k] for k in items})))
+                    out.append((len(words), longest, [{"begin": a, "end": b} for a, b in ranges], sorted({automaton.names[k] for k in items} - {None})))
                 found = [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), kind, pa.list_(pa.string())))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *found], names=["doc_id", "name", "n_words", "longest", "hits", "items"])
 
     return scan
 
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items that have words, in blocks of about `block_words` words; the driver holds one block at a time."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """The distinct items that have words, also those without an item_id, in blocks of about `block_words` words; the driver holds one block at a time."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (2 * block_words)))  # a word and the gap behind it take two bytes at least
     for b in range(blocks):
@@ -223,8 +223,8 @@ def merged(hits: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest, hits, items for every row of `docs`.
 
-    Null, empty and wordless texts have no words and no hits; null items and items without words match nothing;
-    an empty benchmark matches nothing. Items that repeat an item_id count once. Extra columns are ignored.
+    Null, empty and wordless texts have no words and no hits; items with a null text or without words match
+    nothing; an empty benchmark matches nothing. An item with a null item_id counts in the hits, but has no name to be listed by. Items that repeat an item_id count once. Extra columns are ignored.
     """
     found = item_hits(docs, benchmark, window, block_words).withColumn("hits", merged(F.col("hits")))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, h: acc + h["end"] - h["begin"])

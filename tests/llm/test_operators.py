@@ -346,6 +346,17 @@ def test_contamination_in_blocks(spark, odd):
     assert kept.columns == odd.columns and kept.count() == odd.count()
 
 
+@pytest.mark.parametrize("block_words", [decontamination.BLOCK_WORDS, 4])
+def test_items_without_a_name_and_repeated_items(spark, block_words):
+    items = [(None, "p q r s t u v w x y"), ("k", "aa bb cc"), (None, None), *[("hot", "one two three four five six")] * 50]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame([(1, "z p q r s t u v w x y z"), (2, "aa bb cc p q"), (3, "no hit")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r["items"]) for r in decontamination.contamination(docs, benchmark, block_words=block_words).collect()}
+    assert got == {1: (10, 0, []), 2: (3, 1, ["k"]), 3: (0, 0, [])}
+    blocks = list(decontamination.item_blocks(benchmark, block_words))
+    assert sum(map(len, blocks)) == 3 and (block_words == 4 or len(blocks) == 1)
+
+
 def test_spans_are_cut_and_leaks_dropped(spark):
     item = " ".join(f"i{k}" for k in range(12))
     other = " ".join(f"o{k}" for k in range(40))
