@@ -129,12 +129,24 @@ class CountingTransducer:
         self.moves[state << 8 | byte] = (number, change)
         return number, change
 
+    def begin_anew(self, state: int) -> int:
+        """Drop the automaton but for one state; the state's new number."""
+        kept = self.states[state]
+        self.reset()
+        if kept not in self.numbers:
+            self.numbers[kept] = len(self.states)
+            self.states.append(kept)
+        return self.numbers[kept]
+
     def count(self, piece: bytes) -> int:
-        if len(self.moves) > MAX_TRANSITIONS:
-            self.reset()
         state, total, moves = 0, 0, self.moves
         for byte in piece:
-            move = moves.get(state << 8 | byte) or self.compile(state, byte)
+            move = moves.get(state << 8 | byte)
+            if move is None:
+                if len(moves) >= MAX_TRANSITIONS:
+                    state = self.begin_anew(state)
+                    moves = self.moves
+                move = self.compile(state, byte)
             state = move[0]
             total += move[1]
         return total

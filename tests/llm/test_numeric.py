@@ -84,6 +84,16 @@ def test_transducer_begins_anew_when_it_is_full(monkeypatch):
     assert got == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_transducer_stays_small_within_a_piece(monkeypatch):
+    monkeypatch.setattr(token_counts, "MAX_TRANSITIONS", 50)
+    transducer = token_counts.CountingTransducer(token_counts.Vocabulary(PATH))
+    library, rng = Tokenizer.from_file(PATH), random.Random(10)
+    for _ in range(3):
+        piece = "".join(rng.choices("etaoinshrdlu", k=3000))
+        assert transducer.count(piece.encode()) == len(library.encode(piece, add_special_tokens=False).ids)
+        assert len(transducer.moves) <= 50 and len(transducer.states) <= 52
+
+
 def test_hilbert_keys_visit_neighbours():
     for bits, dimensions in ((3, 3), (2, 4), (4, 2)):
         cells = np.array(list(itertools.product(range(1 << bits), repeat=dimensions)))
