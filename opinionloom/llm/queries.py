@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_formatting, decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, repeated_spans, token_counts, toxicity
+from . import chat_formatting, decontamination, fill_middle, language_id, near_dedup, packing, quality_classifier, quality_rules, repeated_spans, token_counts, toxicity
 from .common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +196,30 @@ SELECT conv_id, len(l)::BIGINT AS n_turns, n_copies, array_to_string(l, '') AS t
 @query(_CHATS)
 def op2_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_formatting.format_chats(table(spark, sf_dir, "conversations"))
+
+
+_MIDDLES = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (
+    SELECT doc_id, t, n, ('0x' || h[1:8])::UBIGINT::BIGINT % (n + 1) AS c1, ('0x' || h[9:16])::UBIGINT::BIGINT % (n + 1) AS c2,
+           ('0x' || h[17:24])::UBIGINT::BIGINT % 100 AS h3, ('0x' || h[25:32])::UBIGINT::BIGINT % 100 AS h4 FROM t
+),
+f AS (
+    SELECT doc_id, t, n, least(c1, c2) AS a, greatest(c1, c2) AS b,
+           CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM u
+),
+o AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM o
+"""
+
+
+@query(_MIDDLES)
+def op13_rank_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256")
+    again = F.sha2(fill_middle.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest, again)
