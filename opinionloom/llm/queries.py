@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_formatting, decontamination, fill_middle, language_id, near_dedup, packing, quality_classifier, quality_rules, repeated_spans, token_counts, toxicity
+from . import chat_formatting, decontamination, fill_middle, language_id, near_dedup, packing, quality_classifier, quality_rules, repeated_spans, spelling_variants, token_counts, toxicity
 from .common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,3 +223,42 @@ def op13_rank_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256")
     again = F.sha2(fill_middle.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256")
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest, again)
+
+
+_VARIANTS = """
+WITH RECURSIVE tab AS (
+    SELECT list(c ORDER BY i) AS tab FROM (
+        SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) t(i))
+),
+runs AS (
+    SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+    FROM documents
+),
+each AS (SELECT doc, run, count(*) AS n, hex(encode(doc || ':' || run)) AS x FROM runs WHERE length(run) >= 7 GROUP BY doc, run),
+summed AS (
+    SELECT run, n, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(x) // 2 + 1), lambda k: ('0x' || x[2*k-1:2*k])::BIGINT)),
+        lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS h
+    FROM each, tab
+),
+said AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM summed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM said WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+shorter AS (SELECT DISTINCT a.word AS long, a.n AS long_n, b.word AS short, b.n AS short_n FROM less a JOIN words b ON a.s = b.word),
+near AS (
+    SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.i = b.i AND a.s = b.s AND a.word <> b.word
+    UNION ALL SELECT long, short, short_n FROM shorter UNION ALL SELECT short, long, long_n FROM shorter
+),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS top, arg_min(near, (-near_n, encode(near))) AS near FROM near GROUP BY word),
+rated AS (
+    SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * n THEN near END AS form, CASE WHEN top >= 10 * n THEN top END AS form_n
+    FROM words LEFT JOIN best USING (word)
+),
+steps(word, here, k) AS (SELECT word, word, 0 FROM rated UNION ALL SELECT s.word, r.form, k + 1 FROM steps s JOIN rated r ON r.word = s.here WHERE r.form IS NOT NULL),
+ends AS (SELECT word, arg_max(here, k) AS root FROM steps GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM rated JOIN ends USING (word)
+"""
+
+
+@query(_VARIANTS)
+def op11_variable_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
