@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_formatting, decontamination, fill_middle, language_id, near_dedup, packing, quality_classifier, quality_rules, repeated_spans, spelling_variants, token_counts, toxicity
+from . import chat_formatting, class_lm, decontamination, fill_middle, language_id, near_dedup, packing, quality_classifier, quality_rules, repeated_spans, spelling_variants, token_counts, toxicity
 from .common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -262,3 +262,9 @@ SELECT word, form, root, n, n_near, form_n FROM rated JOIN ends USING (word)
 @query(_VARIANTS)
 def op11_variable_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = class_lm.score_texts(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", (~F.col("taught")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
