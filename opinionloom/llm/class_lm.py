@@ -30,7 +30,7 @@ ROUNDS = 12
 ADDED = 0.1
 #: Distinct keys a task holds before it passes their counts on.
 HELD = 1_000_000
-#: Class 0: words that training texts do not have, and, while seeds are exchanged, all words but the seeds. Class 1: the end.
+#: Class 0: words that training texts do not have; while seeds are exchanged, all words but the seeds. Class 1: the end.
 UNKNOWN, END = 0, 1
 #: The end of a text as a word; no other word has this hash but by a collision.
 END_HASH = np.int64(-0x5EED5EED5EED5EED)
@@ -160,16 +160,20 @@ def _before(values: np.ndarray, begins: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
-def _seed_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of pairs of seeds: SEEDS stands for the end, SEEDS + 1 for all other words."""
-    held = Counter()
-    for batch in _slices(batches, 0):
-        ids, begins = _numbers(batch.column(0))
-        seeds = np.where((ids >= 0) & (ids < SEEDS), ids, SEEDS + 1).astype(np.int64)
-        seeds[begins[1:] - 1] = SEEDS
-        if held.add(_before(seeds, begins, SEEDS) * (SEEDS + 2) + seeds):
-            yield _counted(*held.drain())
-    yield _counted(*held.drain())
+def _seed_bigrams(size: int):
+    """Counts of pairs of seeds: `size` stands for the end, `size` + 1 for all other words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Counter()
+        for batch in _slices(batches, 0):
+            ids, begins = _numbers(batch.column(0))
+            seeds = np.where((ids >= 0) & (ids < size), ids, size + 1).astype(np.int64)
+            seeds[begins[1:] - 1] = size
+            if held.add(_before(seeds, begins, size) * (size + 2) + seeds):
+                yield _counted(*held.drain())
+        yield _counted(*held.drain())
+
+    return count
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -246,7 +250,7 @@ def _chunk_contexts(chunk: list[pa.RecordBatch], seeds: np.ndarray, known: np.nd
     for batch in chunk:
         ids, begins = _numbers(batch.column(0))
         others = batch.column(1).flatten().to_numpy()
-        own = seeds[np.where((ids >= 0) & (ids < SEEDS), ids, SEEDS + 1)]
+        own = seeds[np.where((ids >= 0) & (ids < len(seeds) - 2), ids, len(seeds) - 1)]
         own[begins[1:] - 1] = END
         word = known[ids] if len(known) else np.zeros(len(ids), np.int64)
         word[ids < 0] = others
@@ -369,30 +373,26 @@ def transitions(pairs: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(mixed, 1e-300))
 
 
-def word_classes(lines: DataFrame, known: np.ndarray, classes: int = CLASSES) -> DataFrame:
+def word_classes(lines: DataFrame, known: np.ndarray, classes: int = CLASSES, seeds: int = SEEDS) -> DataFrame:
     """word, class of every word of the training lines (ids, others) but the end; known: hashes of the numbered words."""
-    spark = lines.sparkSession
-    found = lines.select("ids").mapInArrow(_seed_bigrams, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    pairs = np.zeros((SEEDS + 2) ** 2)  # as many rows as that at most
+    spark, size = lines.sparkSession, min(seeds, len(known))
+    found = lines.select("ids").mapInArrow(_seed_bigrams(size), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    pairs = np.zeros((size + 2) ** 2)  # as many rows as that at most
     pairs[found.column("word").to_numpy()] = found.column("n").to_numpy()
-    pairs = pairs.reshape(SEEDS + 2, SEEDS + 2)
-    used = min(SEEDS, len(known))
-    kept = np.concatenate([np.arange(used), [SEEDS, SEEDS + 1]])
-    seeds = np.full(SEEDS + 2, UNKNOWN, np.uint8)
-    seeds[kept] = exchange(pairs[np.ix_(kept, kept)], classes)
-    one = np.eye(classes)[seeds]
-    contexts = lines.mapInArrow(_contexts(spark.sparkContext.broadcast((seeds, known)), classes), "word long, cell int, n long")
-    placing = _placing(one.T @ pairs @ one)
-    placed = contexts.repartition("word").sortWithinPartitions("word").mapInArrow(placing, "word long, class short")
-    return placed.unionByName(spark.createDataFrame([(int(w), int(c)) for w, c in zip(known[:used], seeds)], "word long, class short"))
-
-
-def score_texts(docs: DataFrame, taught: Column | None = None, classes: int = CLASSES) -> DataFrame:
+    pairs = pairs.reshape(size + 2, size + 2)
+    own = exchange(pairs, classes)
+    one = np.eye(classes)[own]
+    contexts = lines.mapInArrow(_contexts(spark.sparkContext.broadcast((own.astype(np.uint8), known)), classes), "word long, cell int, n long")
+    placed = contexts.repartition("word").sortWithinPartitions("word").mapInArrow(_placing(one.T @ pairs @ one), "word long, class short")
+    return placed.unionByName(spark.createDataFrame([(int(w), int(c)) for w, c in zip(known[:size], own)], "word long, class short"))
+
+
+def score_texts(docs: DataFrame, taught: Column | None = None, classes: int = CLASSES, seeds: int = SEEDS, room: int = KNOWN) -> DataFrame:
     """doc_id, taught, n_tokens, n_known, train_tokens, base_score, score for every row of `docs` (doc_id, text).
 
     taught: condition on doc_id of the rows that are learned from; by default remainders of 10 other than 0. Rows where
     it is null, as for a null doc_id, are not learned from. A null or empty text is its end alone. score is the log10
-    of the text's probability, its end included. Without training texts every word is unknown and all probabilities
+    of the text's probability, its end included. room: words that are broadcast; which ones are, changes no score. Without training texts every word is unknown and all probabilities
     are 1. Rows that share a doc_id, and repeated rows, count each by itself. Texts of any length are whole, extra
     columns are ignored.
     """
@@ -407,15 +407,15 @@ def score_texts(docs: DataFrame, taught: Column | None = None, classes: int = CL
     is_end = F.col("word") == F.lit(int(END_HASH))
     size = vocabulary.agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.sum(F.when(is_end, F.col("n"))).alias("ends")).first()
     train, ends = int(size.n or 0), int(size.ends or 0)
-    known, counts = frequent(vocabulary.where(~is_end), KNOWN)
+    known, counts = frequent(vocabulary.where(~is_end), room)
     order = np.argsort(known)
     numbering = _numbering(spark.sparkContext.broadcast((known[order], order.astype(np.int32))))
     numbered = texts.mapInArrow(numbering, f"{keep}, ids binary, others array<long>")
     lines = stored(numbered.withColumn("row", F.monotonically_increasing_id()), "lines")
-    listed = stored(word_classes(lines.where("taught").select("ids", "others"), known, classes).join(vocabulary, "word"), "classes")
+    listed = stored(word_classes(lines.where("taught").select("ids", "others"), known, classes, seeds).join(vocabulary, "word"), "classes")
 
     kinds, inside = np.zeros(classes), np.zeros(classes)
-    kinds[[UNKNOWN, END]], inside[END] = 1, ends
+    kinds[UNKNOWN], kinds[END], inside[END] = 1, ends > 0, ends
     for r in listed.groupBy("class").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect():  # one row a class
         kinds[r["class"]], inside[r["class"]] = r.kinds, r.n
     own = np.full(len(known) + 1, UNKNOWN, np.uint8)  # the last is for -1
