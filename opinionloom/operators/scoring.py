@@ -122,11 +122,11 @@ def normalize_labels(best: DataFrame, label_map: DataFrame) -> DataFrame:
 def best_units(normalized: DataFrame) -> DataFrame:
     """One row per review and model: of several units the one with the largest score, the lowest unit_id on a tie.
 
-    Rows of one unit with one score go by their other columns."""
+    A missing score counts as 0 and stands behind a real one. Rows of one unit with one score go by their other columns."""
     if "unit_id" not in normalized.columns:
         return normalized
     rest = [c for c in normalized.columns if c not in ("review_id", "model")]
-    order = F.struct(F.coalesce("score", F.lit(0.0)), -F.coalesce("unit_id", F.lit(0)), *rest)
+    order = F.struct(F.coalesce("score", F.lit(0.0)), -F.coalesce("unit_id", F.lit(0)), F.col("score").isNotNull(), *rest)
     return normalized.groupBy("review_id", "model").agg(F.max_by(F.struct(*rest), order).alias("_best")).select("review_id", "model", "_best.*")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import resources, schemas
 from ..functions import labels, text
+from ..functions.chosen import chosen_ids
 from ..operators import aspects as absa
 from ..operators import emotion, fusion, lexicon, sarcasm, scoring
 from ..resources import Lexicon
@@ -32,6 +33,14 @@ class Scores:
     emotions: DataFrame | None = None
     sarcasm: DataFrame | None = None
 
+    def cut_to(self, reviews: DataFrame) -> Scores:
+        """The scores of these reviews alone: what a delta or a micro-batch needs of tables that hold all reviews."""
+        tables = [(f.name, getattr(self, f.name)) for f in fields(self)]
+        if all(t is None for _, t in tables):
+            return self
+        ids = chosen_ids(reviews)
+        return Scores(**{name: None if t is None else ids.rows_of(t) for name, t in tables})
+
 
 @dataclass
 class Settings:

@@ -46,13 +46,17 @@ def run_batch(
 ) -> Analysis:
     """Analyse the selected reviews and write everything that was asked for.
 
-    scores may be tables, or a function that scores the selected reviews. Signals and
+    scores may be tables, which are cut to the selected reviews unless all are, or a function that scores the selected reviews. Signals and
     details feed several outputs; they are kept on the executors for the run and released at
     its end, so what is returned is computed again if it is used. The results are written last: a run that breaks off is repeated under the same
     number, and its feedback lines and report replace the ones it left.
     """
     chosen = select_reviews(reviews, store, mode, limit)
-    analysis = analyze_reviews(chosen, scores(chosen) if callable(scores) else scores, settings, model)
+    if callable(scores):
+        scores = scores(chosen)
+    elif scores is not None and (limit or mode != "full" and not store.is_empty()):
+        scores = scores.cut_to(chosen)
+    analysis = analyze_reviews(chosen, scores, settings, model)
     details = analysis.details.persist(StorageLevel.MEMORY_AND_DISK)
     signals = analysis.signals.persist(StorageLevel.MEMORY_AND_DISK)
     try:

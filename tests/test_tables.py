@@ -211,6 +211,7 @@ def test_feedback_stream(spark, folder):
 
 
 def test_batch_runs_pick_up_what_is_new(spark, reviews, folder, tmp_path):
+    kept = set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
     store = tables.ResultStore(spark, folder("store"))
     scores = analyze.Scores(aspects=spark.createDataFrame(
         [(0, "food", 0, "LABEL_2", 0.9), (3, "wine", 0, "LABEL_0", 0.6)], "review_id long, aspect string, pos int, label string, score double"))
@@ -220,7 +221,7 @@ def test_batch_runs_pick_up_what_is_new(spark, reviews, folder, tmp_path):
     assert rows(store.aspects(), "review_id", "category_id", "aspect_confidence") == [(0, 4, 0.9)]
     log = read_feedback_log(spark, folder("log"))
     assert log.count() == 3 and log.where("signals.absa_output.aspect_details LIKE '%food%'").count() >= 1
-    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty() and (tmp_path / "report/summary/_SUCCESS").exists()
+    assert set(spark.sparkContext._jsc.getPersistentRDDs().keySet()) == kept and (tmp_path / "report/summary/_SUCCESS").exists()
     more = reviews("Good food", "Bad", None, "Lovely wine")
     assert rows(run_batch(more, store, scores).signals, "review_id") == [(3,)]
     assert run_batch(more, store, scores, mode="missing").signals.count() == 0

@@ -123,12 +123,11 @@ def _clause_scores(clauses):
 MENTIONS = f"""{I.OPINION_ASPECTS},
 pairs AS (SELECT review_id, text, aspect FROM listed JOIN worded USING (review_id)), {CLAUSES_OF_ASPECT},
 clause_scores AS (
-  SELECT review_id, aspect, clause_idx, pos, CASE WHEN clause IS NOT NULL THEN 'LABEL_' || pos END AS label,
+  SELECT review_id, aspect, clause_idx, clause, pos, CASE WHEN clause IS NOT NULL THEN 'LABEL_' || pos END AS label,
          CASE WHEN clause IS NOT NULL AND (review_id + clause_idx) % 19 <> 0
               THEN {I.level_sql('review_id * 31 + pos * 17 + clause_idx * 41')} END AS score
   FROM aspect_clauses, (VALUES (0), (1), (2)) p(pos)),
-{I.aspect_sentiment_sql('clause_scores', 'review_id, aspect, clause_idx', 'clause_rated')},
-mentions AS (SELECT r.*, clause FROM clause_rated r JOIN aspect_clauses USING (review_id, aspect, clause_idx))"""
+{I.aspect_sentiment_sql('clause_scores', 'review_id, aspect, clause_idx, clause', 'mentions')}"""
 
 
 @I.stored

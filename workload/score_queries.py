@@ -130,7 +130,7 @@ def score_units_batches(spark, sf_dir):
 
 
 _UNITS = """units AS (SELECT l_orderkey AS review_id, l_linenumber::INT AS unit_id, l_returnflag, CASE WHEN l_quantity % 7 <> 0 THEN (l_quantity % 5)::DOUBLE / 10 END AS score FROM lineitem),
-top AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY coalesce(score, 0) DESC, unit_id,
+top AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY coalesce(score, 0) DESC, unit_id, score IS NULL,
   CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN 2 ELSE 1 END) AS rn FROM units)"""
 
 

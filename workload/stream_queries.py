@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from opinionloom.operators import feedback
 from opinionloom.plans import analyze
 from opinionloom.session import scratch
+from opinionloom.plans.batch import run_batch
+from opinionloom.sinks.score_tables import KINDS, ScoreTables
 from opinionloom.sinks.tables import ResultStore
 from opinionloom.sources.feedback import read_feedback_log
 from opinionloom.streaming import reviews as streams
@@ -45,7 +47,7 @@ def stream_reviews(spark, sf_dir):
             part.coalesce(1).write.mode("append").parquet(folder)
         stream = spark.readStream.schema(reviews.schema).option("maxFilesPerTrigger", 1).parquet(folder)
         run = streams.stream_reviews(
-            stream, store, lambda batch: analyze.analyze_reviews(batch, scores(spark, sf_dir), settings), checkpoint,
+            stream, store, lambda batch: analyze.analyze_reviews(batch, scores(spark, sf_dir).cut_to(batch), settings), checkpoint,
             categories(spark, sf_dir),
         )
         run.awaitTermination()
@@ -70,3 +72,29 @@ def stream_feedback(spark, sf_dir):
     streams.stream_feedback(results, path, scratch(spark, "stream-feedback-checkpoint")).awaitTermination()
     export = feedback.feedback_to_training(read_feedback_log(spark, path))
     return export.select("review_id", "text", "fused_label", "fused_confidence", "rule_polarity")
+
+
+def _score_tables(spark, sf_dir):
+    """The score tables of the session in buckets; written on first use."""
+    path = I.session_folder(spark, sf_dir, "score-tables")
+    tables = ScoreTables(spark, path, "scores_" + path.rpartition("-")[2], 8)
+    if tables.scores().sentiment is None:
+        made = scores(spark, sf_dir)
+        for kind in KINDS:
+            tables.write(kind, getattr(made, kind))
+    return tables.scores()
+
+
+@query(f"""WITH {FEATURE_TABLES}, {FEATURES_SQL}, {TOP_EMOTION}
+SELECT f.review_id, CASE s.sentiment WHEN 1 THEN 'positive' WHEN -1 THEN 'negative' ELSE 'neutral' END AS overall_sentiment,
+       s.sentiment AS overall_score, emotion_label, top_emotion_score AS emotion_score, sarcasm_label,
+       c.sarcasm_score AS sarcasm_score, 'neutral' AS fusion_label, 0.0::DOUBLE AS fusion_confidence
+FROM {ANALYSIS_JOINS}""")
+def delta_batch(spark, sf_dir):
+    """All reviews by two batch runs on bucketed score tables: most of them first, then the last hundredth as a delta."""
+    reviews, store = I.opinions(spark, sf_dir), ResultStore(spark, scratch(spark, "delta-results"))
+    found, settings = _score_tables(spark, sf_dir), analyze.Settings(sentiment_model=I.TWO_WAY)
+    mark = reviews.agg(F.percentile_approx("review_id", 0.99, 1000)).first()[0]
+    for part in (reviews.where(F.col("review_id") <= mark), reviews):
+        run_batch(part, store, found, settings)
+    return store.results().drop("created_at", "updated_at")
