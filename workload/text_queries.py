@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opinionloom import resources
-from opinionloom.operators import lexicon, shaping
+from opinionloom.operators import lexicon, phrases, shaping
 
 from . import inputs as I
 from .registry import query, rounded
@@ -172,3 +172,57 @@ def rule_sentiment(spark, sf_dir):
 @query(f"WITH {_PROSE_UNITS}, {I.RULE_SQL} SELECT review_id, {_ROUNDED_RULE}, {_LABELS.replace('rule_polarity', 'rule.rule_polarity')} FROM rule")
 def prose_rule_sentiment(spark, sf_dir):
     return rounded(lexicon.rule_sentiment(I.prose(spark, sf_dir), I.PROSE_LEXICON))
+
+
+_CUE_KINDS = """cues AS (
+  SELECT DISTINCT kind, phrase FROM (
+    SELECT 'piece' AS kind, lower(substr(text, 11, 9)) AS phrase FROM documents WHERE length(text) >= 20
+    UNION ALL SELECT 'short piece', lower(substr(text, 13, 5)) FROM documents WHERE length(text) >= 20
+    UNION ALL SELECT 'item', lower(substr(text, 1, 24)) FROM benchmark UNION ALL SELECT 'part', lower(p_name) FROM part UNION ALL SELECT 'empty', ''))"""
+
+
+def _cue_table(spark, sf_dir):
+    """Phrases of the given tables: pieces of documents, some inside others, beginnings of items, part names, the empty one."""
+    long_enough = I.load(spark, sf_dir, "documents").where(F.length("text") >= 20)
+    parts = [
+        long_enough.select(F.lit("piece").alias("kind"), F.lower(F.substring("text", 11, 9)).alias("phrase")),
+        long_enough.select(F.lit("short piece"), F.lower(F.substring("text", 13, 5))),
+        I.load(spark, sf_dir, "benchmark").select(F.lit("item"), F.lower(F.substring("text", 1, 24))),
+        I.load(spark, sf_dir, "part").select(F.lit("part"), F.lower("p_name")),
+        spark.range(1).select(F.lit("empty"), F.lit("")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+@query(f"""WITH {_CUE_KINDS}, each AS (SELECT phrase, list(kind ORDER BY kind) AS kinds FROM cues GROUP BY phrase),
+hits AS (SELECT doc_id AS review_id, phrase, unnest(kinds) AS kind FROM documents JOIN each ON contains(lower(text), phrase))
+SELECT review_id, kind, count(*) AS n, min(phrase) AS first_phrase, max(phrase) AS last_phrase, sum(length(phrase))::BIGINT AS chars
+FROM hits GROUP BY review_id, kind""")
+def phrase_hits(spark, sf_dir):
+    """Every phrase of a table that each document holds, summed up by kind."""
+    hits = phrases.phrase_hits(I.prose(spark, sf_dir), _cue_table(spark, sf_dir))
+    first, last = F.min("phrase").alias("first_phrase"), F.max("phrase").alias("last_phrase")
+    return hits.groupBy("review_id", "kind").agg(F.count("*").alias("n"), first, last, F.sum(F.length("phrase")).alias("chars"))
+
+
+_CUE_ROWS = [(kind, p) for kind, ps in (("hidden_negative", resources.HIDDEN_NEGATIVE), ("sarcasm", resources.SARCASM_CUES), ("questioned", resources.QUESTIONED_POSITIVES),
+                                        ("positive", resources.CONTRADICTION_POSITIVES), ("contrast", resources.CONTRADICTION_CONTRASTS)) for p in ps]
+
+
+def _any_cue(kind: str, end: str = "") -> str:
+    tests = " OR ".join(f"contains(lower(text), {I.quoted(p + end)})" for k, p in _CUE_ROWS if k == kind)
+    return f"coalesce({tests}, false)"
+
+
+@query(f"""WITH {I.OPINIONS}
+SELECT review_id, CASE WHEN {_any_cue('hidden_negative')} THEN -0.6 ELSE 0.0 END::DOUBLE AS hidden_sentiment,
+       least(1.0, CASE WHEN {_any_cue('sarcasm')} THEN 0.6 ELSE 0.0 END + CASE WHEN length(text) - length(replace(text, '!', '')) > 2 THEN 0.3 ELSE 0.0 END
+             + CASE WHEN {_any_cue('questioned', '?')} THEN 0.4 ELSE 0.0 END)::DOUBLE AS sarcasm_context_score,
+       ({_any_cue('positive')} AND {_any_cue('contrast')})::INT::DOUBLE AS contradiction_score FROM opinions""")
+def contextual_features_table(spark, sf_dir):
+    """The contextual features of every review from a table of cue phrases."""
+    cues = spark.createDataFrame(_CUE_ROWS, "kind string, phrase string")
+    return phrases.contextual_features(I.opinions(spark, sf_dir), cues)
