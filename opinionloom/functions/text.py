@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lookup import is_listed
+
 # Every character that counts as white space, listed because trim() alone
 # only removes the plain blank.
 SPACES = (
@@ -55,10 +58,61 @@ def _or_no_strings(c: Column) -> Column:
     return F.coalesce(c, F.array().cast("array<string>"))
 
 
-def sentences(text: Column | str) -> Column:
-    """Split after . ! or ? followed by white space; NULL or blank text has none."""
-    parts = F.split(strip(text), rf"(?<=[.!?]){_WS}+")
-    return _or_no_strings(F.filter(parts, _not_empty))
+@dataclass(frozen=True)
+class SentenceModel:
+    """Lower-case words without their dot: abbreviations, and words that begin sentences."""
+
+    abbreviations: Sequence[str] = ()
+    starters: Sequence[str] = ()
+
+
+def word_core(token: Column) -> Column:
+    """Lower-cased token from its first letter or digit to its last one or a dot."""
+    return F.regexp_replace(F.regexp_replace(F.lower(token), r"^[^\p{L}\p{N}]+", ""), r"[^\p{L}\p{N}.]+$", "")
+
+
+def is_capital(token: Column) -> Column:
+    return token.rlike(r"^[^\p{L}\p{N}]*\p{Lu}")
+
+
+# Stands between sentences while they are split: a code point that no text holds by the Unicode standard.
+_CUT = "\uffff"
+
+
+def _ends(piece: Column, after: Column, model: SentenceModel) -> Column:
+    """Whether a sentence ends between two pieces that . ! or ? and white space part."""
+    core = word_core(F.regexp_extract(strip(piece), rf"[^{SPACES}]+$", 0))
+    word = F.regexp_replace(core, r"\.$", "")
+    follower = F.regexp_extract(after, rf"^[^{SPACES}]+", 0)
+    begins = F.regexp_replace(word_core(follower), r"\.+$", "")
+    new = is_capital(follower) & is_listed(begins, model.starters)
+    short = is_listed(word, model.abbreviations) & ~new
+    initial = word.rlike(r"^\p{L}$") & is_capital(follower) & ~new
+    ordinal = word.rlike(r"^\p{N}+$") & follower.rlike(r"^\p{Ll}")
+    return ~(core.rlike(r"[^.]\.$") & (short | initial | ordinal))
+
+
+def sentences(text: Column | str, model: SentenceModel | None = None) -> Column:
+    """Split after . ! or ? followed by white space; NULL or blank text has none.
+
+    With a model, a dot ends no sentence after an abbreviation (unless a word that begins sentences follows with a
+    capital), between an initial and a capital, or between a number and a lower-case word. Dots inside words and
+    numbers never do. White space inside a sentence stays as it is.
+    """
+    if model is None:
+        parts = F.split(strip(text), rf"(?<=[.!?]){_WS}+")
+        return _or_no_strings(F.filter(parts, _not_empty))
+    pieces = F.regexp_extract_all(strip(text), F.lit(rf"(?s).*?[.!?]{_WS}+|.+$"), F.lit(0))
+
+    def marked(ps: Column) -> Column:
+        def piece(p: Column, i: Column) -> Column:
+            after = F.get(ps, i + 1)
+            return F.when(after.isNotNull() & _ends(p, after, model), F.concat(p, F.lit(_CUT))).otherwise(p)
+
+        return F.transform(ps, piece)
+
+    whole = F.array_join(bind(pieces, marked), "")
+    return _or_no_strings(F.filter(F.transform(F.split(whole, _CUT), strip), _not_empty))
 
 
 def words(c: Column | str) -> Column:
@@ -79,9 +133,9 @@ def is_punct(token: Column) -> Column:
     return token.rlike(r"^\p{P}+$")
 
 
-def scoring_units(text: Column | str) -> Column:
+def scoring_units(text: Column | str, model: SentenceModel | None = None) -> Column:
     """Sentences of two words or more; the whole text when there is none."""
-    kept = F.filter(sentences(text), has_two_words)
+    kept = F.filter(sentences(text, model), has_two_words)
     whole = F.array(F.coalesce(_col(text), F.lit("")))
     return bind(kept, lambda u: F.when(F.size(u) > 0, u).otherwise(whole))
 
@@ -91,9 +145,9 @@ def joined(toks: Column, start: Column, n: Column) -> Column:
     return F.array_join(F.transform(F.sequence(start, start + n - 1), lambda j: F.get(toks, j)), " ")
 
 
-def normalized(text: Column | str) -> Column:
+def normalized(text: Column | str, model: SentenceModel | None = None) -> Column:
     """Sentences joined again by one blank."""
-    return F.array_join(sentences(text), " ")
+    return F.array_join(sentences(text, model), " ")
 
 
 def _split_on_but(part: Column) -> Column:

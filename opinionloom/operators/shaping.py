@@ -11,14 +11,16 @@ from .. import resources
 from ..functions import text
 from ..functions.joins import lookup_join
 from ..functions.lookup import is_listed, word_value
+from ..functions.text import SentenceModel
 
 
-def split_sentences(reviews: DataFrame) -> DataFrame:
-    return reviews.select("review_id", F.posexplode(text.sentences("text")).alias("sent_idx", "sentence"))
+def split_sentences(reviews: DataFrame, model: SentenceModel | None = None) -> DataFrame:
+    """(review_id, sent_idx, sentence); a model (see operators.boundaries) knows abbreviations, initials and numbers."""
+    return reviews.select("review_id", F.posexplode(text.sentences("text", model)).alias("sent_idx", "sentence"))
 
 
-def tokenize(reviews: DataFrame, stop_words: Iterable[str] = resources.STOP_WORDS) -> DataFrame:
-    found = split_sentences(reviews).select(
+def tokenize(reviews: DataFrame, stop_words: Iterable[str] = resources.STOP_WORDS, model: SentenceModel | None = None) -> DataFrame:
+    found = split_sentences(reviews, model).select(
         "review_id", "sent_idx", F.posexplode(text.tokens("sentence")).alias("tok_idx", "token")
     )
     token = F.col("token")
@@ -114,8 +116,8 @@ def noun_phrases(
     )
 
 
-def meaningful_sentences(reviews: DataFrame) -> DataFrame:
-    return reviews.select("review_id", F.posexplode(text.scoring_units("text")).alias("unit_idx", "unit"))
+def meaningful_sentences(reviews: DataFrame, model: SentenceModel | None = None) -> DataFrame:
+    return reviews.select("review_id", F.posexplode(text.scoring_units("text", model)).alias("unit_idx", "unit"))
 
 
 def emotion_clauses(reviews: DataFrame) -> DataFrame:
@@ -138,8 +140,8 @@ def contrast_clauses(review_aspects: DataFrame) -> DataFrame:
     )
 
 
-def normalize_text(reviews: DataFrame) -> DataFrame:
-    return reviews.select("review_id", text.normalized("text").alias("text"))
+def normalize_text(reviews: DataFrame, model: SentenceModel | None = None) -> DataFrame:
+    return reviews.select("review_id", text.normalized("text", model).alias("text"))
 
 
 def strip_punct(reviews: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opinionloom import resources
-from opinionloom.operators import lexicon, phrases, shaping
+from opinionloom.operators import boundaries, lexicon, phrases, shaping
 
 from . import inputs as I
 from .registry import query, rounded
@@ -226,3 +226,33 @@ def contextual_features_table(spark, sf_dir):
     """The contextual features of every review from a table of cue phrases."""
     cues = spark.createDataFrame(_CUE_ROWS, "kind string, phrase string")
     return phrases.contextual_features(I.opinions(spark, sf_dir), cues)
+
+
+_BOUNDARY_COUNTS = f"""{I.PROSE}, raw AS (SELECT regexp_extract_all(text, {I.quoted('[^' + I.text_functions.SPACES + ']+')}) AS l FROM prose),
+each AS (SELECT l[i] AS t, i > 1 AND regexp_matches(l[i - 1], '[.!?]$') AS after_end FROM (SELECT l, unnest(range(1, len(l) + 1)) AS i FROM raw)),
+cores AS (SELECT t, after_end, regexp_replace(regexp_replace(lower(t), '^[^\\p{{L}}\\p{{N}}]+', ''), '[^\\p{{L}}\\p{{N}}.]+$', '') AS core FROM each),
+facts AS (
+  SELECT regexp_replace(core, '\\.+$', '') AS word, regexp_matches(core, '[^.]\\.$') AS dotted,
+         after_end AND regexp_matches(t, '^[^\\p{{L}}\\p{{N}}]*\\p{{Lu}}') AS starts FROM cores),
+counts AS (
+  SELECT word, count(*) FILTER (dotted) AS d, count(*) FILTER (NOT dotted) AS p, count(*) FILTER (starts) AS s, count(*) AS n
+  FROM facts WHERE regexp_matches(word, '\\p{{L}}') GROUP BY word),
+totals AS (SELECT sum(n)::DOUBLE AS big, sum(d)::DOUBLE AS dots, sum(s)::DOUBLE AS sts FROM counts)"""
+
+
+def _bin(k: str, n: str, p: str) -> str:
+    return f"({k} * ln(greatest({p}, 1e-12)) + ({n} - {k}) * ln(greatest(1 - {p}, 1e-12)))"
+
+
+@query(f"""WITH {_BOUNDARY_COUNTS}, scored AS (
+  SELECT word, d, p, s, -2 * ({_bin('d', 'n', '(dots / big)')} - {_bin('d', 'n', '0.99')}) * exp(-length(replace(word, '.', '')))
+         * (length(word) - length(replace(word, '.', '')) + 1) * pow(length(replace(word, '.', '')), -p) AS abbreviation,
+         CASE WHEN s / sts > n / big THEN -2 * ({_bin('s', 'sts', '(n / big)')} + {_bin('(n - s)', '(big - sts)', '(n / big)')}
+              - {_bin('s', 'sts', '(s / sts)')} - {_bin('(n - s)', '(big - sts)', '((n - s) / (big - sts))')}) ELSE 0 END AS starter
+  FROM counts, totals)
+SELECT word, d AS n_dotted, p AS n_plain, s AS n_start, round(abbreviation, 6) + 0.0 AS abbreviation, round(starter, 6) + 0.0 AS starter,
+       (abbreviation >= 0.3)::INT AS is_abbreviation, (starter >= 30 AND abbreviation < 0.3)::INT AS is_starter FROM scored""")
+def learned_boundaries(spark, sf_dir):
+    """Counts and scores of every word of the documents as an abbreviation and as the beginning of a sentence."""
+    learned = boundaries.learn_boundaries(I.prose(spark, sf_dir))
+    return rounded(learned.withColumns({c: F.col(c).cast("int") for c in ("is_abbreviation", "is_starter")}), 6)
