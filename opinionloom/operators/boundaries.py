@@ -1,16 +1,18 @@
 """Sentence boundaries learned from the texts: abbreviations, and words that begin sentences.
 
-Counts are one grouped aggregate over all words; the scores are those of Kiss and Strunk (Unsupervised Multilingual
+Counts are grouped aggregates over all words; the scores are those of Kiss and Strunk (Unsupervised Multilingual
 Sentence Boundary Detection, 2006). What is learned is a table; the splitting itself works inside the row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.lookup import MAX_INLINE
+from ..functions.lookup import MAX_INLINE, is_listed
 from ..functions.text import SentenceModel
 
 # Published thresholds of the two scores.
@@ -18,24 +20,29 @@ ABBREVIATION, STARTER = 0.3, 30.0
 _LEAST = 1e-12
 
 
-def _words_of(body: Column) -> Column:
-    """Of each word of a text: word (lower case, without its dot), dotted, starts (capital after . ! or ?)."""
+def _words_of(body: Column, abbreviations: Sequence[str]) -> Column:
+    """Of each word of a text: word (lower case, without its dot), dotted, starts (capital after the end of a sentence)."""
     raw = F.regexp_extract_all(body, F.lit(f"[^{text.SPACES}]+"), F.lit(0))
 
-    def facts(token: Column, i: Column, toks: Column) -> Column:
-        core = text.word_core(token)
-        after_end = F.coalesce(F.get(toks, i - 1).rlike(r"[.!?]$"), F.lit(False))
+    def facts(token: Column, before: Column) -> Column:
+        core, last = text.word_core(token), text.word_core(before)
+        name = F.regexp_replace(last, r"\.$", "")
+        goes_on = last.rlike(r"[^.]\.$") & (is_listed(name, abbreviations) | name.rlike(r"^(\p{L}|\p{N}+)$"))
+        after_end = before.rlike(r"[.!?]$") & ~goes_on
         return F.struct(
             F.regexp_replace(core, r"\.+$", "").alias("word"), core.rlike(r"[^.]\.$").alias("dotted"),
-            (after_end & text.is_capital(token)).alias("starts"),
+            F.coalesce(after_end & text.is_capital(token), F.lit(False)).alias("starts"),
         )
 
-    return text.bind(raw, lambda toks: F.transform(toks, lambda t, i: facts(t, i, toks)))
+    return text.bind(raw, lambda toks: F.transform(toks, lambda t, i: facts(t, F.get(toks, i - 1))))
+
 
+def boundary_counts(reviews: DataFrame, abbreviations: Sequence[str] = ()) -> DataFrame:
+    """word, n_dotted (with one final dot), n_plain, n_start (with a capital where a sentence has ended), of words with a letter.
 
-def boundary_counts(reviews: DataFrame) -> DataFrame:
-    """word, n_dotted (with one final dot), n_plain, n_start (with a capital after the end of a sentence), of words with a letter."""
-    found = reviews.select(F.explode(_words_of(F.col("text"))).alias("t")).select("t.*").where(F.col("word").rlike(r"\p{L}"))
+    No sentence ends after the dot of one of the abbreviations, of a single letter or of a number.
+    """
+    found = reviews.select(F.explode(_words_of(F.col("text"), abbreviations)).alias("t")).select("t.*").where(F.col("word").rlike(r"\p{L}"))
     return found.groupBy("word").agg(F.count_if("dotted").alias("n_dotted"), F.count_if(~F.col("dotted")).alias("n_plain"), F.count_if("starts").alias("n_start"))
 
 
@@ -43,37 +50,49 @@ def _binomial(k: Column, n: Column, p: Column) -> Column:
     return k * F.ln(F.greatest(p, F.lit(_LEAST))) + (n - k) * F.ln(F.greatest(1 - p, F.lit(_LEAST)))
 
 
+def _with_totals(counts: DataFrame) -> DataFrame:
+    totals = counts.agg(F.sum(F.col("n_dotted") + F.col("n_plain")).alias("_all"), F.sum("n_dotted").alias("_dots"), F.sum("n_start").alias("_starts"))
+    return counts.join(F.broadcast(totals))
+
+
+def _abbreviation_score() -> Column:
+    n, dotted = F.col("n_dotted") + F.col("n_plain"), F.col("n_dotted")
+    ratio = -2 * (_binomial(dotted, n, F.col("_dots") / F.col("_all")) - _binomial(dotted, n, F.lit(0.99)))
+    size = F.length(F.replace("word", F.lit("."), F.lit("")))
+    inner = F.length("word") - size
+    return ratio * F.exp(-size) * (inner + 1) * F.pow(size, -F.col("n_plain"))
+
+
+def _starter_score() -> Column:
+    n, starts = F.col("n_dotted") + F.col("n_plain"), F.col("n_start")
+    before, rest = F.col("_starts"), F.col("_all") - F.col("_starts")
+    own, chance, other = F.try_divide(starts, before), n / F.col("_all"), F.try_divide(n - starts, rest)
+    gain = -2 * (_binomial(starts, before, chance) + _binomial(n - starts, rest, chance) - _binomial(starts, before, own) - _binomial(n - starts, rest, other))
+    return F.coalesce(F.when(own > chance, gain), F.lit(0.0))
+
+
 def learn_boundaries(reviews: DataFrame) -> DataFrame:
     """boundary_counts with abbreviation and starter (scores), is_abbreviation and is_starter.
 
     A word is an abbreviation when its dot is far more usual than that of all words; long words and words that also
     occur without a dot score less, inner dots score more. A starter follows the end of a sentence far more often
-    than by chance.
+    than by chance; where sentences end is counted in a second pass that knows the abbreviations.
     """
-    counts = boundary_counts(reviews)
-    totals = counts.agg(F.sum(F.col("n_dotted") + F.col("n_plain")).alias("_all"), F.sum("n_dotted").alias("_dots"), F.sum("n_start").alias("_starts"))
-    n, dotted, starts = F.col("n_dotted") + F.col("n_plain"), F.col("n_dotted"), F.col("n_start")
-    share = F.col("_dots") / F.col("_all")
-    ratio = -2 * (_binomial(dotted, n, share) - _binomial(dotted, n, F.lit(0.99)))
-    size = F.length(F.replace("word", F.lit("."), F.lit("")))
-    inner = F.length("word") - size
-    score = ratio * F.exp(-size) * (inner + 1) * F.pow(size, -F.col("n_plain"))
-    before, rest = F.col("_starts"), F.col("_all") - F.col("_starts")
-    own, chance = F.try_divide(starts, before), n / F.col("_all")
-    other = F.try_divide(n - starts, rest)
-    gain = -2 * (_binomial(starts, before, chance) + _binomial(n - starts, rest, chance) - _binomial(starts, before, own) - _binomial(n - starts, rest, other))
-    begins = F.coalesce(F.when(own > chance, gain), F.lit(0.0))
-    scored = counts.join(F.broadcast(totals)).withColumns({"abbreviation": score, "starter": begins})
-    is_short = F.col("abbreviation") >= ABBREVIATION
-    return scored.withColumns({"is_abbreviation": is_short, "is_starter": (F.col("starter") >= STARTER) & ~is_short}).drop("_all", "_dots", "_starts")
+    scored = _with_totals(boundary_counts(reviews)).withColumn("is_abbreviation", _abbreviation_score() >= ABBREVIATION)
+    counts = boundary_counts(reviews, _listed(scored, "is_abbreviation"))
+    out = _with_totals(counts).withColumns({"abbreviation": _abbreviation_score(), "starter": _starter_score()})
+    short = F.col("abbreviation") >= ABBREVIATION
+    return out.withColumns({"is_abbreviation": short, "is_starter": (F.col("starter") >= STARTER) & ~short}).drop("_all", "_dots", "_starts")
+
+
+def _listed(learned: DataFrame, flag: str) -> tuple[str, ...]:
+    """The words with a flag, a bounded list."""
+    rows = learned.where(flag).select("word").orderBy("word").limit(MAX_INLINE + 1).collect()
+    if len(rows) > MAX_INLINE:
+        raise ValueError(f"more than {MAX_INLINE} words with {flag}: raise the threshold of its score")
+    return tuple(r.word for r in rows)
 
 
 def sentence_model(learned: DataFrame) -> SentenceModel:
-    """The words that split and merge sentences, from the table that learn_boundaries gives; a bounded list of each."""
-    out = []
-    for flag in ("is_abbreviation", "is_starter"):
-        rows = learned.where(flag).select("word").orderBy("word").limit(MAX_INLINE + 1).collect()
-        if len(rows) > MAX_INLINE:
-            raise ValueError(f"more than {MAX_INLINE} words with {flag}: raise the threshold of its score")
-        out.append(tuple(r.word for r in rows))
-    return SentenceModel(*out)
+    """The words that merge and split sentences, from the table that learn_boundaries gives."""
+    return SentenceModel(_listed(learned, "is_abbreviation"), _listed(learned, "is_starter"))

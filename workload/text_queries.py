@@ -228,25 +228,31 @@ def contextual_features_table(spark, sf_dir):
     return phrases.contextual_features(I.opinions(spark, sf_dir), cues)
 
 
+def _bin(k: str, n: str, p: str) -> str:
+    return f"({k} * ln(greatest({p}, 1e-12)) + ({n} - {k}) * ln(greatest(1 - {p}, 1e-12)))"
+
+
+_SHORT = f"""(-2 * ({_bin('d', 'n', '(dots / big)')} - {_bin('d', 'n', '0.99')}) * exp(-length(replace(word, '.', '')))
+         * (length(word) - length(replace(word, '.', '')) + 1) * pow(length(replace(word, '.', '')), -p))"""
 _BOUNDARY_COUNTS = f"""{I.PROSE}, raw AS (SELECT regexp_extract_all(text, {I.quoted('[^' + I.text_functions.SPACES + ']+')}) AS l FROM prose),
-each AS (SELECT l[i] AS t, i > 1 AND regexp_matches(l[i - 1], '[.!?]$') AS after_end FROM (SELECT l, unnest(range(1, len(l) + 1)) AS i FROM raw)),
-cores AS (SELECT t, after_end, regexp_replace(regexp_replace(lower(t), '^[^\\p{{L}}\\p{{N}}]+', ''), '[^\\p{{L}}\\p{{N}}.]+$', '') AS core FROM each),
+each AS (SELECT l[i] AS t, CASE WHEN i > 1 THEN l[i - 1] END AS before FROM (SELECT l, unnest(range(1, len(l) + 1)) AS i FROM raw)),
+cores AS (SELECT t, before, regexp_replace(regexp_replace(lower(t), '^[^\\p{{L}}\\p{{N}}]+', ''), '[^\\p{{L}}\\p{{N}}.]+$', '') AS core, regexp_replace(regexp_replace(lower(before), '^[^\\p{{L}}\\p{{N}}]+', ''), '[^\\p{{L}}\\p{{N}}.]+$', '') AS last FROM each),
+words AS (
+  SELECT regexp_replace(core, '\\.+$', '') AS word, regexp_matches(core, '[^.]\\.$') AS dotted, regexp_matches(last, '[^.]\\.$') AS last_dotted,
+         regexp_replace(last, '\\.$', '') AS last_word,
+         coalesce(regexp_matches(before, '[.!?]$') AND regexp_matches(t, '^[^\\p{{L}}\\p{{N}}]*\\p{{Lu}}'), false) AS capital FROM cores),
+dots AS (SELECT word, count(*) FILTER (dotted) AS d, count(*) FILTER (NOT dotted) AS p, count(*) AS n FROM words WHERE regexp_matches(word, '\\p{{L}}') GROUP BY word),
+short AS (SELECT word FROM dots, (SELECT sum(n)::DOUBLE AS big, sum(d)::DOUBLE AS dots FROM dots) WHERE {_SHORT} >= 0.3),
 facts AS (
-  SELECT regexp_replace(core, '\\.+$', '') AS word, regexp_matches(core, '[^.]\\.$') AS dotted,
-         after_end AND regexp_matches(t, '^[^\\p{{L}}\\p{{N}}]*\\p{{Lu}}') AS starts FROM cores),
+  SELECT word, dotted, capital AND NOT (last_dotted AND (regexp_matches(last_word, '^(\\p{{L}}|\\p{{N}}+)$') OR last_word IN (SELECT word FROM short))) AS starts FROM words),
 counts AS (
   SELECT word, count(*) FILTER (dotted) AS d, count(*) FILTER (NOT dotted) AS p, count(*) FILTER (starts) AS s, count(*) AS n
   FROM facts WHERE regexp_matches(word, '\\p{{L}}') GROUP BY word),
 totals AS (SELECT sum(n)::DOUBLE AS big, sum(d)::DOUBLE AS dots, sum(s)::DOUBLE AS sts FROM counts)"""
 
 
-def _bin(k: str, n: str, p: str) -> str:
-    return f"({k} * ln(greatest({p}, 1e-12)) + ({n} - {k}) * ln(greatest(1 - {p}, 1e-12)))"
-
-
 @query(f"""WITH {_BOUNDARY_COUNTS}, scored AS (
-  SELECT word, d, p, s, -2 * ({_bin('d', 'n', '(dots / big)')} - {_bin('d', 'n', '0.99')}) * exp(-length(replace(word, '.', '')))
-         * (length(word) - length(replace(word, '.', '')) + 1) * pow(length(replace(word, '.', '')), -p) AS abbreviation,
+  SELECT word, d, p, s, {_SHORT} AS abbreviation,
          CASE WHEN s / sts > n / big THEN -2 * ({_bin('s', 'sts', '(n / big)')} + {_bin('(n - s)', '(big - sts)', '(n / big)')}
               - {_bin('s', 'sts', '(s / sts)')} - {_bin('(n - s)', '(big - sts)', '((n - s) / (big - sts))')}) ELSE 0 END AS starter
   FROM counts, totals)
