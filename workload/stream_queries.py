@@ -11,6 +11,7 @@ from opinionloom.plans.batch import run_batch
 from opinionloom.sinks.score_tables import KINDS, ScoreTables
 from opinionloom.sinks.tables import ResultStore
 from opinionloom.sources.feedback import read_feedback_log
+from opinionloom.sources.id_stream import FileTable, read_id_stream
 from opinionloom.streaming import reviews as streams
 
 from . import inputs as I
@@ -98,3 +99,19 @@ def delta_batch(spark, sf_dir):
     for part in (reviews.where(F.col("review_id") <= mark), reviews):
         run_batch(part, store, found, settings)
     return store.results().drop("created_at", "updated_at")
+
+
+@query(f"""WITH {FEATURE_TABLES}, {FEATURES_SQL}, {TOP_EMOTION}
+SELECT f.review_id, CASE s.sentiment WHEN 1 THEN 'positive' WHEN -1 THEN 'negative' ELSE 'neutral' END AS overall_sentiment,
+       s.sentiment AS overall_score, emotion_label, c.sarcasm_score AS sarcasm_score
+FROM {ANALYSIS_JOINS}""")
+def stream_from_table(spark, sf_dir):
+    """A table read as a stream by its ids, in two runs of one checkpoint: the table has grown in between."""
+    reviews, folder, store = I.opinions(spark, sf_dir), scratch(spark, "id-table"), ResultStore(spark, scratch(spark, "id-results"))
+    found, settings, checkpoint = _score_tables(spark, sf_dir), analyze.Settings(sentiment_model=I.TWO_WAY), scratch(spark, "id-checkpoint")
+    mark = reviews.agg(F.percentile_approx("review_id", 0.7, 1000)).first()[0]
+    for part in (reviews.where(F.col("review_id") <= mark), reviews.where(F.col("review_id") > mark)):
+        part.write.mode("append").parquet(folder)
+        stream = read_id_stream(spark, FileTable(folder), ids_per_task=4000)
+        streams.stream_reviews(stream, store, lambda batch: analyze.analyze_reviews(batch, found.cut_to(batch), settings), checkpoint).awaitTermination()
+    return store.results().select("review_id", "overall_sentiment", "overall_score", "emotion_label", "sarcasm_score")
