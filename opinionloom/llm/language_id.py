@@ -24,7 +24,7 @@ from . import pretokens
 from .common import remainder, stored, text_blocks
 
 ORDER = 4
-MODEL_BYTES = 256 << 20
+MODEL_BYTES = 64 << 20
 #: Distinct n-grams a task holds before it passes their counts on.
 HELD = 1_000_000
 #: Rejection: entropy above the median by SLACK times the distance from the median to the 99th percentile, and
@@ -38,15 +38,24 @@ UNKNOWN = "und"
 
 @lru_cache(maxsize=1)
 def fold_table() -> np.ndarray:
-    """Lower-cased letter of each code point, a blank for everything else, as 16 bits."""
+    """Lower-cased letter of each code point, a blank for everything else, as 16 bits.
+
+    Letters beyond 16 bits take the numbers that no other letter has, in order: each script has its own. Only the
+    rarest ideographs, which come last, share numbers with one another.
+    """
     kinds = pretokens.class_table()
     letters = np.flatnonzero((kinds >= pretokens.LETTER) & (kinds <= pretokens.E_))
+    low = letters.copy()
+    for k, c in enumerate(letters):
+        lowered = chr(c).lower()
+        if len(lowered) == 1:
+            low[k] = ord(lowered)
+    short = low < 1 << 16
+    free = np.setdiff1d(np.arange(1 << 16), np.append(low[short], 32))
+    far = np.unique(low[~short], return_inverse=True)[1]
     table = np.full(0x110000, 32, np.uint16)
-    table[letters] = letters & 0xFFFF
-    for c in letters:
-        low = chr(c).lower()
-        if len(low) == 1:
-            table[c] = ord(low) & 0xFFFF
+    table[letters[short]] = low[short]
+    table[letters[~short]] = free[far % len(free)]
     return table
 
 
@@ -110,76 +119,79 @@ def _low(gram: str, order: int) -> Column:
     return F.col(gram).bitwiseAND(F.lit((1 << 16 * order) - 1))
 
 
-def probabilities(counts: DataFrame) -> DataFrame:
-    """(lang, part, gram, value): interpolated probabilities of seen grams in parts 1 to 4, back-off weights of
-    contexts in parts 11 to 14 (of the context of order part - 11)."""
-    orders = {ORDER: counts}
-    for n in range(ORDER - 1, 0, -1):
-        orders[n] = stored(orders[n + 1].groupBy("lang", _low("gram", n).alias("gram")).agg(F.count("*").alias("n")), "grams")
-    lower, parts = None, []
-    for n in range(1, ORDER + 1):
-        table = orders[n].withColumn("context", F.shiftrightunsigned("gram", 16) if n > 1 else F.lit(0).cast("long"))
-        ones, twos = (F.sum(F.when(F.col("n") == k, 1).otherwise(0)) for k in (1, 2))
-        discounts = table.groupBy("lang").agg(F.try_divide(ones, ones + 2 * twos).alias("raw"))
-        discounts = discounts.select("lang", F.when(F.col("raw") > 0, F.least("raw", F.lit(0.9))).otherwise(0.5).alias("d"))
-        contexts = table.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        contexts = contexts.join(F.broadcast(discounts), "lang").withColumn("weight", F.col("d") * F.col("kinds") / F.col("total"))
-        joined = table.join(contexts, ["lang", "context"])
-        share = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")
-        if lower is None:
-            value = share + F.col("weight") / (F.col("kinds") + 1)
-        else:
-            joined = joined.withColumn("short", _low("gram", n - 1)).join(lower, ["lang", "short"])
-            value = share + F.col("weight") * F.col("p")
-        solved = stored(joined.select("lang", "gram", value.alias("value")), "probabilities")
-        lower = solved.select("lang", F.col("gram").alias("short"), F.col("value").alias("p"))
-        parts.append(solved.select("lang", F.lit(n).alias("part"), "gram", "value"))
-        parts.append(contexts.select("lang", F.lit(10 + n).alias("part"), F.col("context").alias("gram"), F.col("weight").alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+def _by_language(counted: DataFrame, langs: list[str]) -> DataFrame:
+    """One row per gram of counted(lang, gram, n): n in all, and c, an array of its counts by language."""
+    each = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0).cast("long")) for lang in langs]
+    return counted.groupBy("gram").agg(F.sum("n").alias("n"), F.array(*each).alias("c"))
 
 
-def _by_language(values: DataFrame, part: int, langs: list[str], name: str) -> DataFrame:
-    """One row per gram of a part: the logarithms of its values, an array by language with nulls."""
-    logs = [F.max(F.when(F.col("lang") == lang, F.log("value"))) for lang in langs]
-    return values.where(F.col("part") == part).groupBy("gram").agg(F.array(*logs).alias(name))
+def _discounts(table: DataFrame, width: int) -> list[float]:
+    """Of each language the absolute discount, from how many grams occur once and twice."""
+    counts = [F.count_if(F.col("c")[k] == times).alias(f"n{times}_{k}") for k in range(width) for times in (1, 2)]
+    r = table.agg(*counts).first()
+    raw = [r[f"n1_{k}"] / max(r[f"n1_{k}"] + 2 * r[f"n2_{k}"], 1) for k in range(width)]
+    return [min(d, 0.9) if d > 0 else 0.5 for d in raw]
 
 
-def gram_scores(needed: DataFrame, values: DataFrame, langs: list[str]) -> DataFrame:
-    """`needed` (gram, n) with scores: log probability of a 4-gram's last letter after its first three, by language.
+def _solved(counts: DataFrame, width: int) -> list[tuple[DataFrame, DataFrame]]:
+    """Of each order from 1: the grams with p and s, arrays by language, and the contexts with their back-off weights.
 
-    An unseen gram has the score of its suffix and the back-off weight of its context; an unseen letter that of
-    one in 65,536 letters.
+    counts: gram, n and c as _by_language gives them. p is the interpolated probability of a gram's last letter after
+    the others, null where a language does not have the gram; s is its logarithm, or else the score of the gram's
+    suffix and the logarithm of the back-off weight of its context. An unseen letter has the score of one in 65,536.
     """
-    lower = None
+    orders = {ORDER: counts}
+    for n in range(ORDER - 1, 0, -1):
+        kinds = [F.count_if(F.col("c")[k] > 0) for k in range(width)]
+        orders[n] = stored(orders[n + 1].groupBy(_low("gram", n).alias("gram")).agg(F.array(*kinds).alias("c")), "grams")
+    lower, out = None, []
     for n in range(1, ORDER + 1):
-        own = needed if n == ORDER else needed.select(_low("gram", n).alias("gram")).distinct()
-        context = F.shiftrightunsigned("gram", 16) if n > 1 else F.lit(0).cast("long")
-        joined = own.withColumn("context", context).withColumn("short", _low("gram", n - 1))
-        joined = joined.join(_by_language(values, n, langs, "seen"), "gram", "left")
-        joined = joined.join(_by_language(values, 10 + n, langs, "weights").withColumnRenamed("gram", "context"), "context", "left")
+        table = orders[n].withColumn("context", F.shiftrightunsigned("gram", 16) if n > 1 else F.lit(0).cast("long"))
+        sums = [F.sum(F.col("c")[k]) for k in range(width)]
+        kinds = [F.count_if(F.col("c")[k] > 0) for k in range(width)]
+        contexts = table.groupBy("context").agg(F.array(*sums).alias("total"), F.array(*kinds).alias("kinds"))
+        discounts = _discounts(table, width)
+        weights = [F.try_divide(F.lit(d) * F.col("kinds")[k], F.nullif(F.col("total")[k], F.lit(0))) for k, d in enumerate(discounts)]
+        contexts = stored(contexts.withColumn("weights", F.array(*weights)), "contexts")
+        joined = table.join(F.broadcast(contexts) if n == 1 else contexts, "context")
         if lower is not None:
-            joined = joined.join(lower, "short")
-        rest = [F.lit(-np.log(65536.0).item()) if lower is None else F.col("lower")[k] for k in range(len(langs))]
-        scores = F.array(*[F.coalesce(F.col("seen")[k], F.coalesce(F.col("weights")[k], F.lit(0.0)) + rest[k]) for k in range(len(langs))])
-        solved = joined.withColumn("scores", scores)
-        lower = solved.select(F.col("gram").alias("short"), F.col("scores").alias("lower"))
-    return solved.select("gram", "n", F.col("scores").cast("array<float>").alias("scores"))
+            joined = joined.withColumn("short", _low("gram", n - 1)).join(lower, "short")
+        p, s = [], []
+        for k, d in enumerate(discounts):
+            c, weight = F.col("c")[k], F.col("weights")[k]
+            share = F.try_divide(F.greatest(c - F.lit(d), F.lit(0.0)), F.nullif(F.col("total")[k], F.lit(0)))
+            rest = F.lit(1.0) / (F.col("kinds")[k] + 1) if lower is None else F.col("lower_p")[k]
+            after = F.lit(-np.log(65536.0).item()) if lower is None else F.col("lower_s")[k]
+            p.append(F.when(c > 0, share + weight * rest))
+            s.append(F.coalesce(F.log(p[-1]), F.coalesce(F.log(weight), F.lit(0.0)) + after))
+        table = stored(joined.select("gram", *(["n"] if n == ORDER else []), F.array(*p).alias("p"), F.array(*s).alias("s")), "scores")
+        lower = table.select(F.col("gram").alias("short"), F.col("p").alias("lower_p"), F.col("s").alias("lower_s"))
+        out.append((table, contexts.select("context", "weights")))
+    return out
+
+
+def probabilities(counted: DataFrame) -> DataFrame:
+    """(lang, part, gram, value) of counted(lang, gram, n): interpolated probabilities of seen grams in parts 1 to 4,
+    back-off weights of contexts in parts 11 to 14 (of the context of order part - 11)."""
+    langs = sorted(r.lang for r in counted.select("lang").distinct().collect())
+    names, out = F.array(*[F.lit(x) for x in langs]), None
+    for n, (table, contexts) in enumerate(_solved(stored(_by_language(counted, langs), "grams4"), len(langs)), 1):
+        for part, rows in ((n, table.select("gram", F.posexplode("p").alias("k", "value"))), (10 + n, contexts.select(F.col("context").alias("gram"), F.posexplode("weights").alias("k", "value")))):
+            rows = rows.where("value IS NOT NULL").select(F.get(names, "k").alias("lang"), F.lit(part).alias("part"), "gram", "value")
+            out = rows if out is None else out.union(rows)
+    return out
 
 
 def learn(docs: DataFrame, taught: Column) -> tuple[list[str], DataFrame | None]:
     """The languages of the rows where `taught` holds and lang is not null, and the scores of all grams of `docs`."""
     lang = F.when(taught, F.col("lang").cast("string")).alias("lang")
     rows = docs.select(F.col("text").cast("string").alias("text"), lang).where("text IS NOT NULL")
-    counted = rows.mapInArrow(_counting, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = stored(counted, "grams4")
     langs = sorted(r.lang for r in rows.select("lang").distinct().collect() if r.lang is not None)
     if not langs:
         return langs, None
-    values = probabilities(counts.where("lang IS NOT NULL"))
-    return langs, stored(gram_scores(counts.groupBy("gram").agg(F.sum("n").alias("n")), values, langs), "scores")
+    counted = rows.mapInArrow(_counting, "lang string, gram long, n long")
+    table, _ = _solved(stored(_by_language(counted, langs), "grams4"), len(langs))[-1]
+    return langs, table.select("gram", "n", F.col("s").cast("array<float>").alias("scores"))
 
 
 def frequent(scores: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
@@ -265,22 +277,24 @@ def _judging(langs: list[str]):
     return judge
 
 
-def score_texts(plain: DataFrame, langs: list[str], scores: DataFrame | None) -> DataFrame:
-    """doc_id, name, lang, length and sums (of the scores of all its grams, by language) of each row of `plain`."""
+def judge_texts(plain: DataFrame, langs: list[str], scores: DataFrame | None) -> DataFrame:
+    """doc_id, name, lang, best, sure, entropy and length of each row of `plain`, from the summed scores of all its grams."""
     width, rest = len(langs), None
     known = np.zeros(0, np.int64), np.zeros((0, width), np.float32)
     if scores is not None:
         *known, rest = frequent(scores, width)
     held = plain.sparkSession.sparkContext.broadcast(tuple(known))
-    fields = "doc_id long, name long, lang string, length long, sums array<double>"
+    fields = "doc_id long, name long, lang string, best string, sure double, entropy double, length long"
+    judge = _judging(langs)
     if rest is None:
-        return plain.mapInArrow(_scoring(held, width, False), fields)
-    some = plain.mapInArrow(_scoring(held, width, True), fields + ", rare array<long>, times array<long>")
+        score = _scoring(held, width, False)
+        return plain.mapInArrow(lambda batches: judge(score(batches)), fields)
+    some = plain.mapInArrow(_scoring(held, width, True), "doc_id long, name long, lang string, length long, sums array<double>, rare array<long>, times array<long>")
     parts = stored(some.withColumn("row", F.monotonically_increasing_id()), "parts")
     rare = parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("z")).select("row", F.col("z.rare").alias("gram"), F.col("z.times").alias("times"))
     added = rare.join(rest, "gram").groupBy("row").agg(*[F.sum(F.col("times") * F.col("scores")[k].cast("double")).alias(f"more{k}") for k in range(width)])
     sums = F.array(*[F.col("sums")[k] + F.coalesce(F.col(f"more{k}"), F.lit(0.0)) for k in range(width)]).alias("sums")
-    return parts.join(added, "row", "left").select("doc_id", "name", "lang", "length", sums)
+    return parts.join(added, "row", "left").select("doc_id", "name", "lang", "length", sums).mapInArrow(judge, fields)
 
 
 def identify(docs: DataFrame, taught: Column | None = None) -> DataFrame:
@@ -297,8 +311,7 @@ def identify(docs: DataFrame, taught: Column | None = None) -> DataFrame:
         F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("name"),
         F.when(taught, F.col("lang").cast("string")).alias("lang"),
     )
-    fields = "doc_id long, name long, lang string, best string, sure double, entropy double, length long"
-    scored = stored(score_texts(plain, langs, scores).mapInArrow(_judging(langs), fields), "languages")
+    scored = stored(judge_texts(plain, langs, scores), "languages")
     size = F.floor(F.log2(F.greatest("length", F.lit(1)))).cast("int")
     right = scored.where("lang = best AND length > 0").select("best", size.alias("size"), "entropy")
     at = F.percentile_approx("entropy", [0.5, 0.99], 10_000)
