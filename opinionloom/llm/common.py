@@ -87,6 +87,16 @@ def text_blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int
         first = end
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches again, in batches of about `limit` bytes of a text column; empty batches as they are."""
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index(column))
+        if not batch.num_rows:
+            yield batch
+        for first, end, _, _ in text_blocks(texts, limit):
+            yield batch.slice(first, end - first)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every bit of 64 over all others."""
     x = x ^ (x >> np.uint64(30))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, document_key, free_names, text_table
+from .common import NO_ID, document_key, free_names, sliced, text_table
 
 WINDOW = 10
 #: Words of items in one automaton; more items make more blocks, each with an automaton of its own.
@@ -237,7 +237,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 def _cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text without the bytes from the first to the last word of each hit range."""
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         at = batch.schema.get_field_index("text")
         texts = []
         for text, hits in zip(batch.column(at), batch.column(batch.num_columns - 1)):

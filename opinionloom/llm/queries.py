@@ -105,7 +105,7 @@ def op9_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ITEM_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _LEAKS = f"""
 WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
-i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_ITEM_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_ITEM_WORDS} AS w FROM benchmark),
 wi AS (
     SELECT DISTINCT item_id, n, array_to_string(w[k:k+n-1], ' ') AS s
     FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS k FROM i WHERE len(w) > 0)
@@ -118,7 +118,7 @@ found AS (SELECT wd.doc_id, wd.k, wd.n, wi.item_id FROM wd JOIN wi ON wi.n = wd.
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM found) GROUP BY doc_id),
 named AS (
     SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names
-    FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id
+    FROM (SELECT DISTINCT doc_id, item_id FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(len(d.w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
@@ -128,8 +128,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 
 @query(_LEAKS)
 def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = table(spark, sf_dir, "benchmark").where("item_id IS NOT NULL")  # as the SQL says; the operator counts all items
-    found = decontamination.contamination(table(spark, sf_dir, "documents"), named)
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import document_key, free_names, list_array, mix, prefix_hashes, sorted_runs, span_hashes, stored, text_blocks, text_table
+from .common import document_key, free_names, list_array, mix, prefix_hashes, sliced, sorted_runs, span_hashes, stored, text_blocks, text_table
 from .suffix_groups import byte_suffix_order
 
 LENGTH = 400
@@ -228,11 +228,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return spans
 
 
-def _with_spans(docs: DataFrame, length: int) -> tuple[DataFrame, str]:
+def _with_spans(docs: DataFrame, length: int, gram: int = GRAM) -> tuple[DataFrame, str]:
     """`docs` with one more column, the spans to remove (null if none), and its name."""
     keyed, keys = document_key(docs)
     (column,) = free_names(docs, "cut_spans")
-    spans = repeated_spans(keyed.select(F.col(keys[0]).alias("doc"), F.col(keys[1]).alias("name"), F.col("text").cast("string").alias("text")), length)
+    spans = repeated_spans(keyed.select(F.col(keys[0]).alias("doc"), F.col(keys[1]).alias("name"), F.col("text").cast("string").alias("text")), length, gram)
     spans = spans.groupBy(F.col("doc").alias(keys[0]), F.col("name").alias(keys[1])).agg(F.collect_list(F.struct("begin", "end")).alias(column))
     return keyed.join(spans, keys, "left").select(*[F.col(f"`{n}`") for n in docs.columns], column), column
 
@@ -253,7 +253,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
 def _shortening(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The columns before the last one, text without the spans in the last one."""
     clean = _cleaning(True)
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         at, spans = batch.schema.get_field_index("text"), batch.column(batch.num_columns - 1)
         raw = batch.column(at).cast(pa.binary())
         part = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), raw, spans], names=["doc_id", "raw", "spans"])
@@ -262,13 +262,14 @@ def _shortening(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([text if k == at else c for k, c in enumerate(batch.columns[:-1])], names=batch.schema.names[:-1])
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """`docs` with all rows and columns, texts without repeated strings.
 
     Documents without repeated strings are unchanged. One that consists of repeated strings keeps its row with
-    what is left, an empty text at least. n_chars, where present, is that of the new text.
+    what is left, an empty text at least. n_chars, where present, is that of the new text. gram: bytes of the strings
+    that decide which windows meet, fewer than `length`; it changes no result.
     """
-    joined, _ = _with_spans(docs, length)
+    joined, _ = _with_spans(docs, length, gram)
     kind = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     clean = joined.mapInArrow(_shortening, kind)
     return clean.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else clean

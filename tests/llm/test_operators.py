@@ -386,7 +386,7 @@ def test_pipeline_stages(spark):
             groups = brute_groups(list(before.items()))
             assert set(after) == {i for i, (_, root) in groups.items() if root == i}
         if name == "suffix_dedup":
-            removed = {k[0]: k[2] for k in brute_spans([(i, t.encode()) for i, t in before.items()], 400)}
+            removed = {k[0]: k[2] for k in brute_spans([(i, t.encode()) for i, t in before.items()], corpus_pipeline.REPEAT_BYTES)}
             assert set(after) == set(before) and all((after[i] == before[i]) == (not removed[i]) for i in after)
         if name == "decontamination":
             automaton = decontamination.ItemAutomaton(items)
@@ -395,6 +395,15 @@ def test_pipeline_stages(spark):
     check_pieces([(r.doc_id, r.text) for r in kept.collect()], packing.pack(kept).collect())
 
 
+def test_rows_that_share_an_id_or_have_none_stay(spark):
+    words = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(5)]
+    table = [(1, words[0]), (1, words[1]), (None, words[2]), (None, words[3]), (2, words[2]), (3, words[4]), (None, words[4] + " end"), (1, words[0]), (None, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, 9) for i, t in table], "doc_id long, text string, row_number int")
+    got = corpus_pipeline.one_of_each_group(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, [(1, words[0]), (1, words[1]), (2, words[2]), (None, words[3]), (3, words[4]), (None, None), (4, "")]))
+
+
 def test_pipeline_on_odd_rows(spark, odd):
     docs = odd
     for _, stage in corpus_pipeline.STAGES[:-1]:
