@@ -66,7 +66,7 @@ def run_batch(
         emotions = [e.lower() for e in (settings or Settings()).emotions]
         if feedback_path:
             low = feedback.low_confidence(signals, threshold).join(chosen, "review_id")
-            files.append_feedback(feedback.feedback_record(low, details, emotions), feedback_path, f"batch-{number}")
+            files.append_feedback(feedback.feedback_record(low, details, emotions), feedback_path, f"batch-{store.identity}-{number}")
         if report_path:
             blocks = reporting.review_report(signals.join(chosen, "review_id"), details, emotions, ordered=True)
             files.write_report(reporting.report_summary(signals, details, signals), blocks, report_path)

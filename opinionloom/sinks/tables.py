@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from functools import reduce
 
@@ -66,6 +67,8 @@ class ResultStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
+        #: Tells this store from others in names of runs.
+        self.identity = hashlib.md5(self.path.encode()).hexdigest()[:12]
 
     def _read(self, table: str) -> DataFrame | None:
         """A table of the store; None if nothing was written yet. An unreadable one raises."""
@@ -118,7 +121,8 @@ class ResultStore:
     def aspects(self) -> DataFrame:
         """Aspect rows of the last batch that processed each review."""
         where = ["place", "writer", "batch"]
-        last = self._read("results").groupBy(KEY).agg(F.max(F.struct(*where)).alias("_at")).select(KEY, "_at.*")
+        order = F.struct("place", "updated_at", "writer", "batch")  # as in results(), where two writers took one place
+        last = self._read("results").groupBy(KEY).agg(F.max(order).alias("_at")).select(KEY, *[f"_at.{c}" for c in where])
         rows = self._read("aspects")
         return rows.join(last, [KEY, *where], "left_semi").drop(*where)
 

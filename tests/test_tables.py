@@ -227,3 +227,18 @@ def test_batch_runs_pick_up_what_is_new(spark, reviews, folder, tmp_path):
     assert run_batch(more, store, scores, mode="missing").signals.count() == 0
     assert run_batch(more, store, scores, mode="full").signals.count() == 4
     assert store.results().count() == 4 and store.last_batch() == 2  # the empty run left no rows
+
+
+def test_two_stores_share_a_feedback_log(spark, reviews, folder):
+    for name, text in (("one", "first"), ("two", "second")):
+        run_batch(reviews(text), tables.ResultStore(spark, folder(name)), feedback_path=folder("log"))
+    assert sorted(r.text for r in read_feedback_log(spark, folder("log")).collect()) == ["first", "second"]
+
+
+def test_results_and_aspects_break_ties_alike(spark, folder):
+    store = tables.ResultStore(spark, folder("tied"))
+    for writer, stamp in (("a", "2024-02-02"), ("b", "2024-01-01")):  # two writers that took one place at once
+        results = spark.createDataFrame([(1, writer)], "review_id long, label string").selectExpr(
+            "*", f"timestamp'{stamp}' AS created_at", f"timestamp'{stamp}' AS updated_at")
+        store._write(0, writer, 0, results, results.select("review_id", "label"))
+    assert [r.label for r in store.results().collect()] == ["a"] and [r.label for r in store.aspects().collect()] == ["a"]
