@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import resources, schemas
 from ..functions import labels, text
-from ..functions.joins import fits_broadcast
+from ..functions.joins import MAX_BROADCAST_ROWS, lookup_join
 
 Scorer = Callable[[], Callable[[pd.Series], list]]
 
@@ -101,14 +101,14 @@ def catalog_label_map(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "model string, idx int, label string")
 
 
-def normalize_labels(best: DataFrame, label_map: DataFrame) -> DataFrame:
-    """Add text_label and mapping_conf; label_map(model, idx, label) has one row per class."""
+def normalize_labels(best: DataFrame, label_map: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Add text_label and mapping_conf; label_map(model, idx, label) has one row per class.
+
+    A map of more than max_rows rows is shuffled; classes that hold many units are shared by several tasks."""
     names = label_map.select("model", F.col("idx").alias("_idx"), F.col("label").alias("_mapped"))
-    if fits_broadcast(names):
-        names = F.broadcast(names)
     raw = F.col("label")
     keyed = best.withColumn("_idx", labels.class_index(raw))
-    joined = keyed.join(names, ["model", "_idx"], "left")
+    joined = lookup_join(keyed, names, ["model", "_idx"], best.columns, "left", max_rows)
     by_index = F.col("_idx").isNotNull()
     text_label = F.when(raw.isNull(), "neutral").when(by_index, F.coalesce("_mapped", F.lit("neutral")))
     conf = F.when(raw.isNull(), 0.3).when(by_index, 1.0).when(labels.has_label_prefix(raw), 0.5).otherwise(1.0)
