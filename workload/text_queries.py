@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opinionloom import resources
-from opinionloom.operators import boundaries, lexicon, phrases, shaping
+from opinionloom.operators import boundaries, lexicon, phrases, shaping, tagging
 
 from . import inputs as I
 from .registry import query, rounded
@@ -49,6 +49,75 @@ def annotate_tokens(spark, sf_dir):
     return shaping.annotate_tokens(tokens, spark.createDataFrame(_POS_ROWS, "token string, lemma string, pos string, tag string"))
 
 
+_TAG_ROWS = [
+    ("the", "the", "DET", "DT", 1.0), ("der", "der", "DET", "DT", 3.0), ("der", "der", "PRON", "PRP", 1.0), ("die", "die", "DET", "DT", 3.0), ("die", "die", "VERB", "VB", 1.0),
+    ("la", "le", "DET", "DT", 2.0), ("la", "la", "NOUN", "NN", 1.0), ("le", "le", "DET", "DT", 1.0), ("of", "of", "ADP", "IN", 1.0), ("de", "de", "ADP", "IN", 1.0),
+    ("in", "in", "ADP", "IN", 3.0), ("in", "in", "ADV", "RB", 1.0), ("to", "to", "ADP", "IN", 1.0), ("to", "to", "PART", "TO", 2.0), ("and", "and", "CONJ", "CC", 1.0),
+    ("und", "und", "CONJ", "CC", 1.0), ("that", "that", "PRON", "DT", 1.0), ("that", "that", "CONJ", "IN", 1.0), ("it", "it", "PRON", "PRP", 1.0), ("is", "be", "VERB", "VBZ", 1.0),
+    ("was", "be", "VERB", "VBD", 1.0), ("thed", "the", "VERB", "VBD", 1.0), ("ored", "ore", "VERB", "VBD", 1.0), ("tions", "tion", "NOUN", "NNS", 1.0),
+    ("ations", "ation", "NOUN", "NNS", 1.0), ("ble", "ble", "ADJ", "JJ", 1.0), ("able", "able", "ADJ", "JJ", 1.0), ("thing", "thing", "NOUN", "NN", 1.0), ("oring", "ore", "VERB", "VBG", 1.0),
+]
+
+# Possible tags of each distinct word: its entries, else those of its longest ending that two listed words share.
+_OPTIONS = f"""{_TOKENS},
+lex(w, lemma, pos, tag, weight) AS (VALUES {', '.join(str(r) for r in _TAG_ROWS)}),
+entries AS (SELECT w, pos, round(-ln(weight / sum(weight) OVER (PARTITION BY w)) * 1e6)::BIGINT AS cost FROM lex),
+tails AS (SELECT w, pos, unnest(range(least(length(w), 6))) AS n FROM entries),
+of_ending AS (SELECT right(w, n) AS ending, pos, count(*) AS n FROM tails GROUP BY 1, 2),
+endings AS (SELECT ending, pos, round(-ln(n / sum(n) OVER (PARTITION BY ending)) * 1e6)::BIGINT AS cost FROM of_ending
+            QUALIFY sum(n) OVER (PARTITION BY ending) >= 2 OR ending = ''),
+words AS (SELECT DISTINCT lower(token) AS w FROM tokens),
+unlisted AS (SELECT w, unnest(range(least(length(w), 6))) AS n FROM words ANTI JOIN entries USING (w) WHERE regexp_full_match(w, '\\p{{L}}+')),
+longest AS (SELECT w, max(n) AS n FROM unlisted WHERE right(w, n) IN (SELECT ending FROM endings) GROUP BY w),
+options AS MATERIALIZED (
+  SELECT w, pos, cost FROM words JOIN entries USING (w)
+  UNION ALL SELECT w, pos, cost FROM longest JOIN endings ON ending = right(w, n)
+  UNION ALL SELECT w, CASE WHEN regexp_matches(w, '\\p{{N}}') AND NOT regexp_matches(w, '\\p{{L}}') THEN 'NUM' WHEN regexp_full_match(w, '\\p{{P}}+') THEN 'PUNCT' ELSE 'X' END, 0
+  FROM words ANTI JOIN entries USING (w) WHERE NOT regexp_full_match(w, '\\p{{L}}+')),
+certain AS (SELECT w, min(pos) AS pos FROM options GROUP BY w HAVING count(*) = 1),
+known AS (SELECT review_id, sent_idx, tok_idx, token, c.pos FROM tokens LEFT JOIN certain c ON lower(token) = w),
+neighbours AS (SELECT pos, CASE WHEN tok_idx = 0 THEN '' ELSE lag(pos) OVER (PARTITION BY review_id, sent_idx ORDER BY tok_idx) END AS before FROM known),
+transitions AS (SELECT before, pos, count(*) AS n FROM neighbours WHERE before IS NOT NULL AND pos IS NOT NULL GROUP BY 1, 2)"""
+
+
+def _tag_rows(spark):
+    return spark.createDataFrame(_TAG_ROWS, "token string, lemma string, pos string, tag string, weight double")
+
+
+@query(f"WITH {_OPTIONS} SELECT before, pos, n FROM transitions")
+def tag_transitions(spark, sf_dir):
+    entries = tagging.dictionary_entries(_tag_rows(spark))
+    tokens = shaping.tokenize(I.prose(spark, sf_dir)).select("review_id", "sent_idx", "tok_idx", "token")
+    return tagging.transition_counts(tagging.certain_tags(tokens, entries, tagging.ending_rules(entries)))
+
+
+# The best sequence is found between words with one possible tag, which part a sentence into runs: forth by least costs, back by the tag each came from.
+@query(f"""WITH RECURSIVE {_OPTIONS},
+tags AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS code FROM (SELECT pos FROM lex UNION SELECT unnest(['NUM', 'PUNCT', 'X']))),
+pairs AS (SELECT b.pos AS before, b.code AS a, t.pos, t.code FROM (SELECT pos, code FROM tags UNION ALL SELECT '', -1) b, tags t),
+steps AS MATERIALIZED (SELECT a, code AS b, round(-ln((coalesce(n, 0) + 1) / sum(coalesce(n, 0) + 1) OVER (PARTITION BY a)) * 1e6)::BIGINT AS cost
+          FROM pairs LEFT JOIN transitions USING (before, pos)),
+parted AS (SELECT review_id, sent_idx, tok_idx, token, pos IS NOT NULL AS sure,
+                  count(pos) OVER (PARTITION BY review_id, sent_idx ORDER BY tok_idx) AS run FROM known),
+placed AS (SELECT *, true AS own FROM parted UNION ALL SELECT * REPLACE (run - 1 AS run), false FROM parted WHERE sure AND tok_idx > 0),
+numbered AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY review_id, sent_idx, run) AS id, tok_idx - min(tok_idx) OVER (PARTITION BY review_id, sent_idx, run) AS k FROM placed),
+choices AS MATERIALIZED (SELECT id, k, tok_idx, code, cost FROM numbered JOIN options ON w = lower(token) JOIN tags USING (pos)),
+forth AS (
+  SELECT id, k, c.code, CASE WHEN tok_idx = 0 THEN s.cost ELSE 0 END + c.cost AS score, -1::BIGINT AS came FROM choices c JOIN steps s ON a = -1 AND b = c.code WHERE k = 0
+  UNION ALL
+  SELECT c.id, c.k, c.code, min((f.score + s.cost) * 64 + f.code) // 64 + min(c.cost), min((f.score + s.cost) * 64 + f.code) % 64
+  FROM forth f JOIN choices c ON c.id = f.id AND c.k = f.k + 1 JOIN steps s ON s.a = f.code AND s.b = c.code GROUP BY c.id, c.k, c.code),
+lasts AS (SELECT id, k, arg_min(code, score * 64 + code) AS code FROM forth WHERE (id, k) IN (SELECT id, max(k) FROM numbered GROUP BY id) GROUP BY id, k),
+back AS (
+  SELECT f.id, f.k, f.code, f.came FROM forth f JOIN lasts USING (id, k, code)
+  UNION ALL SELECT f.id, f.k, f.code, f.came FROM back b JOIN forth f ON f.id = b.id AND f.k = b.k - 1 AND f.code = b.came)
+SELECT review_id, sent_idx, tok_idx, token, pos FROM numbered JOIN back USING (id, k) JOIN tags USING (code) WHERE own""")
+def tag_in_context(spark, sf_dir):
+    tokens = shaping.tokenize(I.prose(spark, sf_dir)).select("review_id", "sent_idx", "tok_idx", "token")
+    tagged = tagging.tag_in_context(tokens, tagging.learn_tags(tokens, _tag_rows(spark)))
+    return tagged.select("review_id", "sent_idx", "tok_idx", "token", "pos")
+
+
 @query(f"""WITH {_TOKENS},
 pos_of(w, code) AS (VALUES {', '.join(f"({I.quoted(w)}, '{'J' if c == shaping.ADJECTIVE else 'N'}')" for w, c in I.PROSE_POS.items())}),
 coded AS (SELECT t.*, coalesce(code, 'x') AS code FROM tokens t LEFT JOIN pos_of ON lower(token) = w),
