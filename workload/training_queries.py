@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from opinionloom import resources, schemas
-from opinionloom.operators import feedback, fusion, training
+from opinionloom.operators import epochs, feedback, fusion, training
 from opinionloom.plans import train
 from opinionloom.sinks import files
 from opinionloom.session import scratch
@@ -138,6 +138,20 @@ def text_classifier(spark, sf_dir):
     return report.where("support > 0").select("class", "support", "in_range")
 
 
+@query(f"""WITH {I.LABELLED}, test AS (SELECT label FROM labelled WHERE ('0x' || substr(md5(review_id::VARCHAR || '#42'), 1, 4))::INT < 13107)
+SELECT epoch::INT AS epoch, count(*) AS n, 1 AS above_majority FROM test, range(1, 4) e(epoch) GROUP BY 1""")
+def epoch_accuracy(spark, sf_dir):
+    """Three epochs, stopped after the first one; the accuracy of each beats the share of the most frequent label."""
+    train_rows, test = training.held_out(I.labelled(spark, sf_dir))
+    shares = training.label_distribution(test)
+    setup = epochs.Setup(tuple(sorted(training.class_counts(train_rows))), n_features=1 << 14, batches=4)
+    folder = scratch(spark, "epochs")
+    epochs.train_epochs(train_rows, test, setup, folder, 1)
+    measured = epochs.train_epochs(train_rows, test, setup, folder, 3)
+    above = F.col("accuracy") > F.col("share")
+    return measured.join(F.broadcast(shares.agg(F.max("share").alias("share")))).select("epoch", "n", above.cast("int").alias("above_majority"))
+
+
 @query("SELECT 'positive' AS label, 1.0::DOUBLE AS total UNION ALL SELECT 'negative', 1.0 UNION ALL SELECT 'neutral', 1.0")
 def training_run(spark, sf_dir):
     """The training entry on the logged feedback of every order with human labels, its model published and loaded again."""
