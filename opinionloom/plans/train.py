@@ -28,14 +28,15 @@ def train_and_publish(table: DataFrame, model_dir: str, version: str, k: int = 5
                       id_col: str = "review_id") -> TrainingRun:
     spark = table.sparkSession
     predictions = training.cross_validate(table, k, trees, id_col=id_col).persist()
+    # Both are small, a few rows per fold and class; they are taken before the predictions are released.
+    summary, report = (
+        spark.createDataFrame(df.collect(), df.schema)
+        for df in (training.cv_summary(training.fold_accuracy(predictions)), training.classification_report(predictions, ["fold"]))
+    )
+    predictions.unpersist()
     model, classes = training.fit_fusion(table, trees)
     path = files.publish_model(spark, model, classes, model_dir, version)
-    return TrainingRun(
-        model_path=path,
-        summary=training.cv_summary(training.fold_accuracy(predictions)),
-        report=training.classification_report(predictions, ["fold"]),
-        importance=training.feature_importance(spark, model),
-    )
+    return TrainingRun(model_path=path, summary=summary, report=report, importance=training.feature_importance(spark, model))
 
 
 def run_training(spark: SparkSession, mode: str, model_dir: str, version: str, *, n: int = 100,

@@ -122,6 +122,13 @@ def test_training_modes(spark, folder, tmp_path):
     assert Counter(r.fused_label for r in feedback.feedback_to_training(records).collect()) == {"positive": 9, "neutral": 1}
 
 
+def test_a_training_run_releases_what_it_cached(spark, folder):
+    cached = lambda: set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    before = cached()
+    run = run_training(spark, "sample", folder("models"), "v1", n=40, k=2, trees=2)
+    assert cached() <= before and run.report.where("class = 'accuracy'").count() == 2
+
+
 def test_latest_human_label_wins(spark):
     export = spark.createDataFrame([(1, ""), (2, "")], "review_id int, label string")
     labels = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (3, "c", 1)], "review_id int, label string, labelled_at int")
