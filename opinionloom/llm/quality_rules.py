@@ -1,13 +1,13 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule is a condition over measures of the text. On a sample of documents, every rule is timed alone and its
-share of rejections counted; the cascade asks the rules in order of rejections per second, and a
-rule is asked only of documents that all earlier ones kept. The verdict doesn't depend on the order.
+Each rule is a condition over measures of the text. On a sample of documents, the work of every rule (characters read
+and comparisons made by its measures) and its share of rejections are counted; the cascade asks the rules in order of
+rejections per work, and a rule is asked only of documents that all earlier ones kept. The verdict doesn't depend on
+the order, and the order depends on the documents alone: a repeated run asks in the same one.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,10 +23,11 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rule:
-    """`fails` gives the condition, over the measures of a text, under which the text is rejected."""
+    """`fails` gives the condition, over the measures of a text, under which the text is rejected; `needs` names those it reads."""
 
     name: str
     fails: Callable[[dict[str, Column]], Column]
+    needs: tuple[str, ...]
 
 
 def words(text: Column) -> Column:
@@ -101,32 +102,38 @@ def measures(text: Column) -> dict[str, Column]:
 
 
 RULES = (
-    Rule("too_few_words", lambda m: m["n_words"] < MIN_WORDS),
-    Rule("repeated_words", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
-    Rule("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 25 * m["n_words"])),
-    Rule("symbols", lambda m: 10 * m["n_symbols"] > 3 * m["n_words"]),
-    Rule("duplicate_lines", lambda m: 100 * m["n_dup_lines"] > 50 * m["n_lines"]),
+    Rule("too_few_words", lambda m: m["n_words"] < MIN_WORDS, ("n_words",)),
+    Rule("repeated_words", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"], ("n_repeat_words", "n_words")),
+    Rule("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 25 * m["n_words"]), ("word_chars", "n_words")),
+    Rule("symbols", lambda m: 10 * m["n_symbols"] > 3 * m["n_words"], ("n_symbols", "n_words")),
+    Rule("duplicate_lines", lambda m: 100 * m["n_dup_lines"] > 50 * m["n_lines"], ("n_dup_lines", "n_lines")),
 )
 
+#: Work of a measure on a text: how often its characters are read, and how often its three-word windows are sorted.
+WORK = {"n_words": (1, 0), "word_chars": (2, 0), "n_symbols": (2, 0), "n_dup_lines": (3, 0), "n_repeat_words": (4, 1), "n_lines": (1, 0)}
 
-def _noop_seconds(df: DataFrame) -> float:
-    start = time.perf_counter()
-    df.write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - start
+
+def work(text: Column, needs: tuple[str, ...]) -> Column:
+    """Characters read, and comparisons of sorted windows, to work out these measures of a text."""
+    reads, sorts = (sum(WORK[name][i] for name in needs) for i in (0, 1))
+    out = F.char_length(text).cast("double") * reads
+    if sorts:
+        n = n_words(text).cast("double")
+        out = out + n * F.log2(n + 2) * sorts
+    return out
 
 
 def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE) -> list[Rule]:
-    """The rules by rejections per second of cost on about `sample` documents; ties by name."""
-    n, own = docs.count(), measures(F.col("text"))
+    """The rules by rejections per work, counted on about `sample` documents that a hash of doc_id chooses; ties by name."""
+    n, text = docs.count(), F.col("text")
+    own = measures(text)
     part = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    part = part.where(F.pmod(F.xxhash64(F.lit("rules"), "doc_id"), F.lit(max(1, n))) < sample).repartition(4).cache()
-    kept = part.agg(F.count("*"), *[F.avg(r.fails(own).cast("int")).alias(r.name) for r in rules]).first()
-    floor = _noop_seconds(part.select(F.octet_length("text")))
-    worth = []
-    for rule in rules:
-        cost = max(_noop_seconds(part.select(rule.fails(own))) - floor, 1e-4)
-        worth.append((-(kept[rule.name] or 0.0) / cost, rule.name, rule))
-    part.unpersist()
+    part = part.where(F.pmod(F.xxhash64(F.lit("rules"), "doc_id"), F.lit(max(1, n))) < sample).repartition(4)
+    hits = [F.count_if(r.fails(own)).alias(f"hits{i}") for i, r in enumerate(rules)]
+    # Whole numbers, so that the sums don't depend on the order of the rows.
+    costs = [F.sum(work(text, r.needs).cast("long")).alias(f"work{i}") for i, r in enumerate(rules)]
+    counted = part.agg(*hits, *costs).first()
+    worth = [(-counted[f"hits{i}"] / max(counted[f"work{i}"] or 0, 1), r.name, r) for i, r in enumerate(rules)]
     return [rule for _, _, rule in sorted(worth, key=lambda w: w[:2])]
 
 
@@ -151,15 +158,17 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int =
 def digests(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE) -> DataFrame:
     """doc_id, the measures of every text, base_failed, kept and failed_rule for every row of `docs`.
 
-    All measures are returned, so they are worked out for every document and the cascade runs over them.
+    The returned measures are worked out for every document; what only rules read is worked out in the cascade, for
+    documents that it comes to.
     """
     ordered = plan(docs, rules, sample)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    measured = docs.select("doc_id", *[c.alias(name) for name, c in measures(text).items()])
-    own = {name: F.col(name) for name in MEASURES}
+    returned = [name for name in MEASURES if name != "n_lines"]
+    measured = docs.select("doc_id", text.alias("text")).select("doc_id", "text", *[MEASURES[name](F.col("text")).alias(name) for name in returned])
+    own = {name: F.col(name) for name in returned} | {"n_lines": n_lines(F.col("text"))}
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     failed = first_failure(own, ordered)
     return measured.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
+        "doc_id", *returned, base.alias("base_failed"),
         F.when(base, F.lit(False)).otherwise(failed.isNull()).alias("kept"), failed.alias("failed_rule"),
     )

@@ -208,6 +208,23 @@ def test_rules_equal_brute_force(odd):
     assert quality_rules.digests(odd.limit(0)).count() == 0
 
 
+def test_later_rules_are_not_asked_of_rejected_documents(odd):
+    own = quality_rules.measures(F.coalesce("text", F.lit("")))
+    raises = quality_rules.Rule("raises", lambda m: F.raise_error(F.lit("asked")).cast("boolean"), ())
+    always = quality_rules.Rule("always", lambda m: m["n_words"] >= 0, ("n_words",))
+    assert odd.select(quality_rules.first_failure(own, [always, raises]).alias("r")).where("r = 'always'").count() == odd.count()
+    with pytest.raises(Exception, match="asked"):
+        odd.select(quality_rules.first_failure(own, [raises, always]).alias("r")).collect()
+
+
+def test_cascade_order_is_counted_not_timed(odd):
+    order = [r.name for r in quality_rules.plan(odd)]
+    assert all([r.name for r in quality_rules.plan(odd.repartition(k))] == order for k in (1, 5))
+    long = odd.sparkSession.createDataFrame([(i, ("word " * 300)) for i in range(20)], "doc_id long, text string")
+    # Only repeated windows reject here; the rules that reject nothing follow by name.
+    assert [r.name for r in quality_rules.plan(long)][:2] == ["repeated_words", "duplicate_lines"]
+
+
 def test_cascade_order_changes_no_verdict(odd):
     own = quality_rules.measures(F.coalesce("text", F.lit("")))
     orders = [list(quality_rules.RULES), list(reversed(quality_rules.RULES))]
