@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import Bucketizer, HashingTF, IDF, RegexTokenizer, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.joins import lookup_join
 from ..functions.lookup import inline_or_none
-from ..session import digest, hex_number
+from ..session import digest, hex_number, scratch
+from . import pruning
 
 MAX_CLASSES = 10_000
+# Ranges of a feature that a forest can tell apart, and how far the share below a range's end may be off.
+BINS = 32
+QUANTILE_ERROR = 0.001
+# Coded rows that one task of a fit takes: each task sends the counts of all open nodes, however few its rows are.
+ROWS_A_TASK = 50_000
 
 
 def _number(name: str) -> Column:
@@ -104,25 +112,31 @@ def balanced_weights(df: DataFrame) -> DataFrame:
     return joined.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
 
-def forest(classes: Sequence[str], trees: int = 100, depth: int = 10, seed: int = 42, weighted: bool = True) -> Pipeline:
-    """Assembler, label index in alphabetical order and the fusion forest.
+def _label_index(classes: Sequence[str]) -> StringIndexerModel:
+    return StringIndexerModel.from_labels(list(classes), inputCol="label", outputCol="label_idx", handleInvalid="skip")
 
-    Spark has no twin of "at least 5 rows to split a node"; minInstancesPerNode stays 1.
-    """
-    indexer = StringIndexerModel.from_labels(list(classes), inputCol="label", outputCol="label_idx", handleInvalid="skip")
-    assembler = VectorAssembler(inputCols=schemas.FEATURES, outputCol="features", handleInvalid="keep")
+
+def _classifier(trees: int, depth: int, seed: int, weighted: bool) -> RandomForestClassifier:
     classifier = RandomForestClassifier(
         featuresCol="features",
         labelCol="label_idx",
         numTrees=trees,
         maxDepth=depth,
+        maxBins=BINS,
         featureSubsetStrategy="sqrt",
         seed=seed,
         maxMemoryInMB=512,
     )
-    if weighted:
-        classifier.setWeightCol("weight")
-    return Pipeline(stages=[assembler, indexer, classifier])
+    return classifier.setWeightCol("weight") if weighted else classifier
+
+
+def forest(classes: Sequence[str], trees: int = 100, depth: int = 10, seed: int = 42, weighted: bool = True) -> Pipeline:
+    """Assembler, label index in alphabetical order and the fusion forest.
+
+    It is grown down to single rows; `pruning.with_least_split` closes the nodes that were too small to split.
+    """
+    assembler = VectorAssembler(inputCols=schemas.FEATURES, outputCol="features", handleInvalid="keep")
+    return Pipeline(stages=[assembler, _label_index(classes), _classifier(trees, depth, seed, weighted)])
 
 
 def scoring_stages(model: PipelineModel) -> PipelineModel:
@@ -130,17 +144,17 @@ def scoring_stages(model: PipelineModel) -> PipelineModel:
     return PipelineModel([s for s in model.stages if not isinstance(s, StringIndexerModel)])
 
 
-def fit_fusion(df: DataFrame, trees: int = 100, depth: int = 10, seed: int = 42,
-               unlabelled: str = "error") -> tuple[PipelineModel, list[str]]:
+def fit_fusion(df: DataFrame, trees: int = 100, depth: int = 10, seed: int = 42, unlabelled: str = "error",
+               min_split: int = pruning.MIN_SPLIT) -> tuple[PipelineModel, list[str]]:
     """Fit on all labelled rows; returns the model for scoring and its classes in probability order."""
     # The fit reads its input several times; only label and features are kept.
     rows = labelled_rows(df, unlabelled).select("label", *schemas.FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
     counts = class_counts(rows)
     classes = sorted(counts)
     weighted = rows.withColumn("weight", _weight_column(_weights(counts)))
-    model = scoring_stages(forest(classes, trees, depth, seed).fit(weighted))
+    *stages, grown = scoring_stages(forest(classes, trees, depth, seed).fit(weighted)).stages
     rows.unpersist()
-    return model, classes
+    return PipelineModel([*stages, pruning.with_least_split(grown, min_split)]), classes
 
 
 def feature_importance(spark: SparkSession, model: PipelineModel) -> DataFrame:
@@ -149,29 +163,68 @@ def feature_importance(spark: SparkSession, model: PipelineModel) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows, 1)], "rank int, feature string, importance double")
 
 
-def cross_validate(df: DataFrame, k: int = 5, trees: int = 100, depth: int = 10, seed: int = 42,
-                   id_col: str = "review_id", unlabelled: str = "error") -> DataFrame:
-    """Predictions of every labelled row by the forest that has not seen it: (fold, review_id, label, prediction)."""
-    labelled = labelled_rows(df, unlabelled).select(id_col, "label", *schemas.FEATURES)
-    folds = stratified_folds(labelled, k, seed, id_col)
-    folds = folds.persist(StorageLevel.MEMORY_AND_DISK)  # read once per fold and pass of the fit
-    rows = folds.groupBy("label", "fold").count().collect()  # classes x folds rows
-    classes = sorted({r["label"] for r in rows})
-    predicted = None
-    for fold in range(k):
-        counts = dict.fromkeys(classes, 0)
-        for r in rows:
-            if r["fold"] != fold:
-                counts[r["label"]] += r["count"]
-        train = folds.where(F.col("fold") != fold).withColumn("weight", _weight_column(_weights(counts)))
-        model = scoring_stages(forest(classes, trees, depth, seed).fit(train))
-        names = F.array(*[F.lit(c) for c in classes])
-        part = model.transform(folds.where(F.col("fold") == fold)).select(
+def quantile_codes(df: DataFrame, columns: Sequence[str], bins: int = BINS) -> DataFrame:
+    """Add `features`, the vector of each column's quantile range as a number from 0; NULL and NaN have a range of their own.
+
+    The ends of the ranges are values that occur, found in one pass over all columns. Equal values share a range.
+    """
+    shares = [i / (bins - 2) for i in range(1, bins - 2)]  # bins - 3 ends, bins - 2 ranges, and one for what is no number
+    ends = df.approxQuantile(list(columns), shares, QUANTILE_ERROR)
+    # A range holds what lies above the end before it, up to its own end.
+    splits = [[-math.inf, *sorted({math.nextafter(e, math.inf) for e in found} or {0.0}), math.inf] for found in ends]
+    given, coded = ([f"_{part}_{i}" for i in range(len(columns))] for part in ("given", "code"))
+    numbers = df.withColumns({g: F.coalesce(F.col(c).cast("double"), F.lit(math.nan)) for g, c in zip(given, columns, strict=True)})
+    ranges = Bucketizer(splitsArray=splits, inputCols=given, outputCols=coded, handleInvalid="keep")
+    # The sum drops the mark of a category: a forest is to cut the codes in their order.
+    numbered = ranges.transform(numbers).withColumns({c: F.col(c) + 0.0 for c in coded})
+    return VectorAssembler(inputCols=coded, outputCol="features").transform(numbered).drop(*given, *coded)
+
+
+def cross_validate(df: DataFrame, k: int = 5, trees: int = 100, depth: int = 10, seed: int = 42, id_col: str = "review_id",
+                   unlabelled: str = "error", min_split: int = pruning.MIN_SPLIT, concurrent: int = 5) -> DataFrame:
+    """Predictions of every labelled row by the forest that has not seen it: (fold, review_id, label, prediction).
+
+    Features are reduced to quantile codes once, over all rows and without looking at labels, and every fold learns from
+    the same coded table. Up to `concurrent` folds are fitted at a time, as their small jobs leave cores idle. Predictions
+    are written to the shared folder fold by fold, so a lost executor costs no fit. An empty table has no predictions;
+    a fold that leaves no rows to learn from is an error.
+    """
+    spark = df.sparkSession
+    labelled = labelled_rows(df, unlabelled).select(id_col, "label", *[F.col(c).cast("double").alias(c) for c in schemas.FEATURES])
+    folds = stratified_folds(labelled, k, seed, id_col).persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = {(r["label"], r["fold"]): r["count"] for r in folds.groupBy("label", "fold").count().collect()}  # classes x folds rows
+    if not sizes:
+        folds.unpersist()
+        return folds.select("fold", id_col, "label", F.col("label").alias("prediction")).limit(0)
+    classes = sorted({label for label, _ in sizes})
+    held = sorted({fold for _, fold in sizes})
+    if len(held) < 2:
+        folds.unpersist()
+        raise ValueError(f"{sum(sizes.values())} rows in one fold leave none to learn from")
+    coded = _label_index(classes).transform(quantile_codes(folds, schemas.FEATURES)).select("fold", id_col, "label", "label_idx", "features")
+    # By rows: a fit costs far more per byte than the sizes of a shuffle expect.
+    parts = -(-sum(sizes.values()) // ROWS_A_TASK)
+    coded = coded.repartition(parts, id_col).sortWithinPartitions(id_col).persist(StorageLevel.MEMORY_AND_DISK)
+    coded.count()
+    folds.unpersist()
+    folder = scratch(spark, "folds")
+    names = F.array(*[F.lit(c) for c in classes])
+
+    def one(fold: int) -> None:
+        counts = {c: sum(n for (label, f), n in sizes.items() if label == c and f != fold) for c in classes}
+        train = coded.where(F.col("fold") != fold).withColumn("weight", _weight_column(_weights(counts)))
+        model = pruning.with_least_split(_classifier(trees, depth, seed, True).fit(train), min_split)
+        answers = model.transform(coded.where(F.col("fold") == fold)).select(
             "fold", id_col, "label", F.element_at(names, F.col("prediction").cast("int") + 1).alias("prediction")
         )
-        predicted = part if predicted is None else predicted.unionByName(part)
-    folds.unpersist()  # the models are fitted; predictions read their rows again
-    return predicted
+        answers.write.parquet(f"{folder}/{fold}")
+
+    try:
+        with ThreadPool(max(1, min(concurrent, len(held)))) as pool:
+            pool.map(inheritable_thread_target(spark)(one), held)
+    finally:
+        coded.unpersist()
+    return spark.read.parquet(*[f"{folder}/{fold}" for fold in held])
 
 
 def _safe_ratio(top: Column, bottom: Column) -> Column:

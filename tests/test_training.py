@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helpers import one, rows
 from opinionloom import resources, schemas
-from opinionloom.operators import feedback, fusion, training
+from opinionloom.operators import feedback, fusion, pruning, training
 from opinionloom.plans.train import run_training
 from opinionloom.sinks import files
 from opinionloom.sources import feedback as feedback_source
@@ -86,6 +86,53 @@ def test_forest_learns_the_samples(spark, folder):
     assert fused.where("fused_confidence between 0.34 and 1.0").count() == 200
 
 
+def test_small_nodes_answer_as_leaves(spark):
+    df = source.sample_training_data(spark, 300)
+    fitted = training.forest(["negative", "neutral", "positive"], trees=4, depth=8, weighted=False).fit(df.withColumn("label", F.element_at(
+        F.array(F.lit("negative"), F.lit("neutral"), F.lit("positive")), (F.crc32(F.col("review_id").cast("string")) % 3 + 1).cast("int"))))
+    grown, ready = fitted.stages[-1], fitted.stages[0].transform(df)
+    closed = pruning.with_least_split(grown, 12)
+
+    def walk(node, x, least):
+        """Class shares at the end of the path, which stops at the first node below `least` rows."""
+        while node.subtreeDepth() > 0 and node.impurityStats().count() >= least:
+            node = node.leftChild() if node.split().shouldGoLeft(x) else node.rightChild()
+        stats = list(node.impurityStats().stats())
+        return [s / sum(stats) for s in stats]
+
+    got = {r.review_id: r for r in closed.transform(ready).select("review_id", "features", "probability").collect()}
+    before = {r.review_id: r.probability.toArray() for r in grown.transform(ready).select("review_id", "probability").collect()}
+    assert any(abs(before[i] - r.probability.toArray()).max() > 1e-6 for i, r in got.items())
+    tops = [t._call_java("rootNode") for t in grown.trees]
+    from pyspark.ml.common import _py2java
+
+    for i in sorted(got)[:60]:
+        x = _py2java(spark.sparkContext, got[i].features)
+        want = [sum(p) / len(tops) for p in zip(*(walk(t, x, 12) for t in tops))]
+        assert got[i].probability.toArray() == pytest.approx(want)
+    assert pruning.with_least_split(grown, 1) is grown
+    assert closed.featureImportances.toArray().sum() == pytest.approx(1.0)
+
+
+def test_quantile_codes_keep_the_order(spark):
+    df = spark.createDataFrame([(i, float(i * i), 5.0, None if i == 3 else float(i % 2)) for i in range(200)], "id int, a double, b double, c double")
+    got = sorted(training.quantile_codes(df, ["a", "b", "c"]).select("id", "features").collect())
+    codes = [r.features.toArray() for r in got]
+    assert [c[0] for c in codes] == sorted(c[0] for c in codes) and 25 <= len({c[0] for c in codes}) <= training.BINS
+    assert len({c[1] for c in codes}) == 1 and len({c[2] for c in codes}) == 3
+
+
+def test_folds_have_their_sizes_at_any_number_of_threads(spark):
+    df = source.sample_training_data(spark, 90)
+    one_by_one, together = (training.cross_validate(df, k=3, trees=3, depth=3, concurrent=n) for n in (1, 3))
+    assert rows(one_by_one) == rows(together)
+    sizes = training.stratified_folds(df.select("review_id", "label"), 3).groupBy("fold", "label").count()
+    assert rows(together.groupBy("fold", "label").count()) == rows(sizes)
+    assert training.cross_validate(df.limit(0), k=3).count() == 0
+    with pytest.raises(ValueError, match="none to learn"):
+        training.cross_validate(df.limit(1), k=3)
+
+
 def test_text_classifier_is_measured_on_held_out_rows(spark):
     df = spark.range(400).select(
         F.col("id").alias("review_id"), F.when(F.col("id") % 2 == 0, "good lovely food").otherwise("bad awful place").alias("text"),
