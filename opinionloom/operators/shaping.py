@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import resources
 from ..functions import text
 from ..functions.joins import lookup_join
-from ..functions.lookup import is_listed, word_value
+from ..functions.lookup import MAX_INLINE, inline_or_none, is_listed, word_value
 from ..functions.text import SentenceModel
 
 
@@ -58,55 +58,94 @@ def pos_codes(toks: Column, pos: Mapping[str, int]) -> Column:
     return F.array_join(F.transform(toks, letter), "")
 
 
+def phrase_runs(codes: Column) -> Column:
+    """struct(adjectives, nouns, opens) per token: what follows from it on, in its run of adjectives and then nouns.
+
+    The codes are cut once into runs that each pass over the string only once (the patterns never go back); the lengths of a
+    run give the numbers of all its tokens. Zero nouns: no phrase starts here. `opens` marks the first token of a run.
+    """
+    cut = F.regexp_extract_all(codes, F.lit("J*+N++|J++|x++"), F.lit(0))
+    lengths = F.transform(cut, lambda run: F.struct(F.length(run).alias("n"), F.instr(run, "N").alias("noun")))
+
+    def tokens_of(run: Column) -> Column:
+        def token(k: Column) -> Column:
+            adjectives = F.greatest(run["noun"] - 1 - k, F.lit(0))
+            nouns = F.when(run["noun"] > 0, run["n"] - k - adjectives).otherwise(0)
+            return F.struct(adjectives.alias("adjectives"), nouns.alias("nouns"), (k == 0).alias("opens"))
+
+        return F.transform(F.sequence(F.lit(0), run["n"] - 1), token)
+
+    return F.flatten(F.transform(lengths, tokens_of))
+
+
 def phrase_spans(toks: Column, codes: Column, max_words: int | None = None) -> Column:
     """Every span of ADJ* NOUN+ as struct(start, n_words, maximal, phrase).
 
-    For each start the adjectives and the nouns that follow are measured once, so
-    only matching spans are produced. `max_words` bounds the span length; pass it
-    only when longer phrases are of no use, such as beyond the longest entry of a
-    dictionary the spans are looked up in.
+    Costs the length of the sentence and of the spans that are produced. `max_words` bounds the span length; pass it
+    only when longer phrases are of no use, such as beyond the longest entry of a dictionary the spans are looked up in.
     """
     none = F.array().cast("array<int>")
 
-    def from_start(i: Column) -> Column:
-        rest = F.substring(codes, i + 1, F.length(codes))
-        run = F.regexp_extract(rest, "^J*N+", 0)
-        nouns = F.length(F.replace(run, F.lit("J"), F.lit("")))
-        adjectives = F.length(run) - nouns
-        last = adjectives + nouns if max_words is None else F.least(adjectives + nouns, F.lit(max_words))
-        lengths = F.when((nouns > 0) & (last > adjectives), F.sequence(adjectives + 1, last)).otherwise(none)
-        here, before = F.substring(codes, i + 1, F.lit(1)), F.substring(codes, i, F.lit(1))
-        # A maximal chunk does not continue adjectives or nouns to its left; new adjectives after a noun start one.
-        opens = (i == 0) | (before == "x") | ((before == "N") & (here == "J"))
+    def from_start(run: Column, i: Column) -> Column:
+        whole = run["adjectives"] + run["nouns"]
+        last = whole if max_words is None else F.least(whole, F.lit(max_words))
+        lengths = F.when((run["nouns"] > 0) & (last > run["adjectives"]), F.sequence(run["adjectives"] + 1, last)).otherwise(none)
 
         def span(n: Column) -> Column:
-            maximal = opens & (n == adjectives + nouns)
+            maximal = run["opens"] & (n == whole)
             return F.struct(
                 i.alias("start"), n.alias("n_words"), maximal.alias("maximal"), text.joined(toks, i, n).alias("phrase")
             )
 
         return F.transform(lengths, span)
 
-    places = F.when(F.size(toks) > 0, F.sequence(F.lit(0), F.size(toks) - 1)).otherwise(none)
-    starts = F.filter(places, lambda i: F.substring(codes, i + 1, F.lit(1)) != "x")
-    return F.flatten(F.transform(starts, from_start))
+    return F.flatten(F.transform(phrase_runs(codes), from_start))
+
+
+def _with_listed_codes(tagged: DataFrame, pos: DataFrame) -> DataFrame:
+    """Add `codes` to rows with `toks` from a table pos(token, code) of any size, rows of equal tokens looked up once.
+
+    The key of a sentence is a hash of its tokens, so a stage that runs again finds the same rows. Of a word's entries the
+    smallest code counts.
+    """
+    entries = pos.groupBy(F.col("token").alias("_word")).agg(F.min("code").alias("_code"))
+    keyed = tagged.withColumn("_key", F.sha2(F.array_join("toks", "\x1f"), 256))
+    words = keyed.select("_key", F.posexplode("toks").alias("_i", "_word")).select("_key", "_i", F.lower("_word").alias("_word"))
+    known = lookup_join(words, entries, ["_word"], ["_key", "_i"], "inner")
+    places = known.groupBy("_key", "_i").agg(F.first("_code").alias("_code"))
+    listed = places.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_i", "_code"))).alias("_listed"))
+    found = keyed.join(listed, "_key", "inner")
+
+    def piece(listed: Column, j: Column) -> Column:
+        before = F.coalesce(F.get(F.col("_listed"), j - 1)["_i"], F.lit(-1))
+        code = F.when(listed["_code"] == ADJECTIVE, "J").when(listed["_code"] == NOUN, "N").otherwise("x")
+        return F.concat(F.repeat(F.lit("x"), listed["_i"] - before - 1), code)
+
+    end = F.repeat(F.lit("x"), F.size("toks") - 1 - F.element_at("_listed", -1)["_i"])
+    codes = F.concat(F.array_join(F.transform("_listed", piece), ""), end)
+    return found.withColumn("codes", codes).select(*tagged.columns, "codes")
 
 
 def noun_phrases(
-    reviews: DataFrame, pos: Mapping[str, int], max_words: int | None = None
+    reviews: DataFrame, pos: Mapping[str, int] | DataFrame, max_words: int | None = None, max_inline: int = MAX_INLINE
 ) -> DataFrame:
     """All ADJ* NOUN+ spans per sentence; `is_chunk` marks the maximal ones.
 
-    `pos` maps a lower-case word to ADJECTIVE or NOUN. Works inside the row.
+    `pos` maps a lower-case word to ADJECTIVE or NOUN, as a value or as a table (token, code). A value, or a table of up
+    to `max_inline` words, works inside the row; larger tables are joined with the words. Rows may repeat.
     """
-    tagged = (
-        split_sentences(reviews)
-        .select("review_id", "sent_idx", text.tokens("sentence").alias("toks"))
-        .withColumn("codes", pos_codes(F.col("toks"), pos))
-        .where(F.col("codes").contains("N"))
-    )
+    tagged = split_sentences(reviews).select("review_id", "sent_idx", text.tokens("sentence").alias("toks"))
+    if isinstance(pos, DataFrame):
+        rows = inline_or_none(pos.groupBy("token").agg(F.min("code").alias("code")), max_inline)
+        coded = _with_listed_codes(tagged, pos) if rows is None else None
+        pos = {r["token"]: r["code"] for r in rows or [] if r["token"] is not None}
+    else:
+        coded = None
+    if coded is None:
+        coded = tagged.withColumn("codes", pos_codes(F.col("toks"), pos))
+    coded = coded.where(F.col("codes").contains("N"))
     spans = F.explode(phrase_spans(F.col("toks"), F.col("codes"), max_words)).alias("span")
-    return tagged.select("review_id", "sent_idx", spans).select(
+    return coded.select("review_id", "sent_idx", spans).select(
         "review_id",
         "sent_idx",
         F.col("span.start").alias("tok_idx"),

@@ -1,3 +1,8 @@
+import random
+import re
+import time
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -69,6 +74,51 @@ def test_noun_phrases_are_all_spans(reviews):
     ]
 
 
+def _plain_spans(toks, pos, max_words):
+    """Every span tried by itself."""
+    codes = ["JN"[pos[t] - 1] if t in pos else "x" for t in toks]
+    right = re.compile("J*N+")
+    spans = {(i, j) for i in range(len(toks)) for j in range(i + 1, len(toks) + 1) if right.fullmatch("".join(codes[i:j]))}
+    whole = {(i, j) for i, j in spans if not any((a, b) != (i, j) and a <= i and j <= b for a, b in spans)}
+    return sorted((i, j - i, " ".join(toks[i:j]), (i, j) in whole) for i, j in spans if max_words is None or j - i <= max_words)
+
+
+@pytest.mark.parametrize("max_words", [None, 1, 3])
+def test_spans_equal_those_tried_one_by_one(spark, max_words):
+    pos = {"a": shaping.ADJECTIVE, "b": shaping.ADJECTIVE, "n": shaping.NOUN, "m": shaping.NOUN}
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abnmxy", k=rng.randint(1, 14))) for _ in range(60)] + ["a a a", "n", "x", "n a n a a n n", "x x n"]
+    rows_in = [*enumerate(texts), (0, texts[0]), (None, texts[1]), (99, None), (98, "")]
+    df = spark.createDataFrame(rows_in, "review_id int, text string")
+    want = sorted(((i, *s) for i, t in rows_in if t for s in _plain_spans(t.split(), pos, max_words)), key=str)
+    table = spark.createDataFrame([*pos.items(), ("n", 9), (None, 1)], "token string, code int")
+    for given, inline in ((pos, 100), (table, 100), (table, 0)):
+        got = shaping.noun_phrases(df, given, max_words, inline)
+        assert sorted([(r.review_id, r.tok_idx, r.n_words, r.phrase, r.is_chunk) for r in got.collect()], key=str) == want
+
+
+def test_spans_of_a_long_run_take_linear_time(spark):
+    def seconds(n):
+        df = spark.createDataFrame([(0, "n " * n)], "review_id int, text string")
+        phrases = shaping.noun_phrases(df, {"n": shaping.NOUN}, max_words=1)
+        best = []
+        for _ in range(3):
+            start = time.perf_counter()
+            assert phrases.count() == n
+            best.append(time.perf_counter() - start)
+        return min(best)
+
+    seconds(1000)
+    assert seconds(64_000) < 8 * max(seconds(16_000), 0.2)  # squared time would be 16-fold
+
+
+def test_a_dictionary_beyond_the_inline_limit_is_joined(spark):
+    table = spark.range(60_000).select(F.concat(F.lit("w"), "id").alias("token"), (F.col("id") % 2 + 1).cast("int").alias("code"))
+    df = spark.createDataFrame([(1, "W0 w1 w59999 other w2")], "review_id int, text string")
+    got = rows(shaping.noun_phrases(df, table), "phrase", "is_chunk")
+    assert got == [("w0 w1", False), ("w0 w1 w59999", True), ("w1", False), ("w1 w59999", False), ("w59999", False)]
+
+
 def test_annotated_tokens_keep_unknown_words(spark, reviews):
     lexicon = spark.createDataFrame([("soups", "soup", "NOUN", "NNS")], "token string, lemma string, pos string, tag string")
     got = rows(shaping.annotate_tokens(shaping.tokenize(reviews("Soups here")), lexicon), "token", "lemma", "pos", "tag")
