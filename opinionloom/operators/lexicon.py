@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,20 +21,100 @@ MAX_EXCLAMATIONS = 4
 ALPHA = 15.0
 # Weight in percent of a booster one, two or three words before the scored word.
 BOOSTER_DECAY = {1: 100, 2: 95, 3: 90}
+# What capitals add to a word or a booster, and the percentages before and after a word of contrast.
+CAPITALS_MILLI = 733
+CONTRAST_PERCENT = (50, 150)
 # Raw sums are kept as integers of this unit, so they do not depend on order.
 RAW_UNIT = 10_000_000
 
 
-def _modifiers(words: Column, i: Column, lexicon: Lexicon) -> tuple[Column, Column]:
-    """(booster, factor) of word i: booster in 1e-5, factor 100 or NEGATION_PERCENT."""
-    boost = F.lit(0)
+def _chosen_idioms(words: Column, idioms: Mapping[str, int]) -> Column:
+    """array of struct(start, n, v): from the left the longest idiom at each place, none inside another one."""
+    listed = {" ".join(k.lower().split()): v for k, v in idioms.items()}
+    sizes = sorted({len(k.split()) for k in listed}, reverse=True)
+    firsts = {k.split()[0]: 1 for k in listed}
+    marks = F.transform(words, lambda w, i: F.when(word_value(w, firsts).isNotNull(), i))
+
+    def longest(i: Column) -> Column:
+        def of_size(n: int) -> Column:
+            value = F.when(i + n <= F.size(words), word_value(text.joined(words, i, F.lit(n)), listed))
+            return F.when(value.isNotNull(), F.struct(i.alias("start"), F.lit(n).alias("n"), value.alias("v")))
+
+        return F.coalesce(*[of_size(n) for n in sizes])
+
+    found = F.filter(F.transform(F.filter(marks, lambda i: i.isNotNull()), longest), lambda c: c.isNotNull())
+
+    def keep(kept: Column, c: Column) -> Column:
+        last = F.get(kept, F.size(kept) - 1)
+        free = F.coalesce(last["start"] + last["n"] <= c["start"], F.lit(True))
+        return F.when(free, F.array_append(kept, c)).otherwise(kept)
+
+    return F.aggregate(found, F.array().cast("array<struct<start:int,n:int,v:int>>"), keep)
+
+
+def _reading(unit: Column, lexicon: Lexicon) -> Column:
+    """struct of the unit's lower-cased words and of what the lexicon's rules have to know about them."""
+
+    def rules(words: Column, cased: Column | None) -> Column:
+        parts = [words.alias("words")]
+        if cased is not None:
+            flags = F.transform(cased, lambda w: (w == F.upper(w)) & (w != F.lower(w)))
+            mixed = F.exists(flags, lambda x: x) & F.exists(flags, lambda x: ~x)
+            parts.append(F.when(mixed, flags).alias("caps"))
+        if lexicon.contrast:
+            turns = F.transform(words, lambda w, i: F.when(is_listed(w, lexicon.contrast), i))
+            parts.append(F.array_min(turns).alias("turn"))
+        if lexicon.idioms:
+            parts.append(_chosen_idioms(words, lexicon.idioms).alias("idioms"))
+        return F.struct(*parts)
+
+    if not lexicon.capitals:
+        return text.bind(text.words(unit), lambda words: rules(words, None))
+    cased = F.coalesce(F.regexp_extract_all(unit, F.lit(text.WORD), F.lit(0)), F.array().cast("array<string>"))
+    return text.bind(cased, lambda c: text.bind(F.transform(c, F.lower), lambda words: rules(words, c)))
+
+
+def _modifiers(read: Column, i: Column, lexicon: Lexicon) -> tuple[Column, Column]:
+    """(booster, factor) of word i: booster in 1e-5, factor 100 or NEGATION_PERCENT, times the share of its side of a contrast."""
+    words = read["words"]
+
+    def shouted(place: Column) -> Column:
+        return F.coalesce(F.get(read["caps"], place), F.lit(False))
+
+    boost = F.when(shouted(i), CAPITALS_MILLI * 100).otherwise(0) if lexicon.capitals else F.lit(0)
     for distance, weight in BOOSTER_DECAY.items():
-        boost = boost + F.coalesce(word_value(F.get(words, i - distance), lexicon.boosters), F.lit(0)) * weight
+        own = F.coalesce(word_value(F.get(words, i - distance), lexicon.boosters), F.lit(0))
+        if lexicon.capitals:
+            louder = F.signum(own).cast("int") * CAPITALS_MILLI
+            own = own + F.when(shouted(i - distance), louder).otherwise(0)
+        boost = boost + own * weight
     negated = F.lit(False)
     for distance in BOOSTER_DECAY:
         before = F.get(words, i - distance)
         negated = negated | F.coalesce(is_listed(before, lexicon.negators) | before.endswith("n't"), F.lit(False))
-    return boost, F.when(negated, NEGATION_PERCENT).otherwise(100)
+
+    def weighed(factor: int) -> Column:
+        if not lexicon.contrast:
+            return F.lit(factor)
+        less, more = (factor * share // 100 for share in CONTRAST_PERCENT)
+        return F.when(i < read["turn"], less).when(i > read["turn"], more).otherwise(factor)
+
+    return boost, F.when(negated, weighed(NEGATION_PERCENT)).otherwise(weighed(100))
+
+
+def _is_free(read: Column, i: Column, lexicon: Lexicon) -> Column:
+    """Whether word i counts by itself, being part of no idiom."""
+    if not lexicon.idioms:
+        return F.lit(True)
+    return ~F.exists(read["idioms"], lambda c: (c["start"] <= i) & (i < c["start"] + c["n"]))
+
+
+def _idiom_raw(read: Column, lexicon: Lexicon) -> Column:
+    """Sum over the idioms, each modified as its first word would be."""
+    zero = F.lit(0).cast("bigint")
+    if not lexicon.idioms:
+        return zero
+    return F.aggregate(read["idioms"], zero, lambda acc, c: acc + _raw(c["v"], *_modifiers(read, c["start"], lexicon)))
 
 
 def _raw(valence: Column, boost: Column, factor: Column) -> Column:
@@ -61,27 +142,29 @@ def unit_score(unit: Column, lexicon: Lexicon) -> Column:
     polarities = number_list(lexicon.polarity.get(w, 0) for w in entries)
     rated = number_list(int(w in lexicon.polarity) for w in entries)
 
-    def totals(words: Column) -> Column:
-        numbered = F.transform(words, lambda w, i: F.struct(i.alias("i"), word_value(w, number).alias("e")))
+    def totals(read: Column) -> Column:
+        numbered = F.transform(read["words"], lambda w, i: F.struct(i.alias("i"), word_value(w, number).alias("e")))
         hits = F.filter(numbered, lambda hit: hit["e"].isNotNull())
 
         def add(acc: Column, hit: Column) -> Column:
-            boost, factor = _modifiers(words, hit["i"], lexicon)
+            boost, factor = _modifiers(read, hit["i"], lexicon)
+            valence = F.get(valences, hit["e"])
+            if lexicon.idioms:
+                valence = F.when(_is_free(read, hit["i"], lexicon), valence).otherwise(0)
             return F.struct(
-                (acc["raw"] + _raw(F.get(valences, hit["e"]), boost, factor)).alias("raw"),
+                (acc["raw"] + _raw(valence, boost, factor)).alias("raw"),
                 (acc["total"] + F.get(polarities, hit["e"])).alias("total"),
                 (acc["n"] + F.get(rated, hit["e"])).alias("n"),
             )
 
-        zero = F.lit(0).cast("bigint")
-        start = F.struct(zero.alias("raw"), zero.alias("total"), F.lit(0).alias("n"))
+        start = F.struct(_idiom_raw(read, lexicon).alias("raw"), F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("n"))
         return F.aggregate(hits, start, add)
 
     def finish(t: Column) -> Column:
         polarity = F.when(t["n"] > 0, t["total"] / (t["n"] * 1000.0)).otherwise(0.0)
         return F.struct(_compound(t["raw"], cues.count_char(unit, "!")).alias("valence"), polarity.alias("polarity"))
 
-    return text.bind(text.bind(text.words(unit), totals), finish)
+    return text.bind(text.bind(_reading(unit, lexicon), totals), finish)
 
 
 def unit_scores(units: DataFrame, lexicon: Lexicon = resources.DEFAULT_LEXICON) -> DataFrame:
@@ -118,23 +201,25 @@ def _unit_scores_joined(units: DataFrame, entries: DataFrame, modifiers: Lexicon
     numbers, so both ways of scoring give the same bits.
     """
 
-    def with_modifiers(words: Column) -> Column:
+    def with_modifiers(read: Column) -> Column:
         def one(word: Column, i: Column) -> Column:
-            boost, factor = _modifiers(words, i, modifiers)
-            return F.struct(i.alias("i"), word.alias("token"), boost.alias("boost"), factor.alias("factor"))
+            boost, factor = _modifiers(read, i, modifiers)
+            free = _is_free(read, i, modifiers)
+            return F.struct(i.alias("i"), word.alias("token"), boost.alias("boost"), factor.alias("factor"), free.alias("free"))
 
-        return F.transform(words, one)
+        return F.struct(_idiom_raw(read, modifiers).alias("idiom_raw"), F.transform(read["words"], one).alias("all"))
 
     exploded = units.select(
         *keys,
         *carried,
         cues.count_char(F.col("unit"), "!").alias("exclamations"),
-        F.explode_outer(text.bind(text.words("unit"), with_modifiers)).alias("word"),
-    ).select(*keys, *carried, "exclamations", "word.*")
+        text.bind(_reading(F.col("unit"), modifiers), with_modifiers).alias("read"),
+    ).select(*keys, *carried, "exclamations", "read.idiom_raw", F.explode_outer("read.all").alias("word"))
+    exploded = exploded.select(*keys, *carried, "exclamations", "idiom_raw", "word.*")
     joined = lookup_join(exploded, entries, ["token"], [*keys, "i"], "left")
-    raw = _raw(F.col("valence_milli"), F.col("boost"), F.col("factor"))
+    raw = F.when(F.col("free"), _raw(F.col("valence_milli"), F.col("boost"), F.col("factor")))
     sums = joined.groupBy(*keys).agg(
-        F.coalesce(F.sum(raw), F.lit(0).cast("bigint")).alias("raw"),
+        (F.coalesce(F.sum(raw), F.lit(0).cast("bigint")) + F.max("idiom_raw")).alias("raw"),
         F.sum("polarity_milli").alias("total"),
         F.count("polarity_milli").alias("matched"),
         F.max("exclamations").alias("exclamations"),
@@ -173,11 +258,10 @@ def inlined(entries: DataFrame, modifiers: Lexicon | None = None, max_inline: in
     rows = inline_or_none(one_entry_per_word(entries), max_inline)
     if rows is None:
         return None
-    return Lexicon(
+    return replace(
+        rules,
         valence={r["token"]: r["valence_milli"] for r in rows if r["valence_milli"] is not None},
         polarity={r["token"]: r["polarity_milli"] for r in rows if r["polarity_milli"] is not None},
-        boosters=rules.boosters,
-        negators=rules.negators,
     )
 
 

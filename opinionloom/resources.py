@@ -139,12 +139,18 @@ class Lexicon:
 
     `valence` drives the compound score, `polarity` the mean word polarity.
     `boosters` strengthen (or, when negative, weaken) the word that follows.
+    The rest concerns the compound score only and is off unless given: `capitals` weighs words in capitals where a unit mixes
+    cases, `contrast` lists the words (such as but) after which a unit counts more and before which less, and `idioms`
+    gives word sequences a valence in the place of that of their words.
     """
 
     valence: Mapping[str, int]
     polarity: Mapping[str, int]
     boosters: Mapping[str, int] = field(default_factory=dict)
     negators: tuple[str, ...] = ()
+    capitals: bool = False
+    contrast: tuple[str, ...] = ()
+    idioms: Mapping[str, int] = field(default_factory=dict)
 
 
 _STRONG_GOOD = ("amazing awesome brilliant excellent exceptional fantastic flawless incredible love loved "

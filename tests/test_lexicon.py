@@ -1,4 +1,5 @@
 import math
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,3 +77,48 @@ def test_a_large_dictionary_is_found_word_by_word(reviews):
     r = one(lexicon.unit_scores(shaping.meaningful_sentences(reviews("w1 w4999 w5000 w2")), big))
     assert r.polarity == pytest.approx(0.1)
     assert r.valence == pytest.approx(compound((1 + 4999 % 7 + 2) * 0.1))
+
+
+FULL = replace(LEX, capitals=True, contrast=("but",), idioms={"kiss of death": -1500, "bad ass": 1500, "of death": -900, "death bad": 400})
+
+
+@pytest.mark.parametrize(
+    "text, total",
+    [
+        ("good food", 2.0),
+        ("GOOD food", 2.733),
+        ("GOOD FOOD", 2.0),
+        ("VERY good food", 2.0 + 0.293 + 0.733),
+        ("not BAD here", 0.74 * 2.733),
+        ("good food but bad place", 2.0 * 0.5 - 2.0 * 1.5),
+        ("good but not bad but good", 1.0 + 0.74 * 3.0 - 0.74 * 3.0),  # the negator is three words before the last one
+        ("but good", 3.0),
+        ("a bad ass place", 1.5),
+        ("a very bad ass place", 1.793),
+        ("the kiss of death here", -1.5),
+        ("kiss of death bad ass", -1.5 + 1.5),
+        ("smell of death bad", -0.9 - 2.0),
+        ("bad", -2.0),
+        ("good but a Bad Ass", 1.0 + 2.25),
+        ("", 0.0),
+    ],
+)
+def test_capitals_contrast_and_idioms(reviews, text, total):
+    units = reviews(text).select("review_id", F.lit(0).alias("unit_idx"), F.col("text").alias("unit"))
+    assert one(lexicon.unit_scores(units, FULL)).valence == pytest.approx(compound(total))
+
+
+def test_each_rule_is_off_unless_given(reviews):
+    units = shaping.meaningful_sentences(reviews("GOOD food but a bad ass place", "VERY good BUT bad"))
+    plain = [r.valence for r in lexicon.unit_scores(units, LEX).orderBy("review_id").collect()]
+    assert plain == [pytest.approx(compound(0.0)), pytest.approx(compound(2.293 - 2 - 0.9 * 0.293))]
+    capitals = lexicon.unit_scores(units, replace(LEX, capitals=True)).orderBy("review_id").first()
+    assert capitals.valence == pytest.approx(compound(0.733))
+
+
+def test_rules_agree_for_a_joined_lexicon(spark, reviews):
+    df = reviews("VERY good food but a bad ass place. The kiss of death!", None, "", "GOOD but BAD but good", "of death bad bad ass")
+    table = spark.createDataFrame([("good", 2000, 700), ("bad", -2000, -600)], "token string, valence_milli int, polarity_milli int")
+    inline, joined = (lexicon.rule_sentiment(df, table, FULL, max_inline=n) for n in (100, 0))
+    assert rows(inline) == rows(joined)
+    assert rows(inline, "valence_score") == rows(lexicon.rule_sentiment(df, FULL), "valence_score")
