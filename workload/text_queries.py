@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from opinionloom import resources
@@ -118,7 +120,7 @@ def tag_in_context(spark, sf_dir):
     return tagged.select("review_id", "sent_idx", "tok_idx", "token", "pos")
 
 
-@query(f"""WITH {_TOKENS},
+_NOUN_PHRASES = f"""WITH {_TOKENS},
 pos_of(w, code) AS (VALUES {', '.join(f"({I.quoted(w)}, '{'J' if c == shaping.ADJECTIVE else 'N'}')" for w, c in I.PROSE_POS.items())}),
 coded AS (SELECT t.*, coalesce(code, 'x') AS code FROM tokens t LEFT JOIN pos_of ON lower(token) = w),
 grouped AS (
@@ -132,12 +134,23 @@ spans AS (SELECT *, unnest(range(1, len(toks) - o + 1)) AS n FROM starts)
 SELECT review_id, sent_idx, (first_idx + o)::INT AS tok_idx, n::INT AS n_words,
        lower(array_to_string(list_slice(toks, o + 1, o + n), ' ')) AS phrase,
        ((o = 0 OR (codes[o] = 'N' AND codes[o + 1] = 'J')) AND (o + n = len(toks) OR codes[o + n + 1] = 'J'))::INT AS is_chunk
-FROM spans WHERE regexp_full_match(substr(codes, o + 1, n), 'J*N+')""")
+FROM spans WHERE regexp_full_match(substr(codes, o + 1, n), 'J*N+')"""
+
+
+@query(_NOUN_PHRASES)
 def noun_phrases(spark, sf_dir):
     phrases = shaping.noun_phrases(I.prose(spark, sf_dir), I.PROSE_POS)
     return phrases.withColumn("is_chunk", F.col("is_chunk").cast("int"))
 
 
+@query(_NOUN_PHRASES)
+def noun_phrases_joined(spark, sf_dir):
+    """The dictionary as a table that is joined with the words."""
+    listed = spark.createDataFrame(list(I.PROSE_POS.items()), "token string, code int")
+    phrases = shaping.noun_phrases(I.prose(spark, sf_dir), listed, max_inline=0)
+    return phrases.withColumn("is_chunk", F.col("is_chunk").cast("int"))
+
+
 @query(f"WITH {I.OPINIONS}, {I.units_sql('opinions')} SELECT review_id, unit_idx, unit FROM units")
 def meaningful_sentences(spark, sf_dir):
     return shaping.meaningful_sentences(I.opinions(spark, sf_dir))
@@ -217,6 +230,54 @@ def rule_aggregate_joined(spark, sf_dir):
     return rounded(lexicon.rule_aggregate(lexicon.unit_scores_joined(units, entries, I.PROSE_LEXICON)))
 
 
+# No idiom begins as another one ends, so that plain SQL can find them.
+_IN_CONTEXT = replace(I.PROSE_LEXICON, capitals=True, contrast=("and", "und"),
+                      idioms={"of the": 1700, "of the tion": -1300, "ing der": 900, "to the": -600, "in la": 1100})
+
+
+def _context_sql() -> str:
+    """valences(review_id, unit_idx, valence) of loud(review_id, unit_idx, unit), by windows over words."""
+    lex = _IN_CONTEXT
+    turns = ", ".join(I.quoted(w) for w in lex.contrast)
+    grams = ", ".join(f"({I.quoted(k)}, {len(k.split())}, {v})" for k, v in lex.idioms.items())
+    place = "(PARTITION BY review_id, unit_idx ORDER BY i)"
+
+    def before(flag: str) -> list[str]:
+        return [f"coalesce(lag({flag}, {d}) OVER {place}, 0)" for d in (1, 2, 3)]
+
+    boosts = " + ".join(f"{b} * {weight}" for b, weight in zip(before("own"), (100, 95, 90)))
+    return f"""{I.lexicon_sql(lex)}, idioms(g, size, iv) AS (VALUES {grams}),
+loud_words AS (SELECT review_id, unit_idx, unnest(l) AS cased, generate_subscripts(l, 1) AS i
+               FROM (SELECT review_id, unit_idx, regexp_extract_all(unit, {I.WORD_SQL}) AS l FROM loud)),
+flagged AS (SELECT *, lower(cased) AS w, (cased = upper(cased) AND cased <> lower(cased))::INT AS flag FROM loud_words),
+read AS (SELECT *, CASE WHEN min(flag) OVER u = 0 THEN flag ELSE 0 END AS cap, min(CASE WHEN w IN ({turns}) THEN i END) OVER u AS turn,
+                lead(w, 1) OVER {place} AS w1, lead(w, 2) OVER {place} AS w2 FROM flagged WINDOW u AS (PARTITION BY review_id, unit_idx)),
+marked AS (SELECT read.*, v, coalesce(b + sign(b) * 733 * cap, 0) AS own, (neg.w IS NOT NULL OR read.w LIKE '%n''t')::INT AS n,
+                  coalesce(i3.iv, i2.iv) AS iv, CASE WHEN i3.iv IS NOT NULL THEN 3 WHEN i2.iv IS NOT NULL THEN 2 ELSE 0 END AS size
+           FROM read LEFT JOIN val ON read.w = val.w LEFT JOIN boost ON read.w = boost.w LEFT JOIN neg ON read.w = neg.w
+           LEFT JOIN idioms i2 ON i2.g = read.w || ' ' || w1 LEFT JOIN idioms i3 ON i3.g = read.w || ' ' || w1 || ' ' || w2),
+near AS (SELECT *, {boosts} + cap * 73300 AS boosted, greatest({', '.join(before('n'))}) AS negated,
+                coalesce(lag(size, 1) OVER {place}, 0) > 1 OR coalesce(lag(size, 2) OVER {place}, 0) > 2 OR size > 0 AS inside FROM marked),
+counted AS (SELECT *, CASE WHEN size > 0 THEN iv WHEN NOT inside THEN v END AS x,
+                   CASE negated WHEN 1 THEN -74 ELSE 100 END * CASE WHEN i < turn THEN 0.5 WHEN i > turn THEN 1.5 ELSE 1.0 END AS factor FROM near),
+raws AS (SELECT review_id, unit_idx, coalesce(sum((x * 100 + sign(x) * boosted) * factor), 0) AS raw FROM counted GROUP BY 1, 2),
+totals AS (SELECT review_id, unit_idx, coalesce(raw, 0) AS raw, least(4, length(unit) - length(replace(unit, '!', ''))) * 2920000 AS louder
+           FROM loud LEFT JOIN raws USING (review_id, unit_idx)),
+summed AS (SELECT review_id, unit_idx, (raw + sign(raw) * louder)::DOUBLE / 10000000.0 AS s FROM totals),
+valences AS (SELECT review_id, unit_idx, s / sqrt(s * s + 15.0) AS valence FROM summed)"""
+
+
+@query(f"""WITH {I.PROSE}, {I.units_sql('prose')},
+loud AS (SELECT review_id, unit_idx, CASE WHEN review_id % 3 < 2 THEN replace(replace(unit, 'tion', 'TION'), 'with', 'WITH') ELSE unit END AS unit FROM units),
+{_context_sql()} SELECT review_id, unit_idx, round(valence, 9) AS valence FROM valences""")
+def valence_in_context(spark, sf_dir):
+    """Compound scores with capitals, words of contrast and idioms; two texts in three have some words in capitals."""
+    units = shaping.meaningful_sentences(I.prose(spark, sf_dir))
+    raised = F.replace(F.replace(F.col("unit"), F.lit("tion"), F.lit("TION")), F.lit("with"), F.lit("WITH"))
+    loud = units.withColumn("unit", F.when(F.col("review_id") % 3 < 2, raised).otherwise(F.col("unit")))
+    return rounded(lexicon.valence_score(loud, _IN_CONTEXT))
+
+
 _LABELS = """CASE WHEN rule_polarity >= 0.05 THEN 1 WHEN rule_polarity <= -0.05 THEN -1 ELSE 0 END::INT AS rule_score,
 CASE WHEN rule_polarity >= 0.05 THEN 'positive' WHEN rule_polarity <= -0.05 THEN 'negative' ELSE 'neutral' END AS rule_label"""
 
