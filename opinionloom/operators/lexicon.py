@@ -234,12 +234,10 @@ def _unit_scores_joined(units: DataFrame, entries: DataFrame, modifiers: Lexicon
 
 
 def rule_aggregate(scores: DataFrame) -> DataFrame:
-    """unit scores -> mean valence, polarity and their mid value per review."""
-    return scores.groupBy("review_id").agg(
-        F.avg("valence").alias("valence_score"),
-        F.avg("polarity").alias("polarity_score"),
-        F.avg((F.col("valence") + F.col("polarity")) / 2).alias("rule_polarity"),
-    )
+    """unit scores -> mean valence, polarity and their mid value per review, added up in the order of the text."""
+    ordered = F.array_sort(F.collect_list(F.struct("unit_idx", "valence", "polarity")))
+    per_review = scores.groupBy("review_id").agg(ordered.alias("_units"))
+    return _means(per_review).select("review_id", "valence_score", "polarity_score", "rule_polarity")
 
 
 def rule_label(df: DataFrame, cutoff: float = resources.RULE_CUTOFF) -> DataFrame:
@@ -271,20 +269,23 @@ def rule_sentiment(reviews: DataFrame, lexicon: Lexicon | DataFrame = resources.
     return add_rule(reviews.select("review_id", "text"), lexicon, modifiers=modifiers, max_inline=max_inline).drop("text")
 
 
-def _with_means(df: DataFrame, cutoff: float) -> DataFrame:
+def _means(df: DataFrame) -> DataFrame:
     """Means over `_units`, an array of (valence, polarity) in the order of the text."""
 
     def mean(pick: Callable[[Column], Column]) -> Column:
         return F.aggregate("_units", F.lit(0.0), lambda acc, u: acc + pick(u)) / F.size("_units")
 
-    with_means = df.withColumns(
+    return df.withColumns(
         {
             "valence_score": mean(lambda u: u["valence"]),
             "polarity_score": mean(lambda u: u["polarity"]),
             "rule_polarity": mean(lambda u: (u["valence"] + u["polarity"]) / 2),
         }
     )
-    return rule_label(with_means.drop("_units"), cutoff)
+
+
+def _with_means(df: DataFrame, cutoff: float) -> DataFrame:
+    return rule_label(_means(df).drop("_units"), cutoff)
 
 
 def add_rule(reviews: DataFrame, lexicon: Lexicon | DataFrame = resources.DEFAULT_LEXICON, cutoff: float = resources.RULE_CUTOFF,
