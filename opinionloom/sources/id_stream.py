@@ -4,6 +4,9 @@ The offset of the stream is the largest id read. A micro-batch takes the ids abo
 is, in ranges of ids; each task reads one range. Ids may be negative or zero. A row that arrives later with an id at or
 below the offset is not read by the stream: run a batch with mode="missing" for such rows. Rows without an id are
 never read. A table that lost its largest ids moves the offset back, never rows twice within a run.
+
+Files that are not sorted by the id would be read once for every range. Where that is more than a few times their rows,
+the tasks of a micro-batch read bundles of row groups instead, each once, and keep the rows between its two offsets.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 #: Ids in a range, and ranges in a micro-batch; more ids than both allow make wider ranges.
 RANGE = 1_000_000
 MAX_RANGES = 10_000
+#: Rows that the ranges of a micro-batch may read in all: this many times the rows of the table, or this many at least.
+REREAD, FREE_ROWS = 4, 1_000_000
 _SCHEMA = pa.schema([("review_id", pa.int64()), ("text", pa.string())])
 _BEFORE_ALL = -(1 << 63)
 
@@ -45,8 +50,11 @@ class FileTable:
     text_col: str = "text"
     fmt: str = "parquet"
 
+    def _place(self) -> tuple[pa.fs.FileSystem | None, str]:
+        return pa.fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (None, self.path)
+
     def _dataset(self) -> ds.Dataset:
-        system, path = pa.fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (None, self.path)
+        system, path = self._place()
         return ds.dataset(path, filesystem=system, format=self.fmt, exclude_invalid_files=False, ignore_prefixes=["_", "."])
 
     def bounds(self, after: int) -> tuple[int, int] | None:
@@ -64,9 +72,42 @@ class FileTable:
                     highs.append(known["max"])
         return (max(min(lows), after + 1), max(highs)) if highs else None
 
-    def read(self, low: int, high: int) -> Iterator[pa.RecordBatch]:
+    def pieces(self, low: int, high: int, width: int) -> list[list[tuple[str, int]]] | None:
+        """Bundles of (file, row group) that hold the ids above `low` up to `high`, of about `width` rows or one group.
+
+        None where ranges of `width` ids read little more than the table, or where files have no statistics."""
+        if self.fmt != "parquet":
+            return None
+        wanted, rows, ranged = [], 0, 0
+        for piece in self._dataset().get_fragments():
+            for part in piece.split_by_row_group():
+                group = part.row_groups[0]
+                known = group.statistics.get(self.id_col) or {"min": low + 1, "max": high}
+                first, last = max(known["min"], low + 1), min(known["max"], high)
+                if first > last:
+                    continue
+                wanted.append((piece.path, group.id, group.num_rows))
+                rows += group.num_rows
+                ranged += group.num_rows * ((last - low - 1) // width - (first - low - 1) // width + 1)
+        if ranged <= max(REREAD * rows, FREE_ROWS):
+            return None
+        bundles, held = [[]], 0
+        for path, number, n in wanted:
+            if bundles[-1] and held + n > width:
+                bundles.append([])
+                held = 0
+            bundles[-1].append((path, number))
+            held += n
+        return bundles
+
+    def read(self, low: int, high: int, pieces: Sequence[tuple[str, int]] | None = None) -> Iterator[pa.RecordBatch]:
         wanted = (ds.field(self.id_col) > low) & (ds.field(self.id_col) <= high)
-        for batch in self._dataset().to_batches(columns=[self.id_col, self.text_col], filter=wanted):
+        data = self._dataset()
+        if pieces is not None:
+            system = self._place()[0] or pa.fs.LocalFileSystem()
+            groups = [data.format.make_fragment(path, filesystem=system, row_groups=[number]) for path, number in pieces]
+            data = ds.FileSystemDataset(groups, data.schema, data.format, system)
+        for batch in data.to_batches(columns=[self.id_col, self.text_col], filter=wanted):
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string())], schema=_SCHEMA)
 
 
@@ -106,8 +147,8 @@ class QueryTable:
 
 
 class _Range(InputPartition):
-    def __init__(self, low: int, high: int):
-        self.low, self.high = low, high
+    def __init__(self, low: int, high: int, pieces: list[tuple[str, int]] | None = None):
+        self.low, self.high, self.pieces = low, high, pieces
 
 
 class _Reader(DataSourceStreamReader):
@@ -128,10 +169,16 @@ class _Reader(DataSourceStreamReader):
             return []
         low = max(low, found[0] - 1)  # ids may begin far above the first offset
         width = max(self.width, -(-(high - low) // MAX_RANGES))
+        bundles = self.table.pieces(low, high, width) if isinstance(self.table, FileTable) else None
+        if bundles is not None:
+            return [_Range(low, high, b) for b in bundles]
         return [_Range(a, min(a + width, high)) for a in range(low, high, width)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        yield from self.table.read(partition.low, partition.high)
+        if partition.pieces is None:
+            yield from self.table.read(partition.low, partition.high)
+        else:
+            yield from self.table.read(partition.low, partition.high, partition.pieces)
 
 
 def read_id_stream(spark: SparkSession, table: IdTable, ids_per_task: int = RANGE) -> DataFrame:

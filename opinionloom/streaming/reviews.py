@@ -33,15 +33,20 @@ def stream_reviews(
     writer = writer or "stream-" + hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        analysis = analyze(batch)
-        # Written itself and read again for the roll-up of the results.
-        details = found = analysis.details.persist(StorageLevel.MEMORY_AND_DISK)
+        # The source is read once: for the ids that cut the scores, the details and the results.
+        batch.persist(StorageLevel.MEMORY_AND_DISK)
+        found = None
         try:
+            analysis = analyze(batch)
+            # Written itself and read again for the roll-up of the results.
+            details = found = analysis.details.persist(StorageLevel.MEMORY_AND_DISK)
             if categories is not None:
                 details = absa.map_categories(details, categories)
             store.write_batch(batch_id, stamped(result_rows(analysis.signals)), details, writer)
         finally:
-            found.unpersist()
+            if found is not None:
+                found.unpersist()
+            batch.unpersist()
 
     started = reviews.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     return started.trigger(**(trigger or {"availableNow": True})).start()

@@ -85,3 +85,20 @@ def test_query_tables():
     assert table.bounds(2) == (3, 9)
     assert [b.to_pydict() for b in table.read(3, 9)] == [{"review_id": [4], "text": ["a"]}, {"review_id": [9], "text": [None]}]
     assert Connection.said[1] == ("SELECT id, body FROM reviews WHERE id > %s AND id <= %s", (3, 9)) and Connection.closed >= 1
+
+
+def test_unsorted_files_are_read_once(spark, folder, monkeypatch):
+    monkeypatch.setattr(id_stream, "FREE_ROWS", 100)
+    spark.range(-20, 980).selectExpr("IF(id % 50 = 3, null, id) AS review_id", "concat('t', id) AS text").repartition(3).write.parquet(folder("hashed"))
+    table, looked = FileTable(folder("hashed")), []
+    parts = id_stream._Reader(table, 10).partitions({"last_id": 4}, {"last_id": 900})
+    for p in parts:
+        looked += [*p.pieces]
+        assert (p.low, p.high) == (4, 900)
+    assert len(parts) == len(looked) == len(set(looked)) == 3
+    found = [r for p in parts for b in id_stream._Reader(table, 10).read(p) for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert sorted(found) == [(k, f"t{k}") for k in range(5, 901) if k % 50 != 3]
+    sorted_ids = spark.range(0, 1000).selectExpr("id AS review_id", "concat('t', id) AS text").repartitionByRange(4, "review_id")
+    sorted_ids.write.parquet(folder("sorted"))
+    ranges = id_stream._Reader(FileTable(folder("sorted")), 250).partitions({"last_id": -1}, {"last_id": 999})
+    assert len(ranges) == 4 and all(r.pieces is None for r in ranges)
