@@ -145,3 +145,11 @@ def test_categories_keep_the_largest_id(spark):
     categories = spark.createDataFrame([(1, "Food"), (5, "food"), (7, "bar")], "category_id int, aspect string")
     assert rows(absa.map_categories(details, categories)) == [(0, 5, "food", "positive", 0.8, 0.9)]
     assert rows(absa.unmapped_aspects(details, categories)) == [("wine", 1)]
+
+
+def test_aspects_alone_need_no_tokens(spark):
+    found = spark.range(2).selectExpr("id AS review_id", "concat('Good food ', id) AS text", "array('food', 'staff') AS found")
+    contexts = absa.exploded_contexts(found)
+    alone = contexts.select("review_id", "aspect")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in alone
+    assert {(r.aspect, r.context_phrase) for r in contexts.where("review_id = 1").collect()} == {("food", "Good food 1"), ("staff", "")}
