@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from opinionloom.functions import chosen
 from opinionloom.functions.chosen import bloom_filter, chosen_ids
 from opinionloom.operators import scoring
 from opinionloom.plans.analyze import Scores
@@ -66,3 +67,11 @@ def test_cut_to_keeps_what_is_absent(spark, scores, reviews):
     cut = Scores(sentiment=scores).cut_to(reviews("a", "b"))
     assert cut.emotions is None and {r.review_id for r in cut.sentiment.collect()} == {0, 1}
     assert Scores().cut_to(reviews("a")) == Scores()
+
+
+def test_no_filter_where_its_size_would_let_most_through(spark, scores):
+    ids = spark.range(50).select((F.col("id") - 20).alias("review_id"))
+    cut = chosen.ChosenIds(ids, 10_000_000).rows_of(scores)
+    assert chosen.bloom_filter(ids, "review_id", 10_000_000)[1] <= 1 << 23
+    assert "bit_get" not in plan(cut) and "SortMergeJoin" in plan(cut)
+    assert sorted(map(tuple, cut.collect())) == sorted(tuple(r) for r in scores.collect() if r.review_id is not None and -20 <= r.review_id < 30)

@@ -43,10 +43,12 @@ def stream_reviews(spark, sf_dir):
     reviews, checkpoint = I.opinions(spark, sf_dir), scratch(spark, "stream-checkpoint")
     settings = analyze.Settings(sentiment_model=I.TWO_WAY)
     old = reviews.withColumn("text", F.lit("The old food was bad."))
+    # A micro-batch is as many files as there are cores, so its texts are read by all of them.
+    files = spark.sparkContext.defaultParallelism
     for parts in ([old.where("review_id % 3 <> 0")], [reviews.where("review_id % 2 = 0"), reviews.where("review_id % 2 <> 0")]):
         for part in parts:
-            part.coalesce(1).write.mode("append").parquet(folder)
-        stream = spark.readStream.schema(reviews.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+            part.repartition(files, "review_id").write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(reviews.schema).option("maxFilesPerTrigger", files).parquet(folder)
         run = streams.stream_reviews(
             stream, store, lambda batch: analyze.analyze_reviews(batch, scores(spark, sf_dir).cut_to(batch), settings), checkpoint,
             categories(spark, sf_dir),
