@@ -153,3 +153,14 @@ def test_aspects_alone_need_no_tokens(spark):
     alone = contexts.select("review_id", "aspect")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in alone
     assert {(r.aspect, r.context_phrase) for r in contexts.where("review_id = 1").collect()} == {("food", "Good food 1"), ("staff", "")}
+
+
+def test_aspects_are_found_once_before_they_are_exploded(spark):
+    reviews = spark.createDataFrame([(1, "Nice food. The dishes, hot dish!"), (2, "nothing-much"), (3, "x"), (4, "DISHES’s Food’s. ÉFood food")], "review_id long, text string")
+    listed = absa.add_aspect_arrays(reviews, ["food", "dish", "dishes", "nothing"])
+    found = absa.exploded_contexts(listed).select("review_id", "aspect")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    assert sorted(map(tuple, found.collect())) == [(1, "dishes"), (1, "food"), (2, "nothing"), (3, "overall"), (4, "food")]
+    marks = reviews.select("review_id", F.sort_array(absa.aspect_array(["food", "!", "-", "."])).alias("a")).orderBy("review_id")
+    assert [r.a for r in marks.collect()] == [["!", ".", "food"], ["-"], [], [".", "food"]]
