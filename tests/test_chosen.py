@@ -75,3 +75,23 @@ def test_no_filter_where_its_size_would_let_most_through(spark, scores):
     assert chosen.bloom_filter(ids, "review_id", 10_000_000)[1] <= 1 << 23
     assert "bit_get" not in plan(cut) and "SortMergeJoin" in plan(cut)
     assert sorted(map(tuple, cut.collect())) == sorted(tuple(r) for r in scores.collect() if r.review_id is not None and -20 <= r.review_id < 30)
+
+
+def test_buckets_grow_with_the_reviews(spark, folder, monkeypatch):
+    from workload import stream_queries
+
+    made = []
+
+    class Noted(Exception):
+        pass
+
+    def note(spark, path, prefix, buckets):
+        made.append(buckets)
+        raise Noted
+
+    monkeypatch.setattr(stream_queries, "ScoreTables", note)
+    for rows, name in ((10, "few"), (650_000, "many")):
+        spark.range(rows).write.parquet(f"{folder(name)}/orders.parquet")
+        with pytest.raises(Noted):
+            stream_queries._score_tables(spark, folder(name))
+    assert made == [8, 13]

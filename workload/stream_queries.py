@@ -77,10 +77,15 @@ def stream_feedback(spark, sf_dir):
     return export.select("review_id", "text", "fused_label", "fused_confidence", "rule_polarity")
 
 
+#: Reviews in a bucket: a task joins and groups one bucket of each table, whatever the size of the tables.
+BUCKET_REVIEWS = 50_000
+
+
 def _score_tables(spark, sf_dir):
     """The score tables of the session in buckets; written on first use."""
     path = I.session_folder(spark, sf_dir, "score-tables")
-    tables = ScoreTables(spark, path, "scores_" + path.rpartition("-")[2], 8)
+    buckets = max(8, -(-I.load(spark, sf_dir, "orders").count() // BUCKET_REVIEWS))
+    tables = ScoreTables(spark, path, "scores_" + path.rpartition("-")[2], buckets)
     if tables.scores().sentiment is None:
         made = scores(spark, sf_dir)
         for kind in KINDS:
