@@ -90,9 +90,10 @@ def argmax_label(model_scores: DataFrame, keys: Sequence[str] = ("review_id", "u
         return argmax_label(best, keys) if rolled else best.drop("pos")
     score = F.coalesce("score", F.lit(0.0))
     before = F.struct(-F.coalesce("unit_id", F.lit(0)), -F.col("pos")) if rolled else -F.col("pos")
-    best = F.max_by(F.struct("label", "score"), F.struct(score, before))
+    # One struct is order and answer at once, so rows that are sorted and shuffled carry the score a single time.
+    best = F.max(F.struct(score.alias("score"), before.alias("before"), F.col("score").isNotNull().alias("scored"), "label"))
     return model_scores.groupBy(*keys).agg(best.alias("_best")).select(
-        *keys, F.col("_best.label").alias("label"), F.col("_best.score").alias("score")
+        *keys, F.col("_best.label").alias("label"), F.when(F.col("_best.scored"), F.col("_best.score")).alias("score")
     )
 
 

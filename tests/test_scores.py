@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from helpers import rows
 from opinionloom import resources
 from opinionloom.operators import scoring
+from workload import inputs
 
 SCORES = "review_id long, unit_id int, model string, pos int, label string, score double"
 FIVE = "pig4431/YELP_roBERTa_5E"
@@ -64,6 +65,26 @@ def test_calibration_uses_the_later_probe(spark):
     ]
 
 
+def test_best_label_carries_its_score_once(spark):
+    scores = spark.createDataFrame(
+        [(1, 0, "m", 0, "a", None), (1, 0, "m", 1, "b", 0.0), (2, 0, "m", 0, "a", 0.2), (2, 0, "m", 1, None, 0.7), (2, 0, "m", 2, "c", 0.7),
+         (3, 1, "m", 0, "a", 0.5), (3, 0, "m", 1, "b", 0.5), (4, 0, "m", 0, "a", -0.1), (4, 0, "m", 1, "b", None)],
+        SCORES,
+    )
+    best = scoring.argmax_label(scores, ("review_id",))
+    assert rows(best) == [(1, "a", None), (2, None, 0.7), (3, "b", 0.5), (4, "b", None)]
+    assert "max_by" not in best._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_made_in_place_are_written_without_a_shuffle(spark, tmp_path):
+    def thirds(spark, sf_dir):
+        return spark.range(0, 90, 1, 3).withColumnRenamed("id", "review_id")
+
+    table = inputs.stored_in_place(thirds)(spark, str(tmp_path))
+    parts = table.groupBy(F.input_file_name().alias("file")).agg(F.min("review_id").alias("low"), F.max("review_id").alias("high"))
+    assert rows(parts.select("low", "high")) == [(0, 29), (30, 59), (60, 89)]
+
+
 def test_label_map_from_names(spark):
     df = spark.createDataFrame(
         [("two", 0, "LABEL_3"), ("two", 1, "LABEL_5"), ("three", 0, "LABEL_0"), ("three", 1, "LABEL_1"), ("three", 2, "LABEL_2"),

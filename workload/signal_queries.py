@@ -85,7 +85,9 @@ ROUNDED_FEATURES = ", ".join(f"round({f}, 9) + 0.0::DOUBLE AS {f}" for f in sche
 
 def feature_table(spark, sf_dir):
     reviews = I.opinions(spark, sf_dir)
-    best = scoring.argmax_label(I.sentiment_scores(spark, sf_dir).where(F.col("model") == I.TWO_WAY))
+    chosen = I.sentiment_scores(spark, sf_dir).where(F.col("model") == I.TWO_WAY)
+    # Grouped by review_id alone, so the result is already placed for the join.
+    best = scoring.argmax_label(chosen, ("review_id",)).withColumn("model", F.lit(I.TWO_WAY))
     normalized = scoring.normalize_labels(best, scoring.catalog_label_map(spark))
     return fusion.fusion_features(
         reviews,
