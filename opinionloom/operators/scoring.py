@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import resources, schemas
 from ..functions import labels, text
+from ..functions.chosen import chosen_ids
 from ..functions.joins import MAX_BROADCAST_ROWS, lookup_join
 
 Scorer = Callable[[], Callable[[pd.Series], list]]
@@ -167,7 +168,9 @@ def calibrate_label_map(probe_scores: DataFrame, probes: DataFrame) -> DataFrame
     The class the model gives to a probe gets the expected name; on a clash the
     probe with the larger id wins. A worded label holding 'pos' or 'neg' is class 1 or 0.
     """
-    best = argmax_label(probe_scores, ("review_id", "model")).withColumnRenamed("review_id", "probe_id")
+    # Only the scores of the probes are ranked, however many other texts the table holds.
+    asked = chosen_ids(probes.select(F.col("probe_id").alias("review_id"))).rows_of(probe_scores)
+    best = argmax_label(asked, ("review_id", "model")).withColumnRenamed("review_id", "probe_id")
     low = F.lower("label")
     word_idx = F.when(low.contains("pos"), 1).when(low.contains("neg"), 0)
     numbered = labels.has_label_prefix(F.col("label"))

@@ -65,6 +65,15 @@ def test_calibration_uses_the_later_probe(spark):
     ]
 
 
+def test_calibration_ranks_the_scores_of_the_probes_alone(spark):
+    probes = spark.createDataFrame([(3, "positive"), (None, "negative")], "probe_id long, expected string")
+    scores = spark.createDataFrame([(i, 0, "m", p, f"LABEL_{p}", 0.9 if p == i % 2 else 0.1) for i in range(50) for p in (0, 1)], SCORES)
+    got = scoring.calibrate_label_map(scores, probes)
+    assert rows(got) == [("m", 1, "positive")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.index("max(struct(") < plan.index("LeftSemi")
+
+
 def test_best_label_carries_its_score_once(spark):
     scores = spark.createDataFrame(
         [(1, 0, "m", 0, "a", None), (1, 0, "m", 1, "b", 0.0), (2, 0, "m", 0, "a", 0.2), (2, 0, "m", 1, None, 0.7), (2, 0, "m", 2, "c", 0.7),
