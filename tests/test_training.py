@@ -86,6 +86,17 @@ def test_forest_learns_the_samples(spark, folder):
     assert fused.where("fused_confidence between 0.34 and 1.0").count() == 200
 
 
+def test_rows_of_like_features_are_fitted_together(spark, monkeypatch):
+    seen, fit = [], training.Pipeline.fit
+    monkeypatch.setattr(training.Pipeline, "fit", lambda self, df: seen.append(df) or fit(self, df))
+    df = source.sample_training_data(spark, 60).repartition(3, "review_id")
+    training.fit_fusion(df, trees=2, depth=3)
+    features = [tuple(r[f] for f in schemas.FEATURES) for r in df.collect()]
+    parts = seen[0].select(F.spark_partition_id().alias("part"), *schemas.FEATURES).collect()
+    in_parts = [[tuple(r)[1:] for r in parts if r.part == k] for k in sorted({r.part for r in parts})]
+    assert all(p == sorted(p) for p in in_parts) and sorted(x for p in in_parts for x in p) == sorted(features)
+
+
 def test_small_nodes_answer_as_leaves(spark):
     df = source.sample_training_data(spark, 300)
     fitted = training.forest(["negative", "neutral", "positive"], trees=4, depth=8, weighted=False).fit(df.withColumn("label", F.element_at(
