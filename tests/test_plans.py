@@ -113,3 +113,15 @@ def test_signals_share_one_partitioning(spark, documents):
     shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert len(shuffles) == 7
     assert not any("text#" in line for line in shuffles)
+
+
+def test_listed_phrases_move_sentences_once_and_places_as_numbers(spark, documents):
+    listed = spark.createDataFrame([("the", shaping.ADJECTIVE), ("of", shaping.NOUN)], "token string, code int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        phrases = shaping.noun_phrases(documents, listed, max_inline=0)
+        shuffles = [line for line in plan_of(phrases).splitlines() if "Exchange hashpartitioning(_key" in line]
+        assert rows(phrases) == rows(shaping.noun_phrases(documents, {"the": shaping.ADJECTIVE, "of": shaping.NOUN}))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(shuffles) == 2 and not any("_i#" in line for line in shuffles)
